@@ -68,9 +68,8 @@ def label_cell(c: Column) -> Column:
 def general_number(c: Column) -> Column:
     """A number as C's ``%g`` prints it: 6 digits, no trailing zeros."""
     rounded = F.format_string("%.5e", c)
-    power = F.regexp_extract(rounded, "e(.*)$", 1).cast("int")
-    plain = F.regexp_replace(rounded.cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
+    power = F.regexp_extract(rounded, "e(.*)$", 1).try_cast("int")
+    plain = F.regexp_replace(rounded.try_cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
     digits = F.regexp_replace(F.regexp_extract(rounded, "^(.*)e", 1), r"\.?0+$", "")
-    return F.when(power.between(-4, 5), plain).otherwise(
-        F.concat(digits, F.regexp_extract(rounded, "(e.*)$", 1))
-    )
+    marked = F.concat(digits, F.regexp_extract(rounded, "(e.*)$", 1))
+    return F.when(power.between(-4, 5), plain).when(power.isNotNull(), marked)

@@ -61,4 +61,4 @@ def read_report_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def write_turtle(lines: DataFrame, path: str) -> None:
     """Turtle lines in their order; a large subject may span several files."""
-    lines.orderBy("subject", "line_no").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("subject", "section", "pos").select("line").write.mode("overwrite").text(path)

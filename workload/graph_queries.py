@@ -80,7 +80,7 @@ tree AS (SELECT doc_id, t.* FROM docs, json_tree(json_ld) t WHERE json_ld <> '')
 node AS (SELECT doc_id, fullkey AS path, json_extract_string(value, '$."@id"') AS node_id, json_extract_string(value, '$."@type"') AS node_type,
                 value FROM tree WHERE type = 'OBJECT'),
 fact AS (
-  SELECT n.doc_id, n.path, n.node_id, n.node_type, '@type' AS property, n.node_type AS value, 'type' AS value_type, NULL AS child_type FROM node n WHERE node_type IS NOT NULL
+  SELECT n.doc_id, n.path, n.node_id, n.node_type, '@type' AS property, n.node_type AS value, 'type' AS value_type, CAST(NULL AS VARCHAR) AS child_type FROM node n WHERE node_type IS NOT NULL
   UNION ALL
   SELECT n.doc_id, n.path, n.node_id, n.node_type, p.property,
          CASE WHEN t.type = 'OBJECT' THEN coalesce(json_extract_string(t.value, '$."@id"'), t.fullkey) ELSE t.atom ->> '$' END AS value,

@@ -300,7 +300,7 @@ def definition_lookup(spark, sf):
 # Vectors of the entity classes: a class carries the number of its vector.
 VECTORS = f"""
 mention AS (SELECT *, trim('Class: ' || class_name || chr(10) || 'Description: ' || description, '{SPACE}') AS embed_text FROM first_entity),
-vector AS (SELECT DISTINCT embed_text, embedding FROM mention JOIN embeddings ON vec_id = CAST(substr(class_name, 6) AS BIGINT)),
+vector AS (SELECT DISTINCT embed_text, embedding FROM mention JOIN embeddings ON class_name = 'Class' || CAST(vec_id AS VARCHAR)),
 best AS (SELECT embed_text, class_label FROM (
   SELECT embed_text, class_label, row_number() OVER (PARTITION BY embed_text ORDER BY round(
            list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) DESC, class_id) AS rank
