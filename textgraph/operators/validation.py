@@ -152,7 +152,7 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
 
 
 def jsonld_validate(
-    docs: DataFrame, vocabulary: Vocabulary, keys: list[str] = ("doc_id",), depth: int = 12
+    docs: DataFrame, vocabulary: Vocabulary, keys: list[str] = ("doc_id",)
 ) -> DataFrame:
     """Code and output per document.
 
@@ -162,7 +162,7 @@ def jsonld_validate(
     keys = list(keys)
     if not vocabulary.usable:
         return docs.select(*keys, F.lit(2).alias("code"), F.lit("no vocabulary").alias("output"))
-    found = errors_per_document(facts(docs, keys, depth), vocabulary, keys)
+    found = errors_per_document(facts(docs, keys), vocabulary, keys)
     line = lambda e: F.concat_ws(" ", e["path"], e["rule"], e["value"])
     return found.select(
         *keys,
