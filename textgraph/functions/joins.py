@@ -30,9 +30,13 @@ def lookup_join(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    size: int | None = None,
 ) -> DataFrame:
-    """Join rows with a lookup table; inner, left, left_semi or left_anti."""
-    if table_bytes(lookup) <= limit:
+    """Join rows with a lookup table; inner, left, left_semi or left_anti.
+
+    ``size`` is the size of the lookup table where it was measured before.
+    """
+    if (table_bytes(lookup) if size is None else size) <= limit:
         return left.join(F.broadcast(lookup), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

@@ -38,6 +38,11 @@ def rows_of_three(body: Column, names: list[str]) -> Column:
     )
 
 
+def has_rows(body: Column) -> Column:
+    """Whether a section has a row: two separators in one line."""
+    return strip(body).rlike(r" \| [^\n]*? \| ")
+
+
 def fill(template: str, **fields: Column) -> Column:
     """Put columns into a template in one pass, so inserted text stays as is."""
     parts = []

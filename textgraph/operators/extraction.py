@@ -28,22 +28,20 @@ def extraction(answers: DataFrame, response: str = "response") -> DataFrame:
     If any of the three is empty the extraction failed and all three are
     emptied. An empty answer is an error of the call, not a failed extraction.
     """
-    found = sections(answers, response).withColumns({
-        "entities": text.rows_of_three(F.col("entity_section"), ENTITY_FIELDS),
-        "relations": text.rows_of_three(F.col("relation_section"), RELATION_FIELDS),
-    })
-    failed = (F.col("summary") == "") | (F.size("entities") == 0) | (F.size("relations") == 0)
     unanswered = F.coalesce(F.col(response), F.lit("")) == ""
+    found = sections(answers, response)
+    failed = (F.col("summary") == "") | ~text.has_rows(F.col("entity_section")) | ~text.has_rows(F.col("relation_section"))
 
-    def emptied(name: str, kind: str) -> Column:
-        return F.when(F.col("extraction_failed"), F.array().cast(kind)).otherwise(F.col(name))
+    def parsed(name: str, fields: list[str], kind: str) -> Column:
+        rows = text.rows_of_three(F.col(name), fields)
+        return F.when(F.col("extraction_failed"), F.array().cast(kind)).otherwise(rows)
 
     return (
         found.withColumn("extraction_failed", F.coalesce(failed, F.lit(True)))
         .withColumns({
             "summary": F.when(F.col("extraction_failed"), "").otherwise(F.col("summary")),
-            "entities": emptied("entities", ENTITY),
-            "relations": emptied("relations", RELATION),
+            "entities": parsed("entity_section", ENTITY_FIELDS, ENTITY),
+            "relations": parsed("relation_section", RELATION_FIELDS, RELATION),
             "reject_reason": F.when(unanswered, "no response"),
         })
         .drop("entity_section", "relation_section")

@@ -20,6 +20,11 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", ARRAY)
 
 
+def parsed_object(json_ld: Column) -> Column:
+    """The parsed text; NULL unless it is a JSON object without repeated keys."""
+    return F.when(text.strip(json_ld).startswith("{"), F.try_parse_json(json_ld))
+
+
 def minimal_document() -> Column:
     """The document of a text whose extraction failed."""
     return F.to_json(F.create_map(F.lit("@context"), F.lit("https://schema.org"), F.lit("@type"), F.lit("Thing")))
@@ -51,12 +56,13 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     joined = docs.join(term_lists(labels), "doc_id", "left")
     parsed = joined.withColumns({
-        "_v": as_object(F.try_parse_json("json_ld")),
+        "_v": parsed_object(F.col("json_ld")),
         "terms": F.coalesce("terms", F.array().cast("array<struct<pos:bigint,label:string,main_topic:string>>")),
     })
+    parsed = parsed.withColumn("_about", F.try_variant_get("_v", "$.about", "variant"))
     # The map read from the text keeps the order of its keys.
     fields = F.from_json("json_ld", OBJECT)
-    about = F.try_element_at(F.col("_v"), F.lit("about"))
+    about = F.col("_about")
     held = F.when(about.isNull(), F.array().cast(ARRAY)).otherwise(F.coalesce(as_array(about), F.array(about)))
     new = F.transform(
         "terms",
@@ -76,14 +82,16 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         parsed.withColumn("reject_reason", F.when(F.col("_v").isNull(), "no JSON object"))
         .withColumn("json_ld", F.when(F.col("_v").isNull() | unchanged, F.col("json_ld")).otherwise(F.to_json(merged)))
-        .drop("_v", "terms")
+        .drop("_v", "_about", "terms")
     )
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
     """Terms of each document as a list, or the reason why the row is rejected."""
-    parsed = docs.withColumn("_v", as_object(F.try_parse_json("json_ld")))
-    about = F.try_element_at(F.col("_v"), F.lit("about"))
+    parsed = docs.withColumn("_v", parsed_object(F.col("json_ld"))).withColumn(
+        "_about", F.try_variant_get("_v", "$.about", "variant")
+    )
+    about = F.col("_about")
     items = F.coalesce(as_array(about), F.array(about))
     read = lambda item, path: F.try_variant_get(item, path, "string")
     terms = F.transform(
@@ -95,12 +103,11 @@ def document_terms(docs: DataFrame) -> DataFrame:
         ),
     )
     return (
-        parsed.withColumn("_about", about.isNotNull())
-        .withColumn("terms", F.when(F.col("_about"), terms))
+        parsed.withColumn("terms", F.when(about.isNotNull(), terms))
         .withColumn(
             "reject_reason",
             F.when(F.col("_v").isNull(), "no JSON object")
-            .when(~F.col("_about"), "no about")
+            .when(about.isNull(), "no about")
             .when(F.exists("terms", lambda t: t["main_topic"].isNull()), "term without a term set")
             .when(F.exists("terms", lambda t: t["label"].isNull()), "term without a name"),
         )
@@ -108,13 +115,18 @@ def document_terms(docs: DataFrame) -> DataFrame:
     )
 
 
+def term_signals(read: DataFrame, signals: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``document_terms`` as labels with the signal type of their set."""
+    rows = read.filter("reject_reason IS NULL").select(key, F.inline("terms"))
+    return lookup_join(rows, reading_signal(signals).select("main_topic", "signal_type"), ["main_topic"], "inner")
+
+
 def read_terms(docs: DataFrame, signals: DataFrame, key: str = "doc_id") -> DataFrame:
     """Labels out of ``about`` with the signal type of their term set.
 
     Terms of an unknown set are skipped; rejected documents give no rows.
     """
-    rows = document_terms(docs).filter("reject_reason IS NULL").select(key, F.inline("terms"))
-    return lookup_join(rows, reading_signal(signals).select("main_topic", "signal_type"), ["main_topic"], "inner")
+    return term_signals(document_terms(docs), signals, key)
 
 
 def rejected_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed
-from textgraph.functions.joins import lookup_join
+from textgraph.functions.joins import lookup_join, table_bytes
 from textgraph.operators.jsonld import facts, minimal_document
 from textgraph.session import run_folder, stage
 
@@ -20,13 +20,14 @@ class Vocabulary:
 
     known (label); ranges (property, ranges); allowed (label, property), with
     what a class inherits; accepted (property, label), with the classes below a
-    range.
+    range; size, the bytes of the largest of them.
     """
 
     known: DataFrame
     ranges: DataFrame
     allowed: DataFrame
     accepted: DataFrame
+    size: int
     usable: bool
 
 
@@ -57,19 +58,20 @@ def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str |
     classes = stage(classes.select("label", "parent").distinct(), f"{folder}/classes")
     properties = stage(properties.select("class_label", "property", "range").distinct(), f"{folder}/properties")
     above = stage(ancestors(classes), f"{folder}/above")
-    return Vocabulary(
-        known=classes.select("label").distinct(),
-        ranges=stage(properties.groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")), f"{folder}/ranges"),
-        allowed=stage(
-            above.join(properties, F.col("ancestor") == F.col("class_label")).select("label", "property").distinct(),
-            f"{folder}/allowed",
-        ),
-        accepted=stage(
-            above.join(properties, F.col("ancestor") == F.col("range")).select("property", "label").distinct(),
-            f"{folder}/accepted",
-        ),
-        usable=not (classes.isEmpty() or properties.isEmpty()),
+    known = stage(classes.select("label").distinct(), f"{folder}/known")
+    ranges = stage(
+        properties.groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")), f"{folder}/ranges"
     )
+    allowed = stage(
+        above.join(properties, F.col("ancestor") == F.col("class_label")).select("label", "property").distinct(),
+        f"{folder}/allowed",
+    )
+    accepted = stage(
+        above.join(properties, F.col("ancestor") == F.col("range")).select("property", "label").distinct(),
+        f"{folder}/accepted",
+    )
+    size = max(table_bytes(t) for t in (known, ranges, allowed, accepted))
+    return Vocabulary(known, ranges, allowed, accepted, size, not (classes.isEmpty() or properties.isEmpty()))
 
 
 def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
@@ -81,7 +83,7 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
     document.
     """
     def look(rows: DataFrame, table: DataFrame, on: list[str], flag: str) -> DataFrame:
-        return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left")
+        return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left", size=vocabulary.size)
 
     via_ranges = vocabulary.ranges.select(F.col("property").alias("via"), F.col("ranges").alias("via_ranges"))
     inferred = F.when(F.size("types") > 0, F.col("types")).when(F.col("via").isNull(), F.array(F.lit(ROOT_TYPE)))

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgraph.operators.jsonld import document_terms, read_terms
+from textgraph.operators.jsonld import document_terms, term_signals
 from textgraph.operators.labels import split_gold_by_signal
 from textgraph.operators.scoring import (
     confusion_counts, gold_list, gold_rows, invalid_label_counts, quality_scores,
 )
+from textgraph.session import run_folder, stage
 
 
 @dataclass
@@ -35,19 +36,24 @@ def evaluate(
     taxonomy: DataFrame,
     signals: DataFrame,
     on_invalid: str = "keep",
+    folder: str | None = None,
 ) -> Evaluation:
     """Counts and scores of a dataset (doc_id, text, gold_labels as a list
     literal) against its final documents (doc_id, json_ld).
 
-    A document whose labels cannot be read is rejected and not counted.
+    A document whose labels cannot be read is rejected and not counted. The
+    documents are parsed once; their terms are a stage table.
     """
+    folder = folder or run_folder(dataset.sparkSession, "evaluate")
     gold = dataset.select("doc_id", "text", gold_list(F.col("gold_labels")).alias("gold_labels"))
     check_gold(gold_rows(gold, "doc_id"), taxonomy, signals, on_invalid)
-    read = document_terms(documents.select("doc_id", "json_ld"))
+    read = stage(
+        document_terms(documents.select("doc_id", "json_ld")).select("doc_id", "terms", "reject_reason"), f"{folder}/terms"
+    )
     scored = gold.join(read.filter("reject_reason IS NULL").select("doc_id", "terms"), "doc_id")
     rejects = read.filter("reject_reason IS NOT NULL").select("doc_id", "reject_reason")
 
-    generated = read_terms(documents.select("doc_id", "json_ld"), signals)
+    generated = term_signals(read, signals)
     actual = split_gold_by_signal(gold_rows(scored, "doc_id"), taxonomy, signals)
     wanted = generated.select("doc_id", "signal_type", "label", "pos")
     counts = confusion_counts(actual, wanted, scored, taxonomy, signals)

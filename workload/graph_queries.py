@@ -12,7 +12,7 @@ from textgraph.session import run_folder, stage
 from textgraph.sources import sinks
 from workload.fixtures import view
 from workload.label_queries import documents, signals, taxonomy
-from workload.text_queries import DEFINED, PARSED, VECTORS, mapped, parsed, query
+from workload.text_queries import DEFINED, PARSED, VECTORS, mapped, parsed, query, staged
 
 DOCS = "docs AS (SELECT doc_id, regexp_extract(response, '(\\{.*\\})', 1, 's') AS json_ld FROM fx_jsonld)"
 
@@ -463,4 +463,5 @@ LEFT JOIN (SELECT * FROM rounds WHERE route = 'label') f ON f.doc_id = s.doc_id
 @query("result_summary", SUMMARY)
 def run_result_summary(spark, sf):
     final = repaired(spark, sf).filter("route = 'label'")
-    return result_summary(parsed(spark, sf), mapped(spark, sf), final)
+    answers = staged(spark, sf)
+    return result_summary(answers, mapped(spark, sf, answers), final)

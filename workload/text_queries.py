@@ -58,6 +58,11 @@ def parsed(spark, sf) -> DataFrame:
     return ex.extraction(view(spark, sf, "fx_response")).drop("response")
 
 
+def staged(spark, sf) -> DataFrame:
+    """Parsed answers as a stage table, for queries that read them repeatedly."""
+    return stage(parsed(spark, sf), run_folder(spark, "parsed"))
+
+
 def entities(spark, sf) -> DataFrame:
     return ex.entity_rows(parsed(spark, sf))
 
@@ -316,17 +321,17 @@ def vectors(spark, sf, mentions: DataFrame) -> DataFrame:
     return mentions.select("class_name", "embed_text").distinct().join(stored, "class_name").select("embed_text", "embedding")
 
 
-def mapped(spark, sf, folder: str | None = None) -> DataFrame:
-    found = entities(spark, sf)
+def mapped(spark, sf, answers: DataFrame) -> DataFrame:
+    found = ex.entity_rows(answers)
     return sm.schema_mapping(
         found, view(spark, sf, "fx_class"), vectors(spark, sf, sm.class_mentions(found)),
-        view(spark, sf, "fx_store_definition"), folder=folder,
+        view(spark, sf, "fx_store_definition"),
     )
 
 
 @query("schema_mapping", f"WITH {PARSED.strip()}, {VECTORS} SELECT doc_id, class_name, pos, schema_label, definition FROM mapping")
 def schema_mapping(spark, sf):
-    return mapped(spark, sf).select("doc_id", "class_name", "pos", "schema_label", "definition")
+    return mapped(spark, sf, staged(spark, sf)).select("doc_id", "class_name", "pos", "schema_label", "definition")
 
 
 @query("entities_with_schema", f"""
@@ -334,7 +339,8 @@ WITH {PARSED.strip()}, {VECTORS}
 SELECT p.* FROM ({PER_CLASS}) p WHERE (doc_id, class_name) IN (SELECT (doc_id, class_name) FROM mapping)
 """)
 def entities_with_schema(spark, sf):
-    found = ex.entities_with_schema(entities(spark, sf), mapped(spark, sf))
+    answers = staged(spark, sf)
+    found = ex.entities_with_schema(ex.entity_rows(answers), mapped(spark, sf, answers))
     return found.withColumn("names", F.array_join("names", "|"))
 
 
@@ -355,18 +361,18 @@ FROM mapping m JOIN per_class p ON p.doc_id = m.doc_id AND p.class_name = m.clas
 """
 
 
-def blocks(spark, sf) -> DataFrame:
-    mapping = stage(mapped(spark, sf), run_folder(spark, "mapped"))
+def blocks(spark, sf, answers: DataFrame) -> DataFrame:
+    mapping = mapped(spark, sf, answers)
     defined = view(spark, sf, "fx_store_definition").withColumnRenamed("definition", "compact")
     defined = lk.one_definition_per_label(defined).withColumn("raw", F.col("compact"))
     return prompts.schema_blocks(
-        mapping.select("doc_id", "class_name", "schema_label", "pos"), ex.entities_per_class(entities(spark, sf)), defined
+        mapping.select("doc_id", "class_name", "schema_label", "pos"), ex.entities_per_class(ex.entity_rows(answers)), defined
     )
 
 
 @query("schema_blocks", f"WITH {BLOCKS} SELECT doc_id, schema_blocks FROM blocks")
 def schema_blocks(spark, sf):
-    return blocks(spark, sf)
+    return blocks(spark, sf, staged(spark, sf))
 
 
 RERUN = _template(templates.RERUN, PREVIOUS_JSON_LD="'{\"previous\": ' || CAST(d.doc_id AS VARCHAR) || '}'", VALIDATION_OUTPUT="lang")
@@ -380,8 +386,9 @@ FROM documents d JOIN (SELECT doc_id, string_agg('- ' || subject || ' → ' || p
 LEFT JOIN blocks b ON b.doc_id = d.doc_id
 """)
 def prompt_transform(spark, sf):
-    usable = parsed(spark, sf).filter("NOT extraction_failed").select("doc_id", "relations")
-    docs = view(spark, sf, "documents").join(usable, "doc_id").join(blocks(spark, sf), "doc_id", "left")
+    answers = staged(spark, sf)
+    usable = answers.filter("NOT extraction_failed").select("doc_id", "relations")
+    docs = view(spark, sf, "documents").join(usable, "doc_id").join(blocks(spark, sf, answers), "doc_id", "left")
     docs = docs.withColumns({
         "runs": F.when(F.col("lang") == "en", 0).otherwise(1),
         "previous_json_ld": F.concat(F.lit('{"previous": '), "doc_id", F.lit("}")),
