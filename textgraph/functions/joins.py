@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
+HEAVY_ROWS = 1_000_000
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -43,6 +44,25 @@ def lookup_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def join_per_key(
+    left: DataFrame, per_key: DataFrame, on: list[str], weight: str, heavy: int = HEAVY_ROWS
+) -> DataFrame:
+    """Inner join of rows with a table of one row per key, both large.
+
+    ``weight`` is the number of left rows of a key. Keys above ``heavy`` rows
+    are few (their number is at most all rows by ``heavy``); their rows stay
+    where they are and look the key up. The rows of all other keys are shuffled,
+    and no task gets more than ``heavy`` rows of one key.
+    """
+    hot = per_key.filter(F.col(weight) > heavy)
+    size = table_bytes(hot)
+    if size == 0:
+        return left.join(per_key, on)
+    spread = lookup_join(left, hot, on, "inner", size=size)
+    rest = lookup_join(left, hot.select(*on), on, "left_anti", size=size)
+    return spread.unionByName(rest.join(per_key.filter(F.col(weight) <= heavy), on))
+
+
 def _hashable(df: DataFrame) -> list[str]:
     """Columns a hash accepts: maps and variants are left out."""
     return [

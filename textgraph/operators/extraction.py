@@ -49,12 +49,16 @@ def extraction(answers: DataFrame, response: str = "response") -> DataFrame:
 
 
 def entity_rows(parsed: DataFrame) -> DataFrame:
-    """One row per entity: doc_id, pos, name, class_name, description."""
-    return parsed.select("doc_id", F.inline("entities"))
+    """One row per entity: doc_id, pos, name, class_name, description.
+
+    The outer form keeps Spark from parsing a cell twice, once to see whether
+    its list is empty.
+    """
+    return parsed.select("doc_id", F.inline_outer("entities")).filter("pos IS NOT NULL")
 
 
 def relation_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline("relations"))
+    return parsed.select("doc_id", F.inline_outer("relations")).filter("pos IS NOT NULL")
 
 
 def first_per_class(entities: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import text
+from textgraph.functions.joins import HEAVY_ROWS, join_per_key
+from textgraph.session import run_folder, stage
 
 NUMERIC_TYPES = ["xsd:integer", "xsd:decimal", "xsd:double", "xsd:float", "xsd:int", "xsd:long"]
 
@@ -29,13 +31,14 @@ def turtle_prefixes(prefixes: dict[str, str]) -> list[str]:
     return [f"@prefix {name}: <{uri}> ." for name, uri in prefixes.items()] + [""]
 
 
-def turtle_individuals(triples: DataFrame) -> DataFrame:
+def turtle_individuals(triples: DataFrame, folder: str | None = None, heavy: int = HEAVY_ROWS) -> DataFrame:
     """Blocks per subject: types, then literals, then relations.
 
     Columns: subject, section, pos, line. Sections: 0 subject, 1 types,
     2 literals, 3 relations, 4 the lone full stop of a subject without lines,
     5 the empty line behind a block. A row without a predicate only states that
-    its subject (and type) exists.
+    its subject (and type) exists. The table of subjects is staged, as it is
+    read three times.
     """
     stated = triples.filter("predicate IS NOT NULL").select(
         "subject",
@@ -43,8 +46,9 @@ def turtle_individuals(triples: DataFrame) -> DataFrame:
         "pos",
         F.concat(F.lit("    "), prefixed(F.col("predicate")), F.lit(" "), object_text()).alias("body"),
     )
-    # Few rows per subject: types are a set, the last place is one value.
+    # One row per subject: types are a set, the last place is one value.
     subjects = triples.groupBy("subject").agg(
+        F.count("predicate").alias("n"),
         F.array_sort(F.collect_set("node_type")).alias("types"),
         F.max(
             F.when(
@@ -53,7 +57,8 @@ def turtle_individuals(triples: DataFrame) -> DataFrame:
             )
         ).alias("last"),
     )
-    ends = stated.join(subjects.select("subject", "last"), "subject").select(
+    subjects = stage(subjects, f"{folder or run_folder(triples.sparkSession, 'subjects')}/subjects")
+    ends = join_per_key(stated, subjects.select("subject", "last", "n"), ["subject"], "n", heavy).select(
         "subject", "section", "pos",
         F.concat("body", F.when(F.struct("section", "pos") == F.col("last"), " .").otherwise(" ;")).alias("line"),
     )

@@ -40,8 +40,9 @@ def extract_documents(answers: DataFrame, response: str = "response") -> DataFra
 def term_lists(labels: DataFrame) -> DataFrame:
     """Labels of a text, in order, as one list of terms.
 
-    ``labels`` is (doc_id, pos, label, main_topic); labels without a topic are
-    left out. A list is part of one model answer.
+    ``labels`` is (doc_id, pos, label, main_topic), where any type that sorts may
+    be the pos; labels without a topic are left out. The list goes into one
+    document, so it is as large as a cell.
     """
     term = F.struct("pos", "label", "main_topic")
     return labels.filter("main_topic IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list(term)).alias("terms"))
@@ -55,10 +56,7 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     reject_reason and stays as it is.
     """
     joined = docs.join(term_lists(labels), "doc_id", "left")
-    parsed = joined.withColumns({
-        "_v": parsed_object(F.col("json_ld")),
-        "terms": F.coalesce("terms", F.array().cast("array<struct<pos:bigint,label:string,main_topic:string>>")),
-    })
+    parsed = joined.withColumn("_v", parsed_object(F.col("json_ld")))
     parsed = parsed.withColumn("_about", F.try_variant_get("_v", "$.about", "variant"))
     # The map read from the text keeps the order of its keys.
     fields = F.from_json("json_ld", OBJECT)
@@ -76,9 +74,9 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     merged = F.map_concat(
         F.map_filter(fields, lambda k, _: k != "about"),
-        F.create_map(F.lit("about"), F.to_variant_object(F.concat(held, new))),
+        F.create_map(F.lit("about"), F.to_variant_object(F.concat(held, F.coalesce(new, F.array().cast(ARRAY))))),
     )
-    unchanged = (F.size("terms") == 0) & about.isNotNull()
+    unchanged = F.col("terms").isNull() & about.isNotNull()
     return (
         parsed.withColumn("reject_reason", F.when(F.col("_v").isNull(), "no JSON object"))
         .withColumn("json_ld", F.when(F.col("_v").isNull() | unchanged, F.col("json_ld")).otherwise(F.to_json(merged)))
@@ -117,7 +115,8 @@ def document_terms(docs: DataFrame) -> DataFrame:
 
 def term_signals(read: DataFrame, signals: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``document_terms`` as labels with the signal type of their set."""
-    rows = read.filter("reject_reason IS NULL").select(key, F.inline("terms"))
+    kept = F.when(F.col("reject_reason").isNull(), F.col("terms"))
+    rows = read.select(key, F.inline_outer(kept)).filter("pos IS NOT NULL")
     return lookup_join(rows, reading_signal(signals).select("main_topic", "signal_type"), ["main_topic"], "inner")
 
 

@@ -29,17 +29,10 @@ def reading_signal(signals: DataFrame) -> DataFrame:
     return signals.groupBy("main_topic").agg(first, F.min("priority").alias("priority"))
 
 
-def taxonomy_groups(taxonomy: DataFrame) -> DataFrame:
-    """Sub topics per main topic in file order; sorted main topics.
-
-    The lists are a view of the taxonomy itself and are as large as it is.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "sub_topic")))
-    return (
-        taxonomy.groupBy("main_topic")
-        .agg(F.transform(ordered, lambda s: s["sub_topic"]).alias("sub_topics"))
-        .orderBy("main_topic")
-    )
+def taxonomy_rows(taxonomy: DataFrame) -> DataFrame:
+    """Sub topics grouped by main topic: main topics sorted, sub topics in file
+    order. Rows in order, so no topic is collected into one list."""
+    return taxonomy.select("main_topic", "pos", "sub_topic").orderBy("main_topic", "pos")
 
 
 def offered_labels(taxonomy: DataFrame, signals: DataFrame) -> DataFrame:
@@ -76,13 +69,13 @@ def rejected_labels(proposed: DataFrame, offered: DataFrame) -> DataFrame:
 
 
 def labels_concat(allowed: DataFrame) -> DataFrame:
-    """Allowed labels of a text as one list: onderwerp first, then beleving.
+    """Allowed labels of a text in one order: onderwerp first, then beleving.
 
-    A list is part of one model answer, so a group is as large as a cell.
+    Rows with the order in ``pos`` (type, then place in the answer); duplicates
+    stay.
     """
-    first = F.when(F.col("signal_type") == fixed.ONDERWERP, 1).otherwise(2)
-    ordered = F.sort_array(F.collect_list(F.struct(first.alias("o"), "pos", "label")))
-    return allowed.groupBy("doc_id").agg(F.transform(ordered, lambda l: l["label"]).alias("labels"))
+    part = F.when(F.col("signal_type") == fixed.ONDERWERP, 1).otherwise(2)
+    return allowed.select("doc_id", F.struct(part.alias("part"), F.col("pos").alias("place")).alias("pos"), "label")
 
 
 def topic_of_label(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:

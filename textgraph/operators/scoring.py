@@ -18,7 +18,8 @@ def gold_list(literal: Column) -> Column:
 
 
 def gold_rows(texts: DataFrame, key: str, labels: str = "gold_labels") -> DataFrame:
-    return texts.select(key, F.posexplode(labels).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
+    rows = texts.select(key, F.posexplode_outer(labels).alias("pos", "label")).filter("pos IS NOT NULL")
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 def confusion_counts(

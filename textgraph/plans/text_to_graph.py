@@ -178,9 +178,10 @@ class TextToGraph:
         calls = self._call("n5", asked, templates.LABEL_SYSTEM, "n5")
         answers = mc.structured_labels(calls)
         allowed = lb.allowed_labels(mc.proposed_rows(answers), offered)
-        lists = lb.labels_concat(allowed)
-        ordered = lists.select("doc_id", F.posexplode("labels").alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
+        ordered = stage(lb.labels_concat(allowed), f"{self.folder}/labels")
         termed = jsonld.add_terms(done, lb.topic_of_label(ordered, self.stores.taxonomy))
+        names = F.sort_array(F.collect_list(F.struct("pos", "label")))
+        lists = ordered.groupBy("doc_id").agg(F.transform(names, lambda n: n["label"]).alias("labels"))
         unread = answers.filter("answer IS NULL").select("doc_id", F.col("reject_reason").alias("label_reason"))
         return (
             termed.join(lists, "doc_id", "left").join(unread, "doc_id", "left")

@@ -44,10 +44,10 @@ def read_labelled(
 def resume_slice(source: DataFrame, results: DataFrame, limit: int, source_id: str = "id") -> DataFrame:
     """The next ``limit`` rows behind the last stored source id.
 
-    Both id lists start at 1 or above, so an empty result table means 0.
+    With nothing stored it starts at the first row.
     """
-    last = results.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("last")).scalar()
-    return source.filter(F.col(source_id) > last).orderBy(source_id).limit(limit)
+    last = results.agg(F.max("source_id").alias("last")).scalar()
+    return source.filter(last.isNull() | (F.col(source_id) > last)).orderBy(source_id).limit(limit)
 
 
 def class_store(df: DataFrame) -> DataFrame:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgraph.functions import fixed
-from textgraph.operators import extraction as ex, graph_output as go, jsonld as jl, labels as lb, validation as va, vocabulary as vo
+from textgraph.operators import graph_output as go, jsonld as jl, labels as lb, validation as va, vocabulary as vo
 from textgraph.plans.repair import repair_loop
 from textgraph.plans.text_to_graph import Stores, TextToGraph, result_summary
-from textgraph.session import run_folder, stage
+from textgraph.session import run_folder
 from textgraph.sources import sinks
 from workload.fixtures import view
-from workload.label_queries import documents, signals, taxonomy
-from workload.text_queries import DEFINED, PARSED, VECTORS, mapped, parsed, query, staged
+from workload.label_queries import OFFERED, documents, signals, taxonomy
+from workload.text_queries import DEFINED, PARSED, VECTORS, mapped, parsed, query, shipped, staged, vowel_embedder
 
 DOCS = "docs AS (SELECT doc_id, regexp_extract(response, '(\\{.*\\})', 1, 's') AS json_ld FROM fx_jsonld)"
 
@@ -397,41 +396,39 @@ def graph_description(spark, sf):
 
 # --- the whole job ----------------------------------------------------------
 
-def _script():
-    """A local stand-in for a model: answers each kind of prompt by rule."""
+def scripted_model():
+    """Answers each kind of prompt by rule: short texts get no sections, texts
+    of odd length a wrong first document."""
     def call(system, human):
-        if "entiteiten" in system:
-            body = human.split("Tekst:\n", 1)[1]
-            words = [w for w in body.split() if w][:1] or [""]
-            if len(body) < 40:
+        import json
+
+        if "uit tekst" in system:
+            text = human.split("Tekst:\n", 1)[1][:-1]
+            if len(text) < 40:
                 return "too short"
+            word = text.split()[0]
             return (
-                f"<summary>\n{body.strip()}\n</summary>\n<entiteiten>\n{words[0]} | Word | first word\n"
-                f"text | Text | whole text\n</entiteiten>\n<relaties>\n{words[0]} | opens | text\n</relaties>"
+                f"<summary>\n{text}\n</summary>\n<entiteiten>\n{word} | Word | first word\n"
+                f"all | Text | whole text\n</entiteiten>\n<relaties>\n{word} | opens | all\n</relaties>"
             )
         if "schema.org klasse" in system:
             return '{"reasoning": "r", "selected_class": "Person", "selected_number": 1}'
         if "JSON-LD" in system:
-            wrong = '"shoeSize": 1, ' if len(human) % 2 and "afgekeurd" not in human else ""
-            return '{"@context": "https://schema.org", "@type": "Person", ' + wrong + '"name": "' + str(len(human)) + '"}'
-        return '{"onderwerp_labels": ["NATION_0", "NATION_3"], "beleving_labels": ["NATION_4"]}'
-
-    return lambda: call
-
+            text = human.split("Tekst:\n", 1)[1].split("\n\nDefinities:", 1)[0]
+            document = {"@context": "https://schema.org", "@type": "Person", "name": text.split()[0]}
+            if len(text) % 2 and "afgekeurd" not in human:
+                document["shoeSize"] = 1
+            return json.dumps(document)
+        return '{"onderwerp_labels": ["NATION_0", "NATION_3", "NOWHERE"], "beleving_labels": ["NATION_4", "NATION_1"]}'
 
-def _letters():
-    def embed(texts):
-        return [[float(t.count(c) + 1) for c in "aeioun "] for t in texts]
-
-    return lambda: embed
+    return call
 
 
 def stores(spark, sf) -> Stores:
     words = view(spark, sf, "fx_schema_class")
-    letters = lambda c: F.array(*[(F.length(F.translate("label", f"{c}x", c)) + F.lit(i)).cast("float") for i in range(7)])
     classes = words.select(
         F.col("class_id").cast("long").alias("class_id"), F.col("label").alias("class_label"),
-        F.lit(None).cast("string").alias("comments"), letters("a").alias("embedding"),
+        F.lit(None).cast("string").alias("comments"), F.array(*[F.col("class_id").cast("float") + i * i for i in range(5)]).alias("embedding"),
     )
     properties = view(spark, sf, "fx_schema_property")
     defined = vo.assemble_definitions(
@@ -442,11 +439,36 @@ def stores(spark, sf) -> Stores:
     return Stores(classes, defined, words, properties, taxonomy(spark, sf), signals(spark, sf))
 
 
-@query("text_to_graph")
+GRAPH = f"""
+WITH {OFFERED.strip()}, {TOPICS},
+answer(signal_type, part, place, label) AS (VALUES ('onderwerp', 1, 0, 'NATION_0'), ('onderwerp', 1, 1, 'NATION_3'), ('onderwerp', 1, 2, 'NOWHERE'),
+  ('beleving', 2, 0, 'NATION_4'), ('beleving', 2, 1, 'NATION_1')),
+kept AS (SELECT a.* FROM answer a WHERE (signal_type, label) IN (SELECT (signal_type, label) FROM offered)),
+own AS (SELECT string_agg(k.label, '|' ORDER BY part, place) AS labels, string_agg(k.label || '@' || main_topic, '|' ORDER BY part, place) AS terms
+        FROM kept k JOIN topics ON sub_topic = k.label)
+SELECT doc_id, length(text) < 40 AS extraction_failed, 0 AS code,
+       CASE WHEN length(text) < 40 THEN 'Skipped validation due to entity extraction failure' ELSE '' END AS output,
+       CASE WHEN length(text) >= 40 AND length(text) % 2 = 1 THEN 1 ELSE 0 END AS runs,
+       CASE WHEN length(text) < 40 THEN NULL ELSE regexp_extract(text, '^\\s*(\\S+)', 1) END AS name,
+       CASE WHEN length(text) < 40 THEN 'No subtopic found' ELSE labels END AS labels,
+       CASE WHEN length(text) < 40 THEN 'No subtopic found@No topic found' ELSE terms END AS terms, CAST(NULL AS VARCHAR) AS reject_reason
+FROM documents JOIN own ON TRUE
+"""
+
+
+@query("text_to_graph", GRAPH)
 def text_to_graph(spark, sf):
-    job = TextToGraph(stores(spark, sf), models=_script(), embedder=_letters(), add_labels=True, threads=4)
+    job = TextToGraph(stores(spark, sf), models=shipped(scripted_model), embedder=shipped(vowel_embedder), add_labels=True, threads=4)
     done = job.run(view(spark, sf, "documents"))
-    return done.select("doc_id", "json_ld", "code", "output", "runs", F.array_join("labels", "|").alias("labels"), "extraction_failed", "reject_reason")
+    v = F.try_parse_json("json_ld")
+    terms = F.transform(
+        F.try_variant_get(v, "$.about", jl.ARRAY),
+        lambda t: F.concat(F.try_variant_get(t, "$.name", "string"), F.lit("@"), F.try_variant_get(t, "$.inDefinedTermSet.name", "string")),
+    )
+    return done.select(
+        "doc_id", "extraction_failed", "code", "output", "runs", F.try_variant_get(v, "$.name", "string").alias("name"),
+        F.array_join("labels", "|").alias("labels"), F.array_join(terms, "|").alias("terms"), "reject_reason",
+    )
 
 
 SUMMARY = f"""

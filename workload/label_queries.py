@@ -28,10 +28,10 @@ def part_labels(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 @query("taxonomy_load", """
-SELECT main_topic, string_agg(sub_topic, '|' ORDER BY pos, sub_topic) AS sub_topics FROM fx_part_taxonomy GROUP BY main_topic ORDER BY main_topic
+SELECT main_topic, pos, sub_topic FROM fx_part_taxonomy ORDER BY main_topic, pos
 """)
 def taxonomy_load(spark, sf):
-    return lb.taxonomy_groups(part_labels(spark, sf)[0]).withColumn("sub_topics", F.array_join("sub_topics", "|"))
+    return lb.taxonomy_rows(part_labels(spark, sf)[0])
 
 
 @query("valid_label_set", """
@@ -88,11 +88,10 @@ def rejected_labels(spark, sf):
 
 
 @query("labels_concat", f"""
-WITH {ALLOWED}
-SELECT doc_id, string_agg(label, '|' ORDER BY CASE WHEN signal_type = 'onderwerp' THEN 1 ELSE 2 END, pos, label) AS labels FROM allowed GROUP BY doc_id
+WITH {ALLOWED} SELECT doc_id, CASE WHEN signal_type = 'onderwerp' THEN 1 ELSE 2 END AS part, pos AS place, label FROM allowed
 """)
 def labels_concat(spark, sf):
-    return lb.labels_concat(allowed(spark, sf)).withColumn("labels", F.array_join("labels", "|"))
+    return lb.labels_concat(allowed(spark, sf)).select("doc_id", "pos.part", "pos.place", "label")
 
 
 @query("topic_of_label", """

@@ -397,15 +397,16 @@ def prompt_transform(spark, sf):
     return prompts.transform_prompt(docs).select("doc_id", "human_prompt")
 
 
-# --- model calls (no SQL for a Python model) --------------------------------
+# --- model calls: local functions stand in for a model ----------------------
 
 def counting_model():
-    """A local stand-in: answers with the length of the prompt."""
+    """Answers with the length of the prompt."""
     return lambda system, human: f"{len(human)} characters"
 
 
-def _short_of_luck():
-    """Fails by the text: long prompts are refused, empty turns run into a limit."""
+def failing_model():
+    """Fails by the length of the prompt, as a limit or as a bad request; other
+    prompts get a choice whose number may be out of range."""
     def call(system, human):
         if len(human) > 300:
             raise RuntimeError("429 rate limit")
@@ -413,56 +414,67 @@ def _short_of_luck():
             raise ValueError("bad request")
         return '{"reasoning": "r", "selected_class": "Person", "selected_number": ' + str(1 + len(human) % 7) + "}"
 
-    return lambda: call
+    return call
 
 
-def _local(factory):
-    """The same factory as a function of its own, so it travels by value."""
+def vowel_embedder():
+    return lambda texts: [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+def shipped(factory):
+    """The made function as a closure, so that it travels by value and the
+    executors need no module of this repository."""
     made = factory()
     return lambda: made
 
 
-@query("model_map")
+@query("model_map", """
+SELECT doc_id, CAST(length(text) AS VARCHAR) || ' characters' AS response, CAST(NULL AS VARCHAR) AS error, 1 AS attempts FROM documents
+""")
 def model_map(spark, sf):
     asked = view(spark, sf, "documents").select("doc_id", F.lit("s").alias("system_prompt"), F.col("text").alias("human_prompt"))
-    return mc.model_map(asked, _local(counting_model), threads=4).select("doc_id", "response", "error", "attempts")
+    return mc.model_map(asked, shipped(counting_model), threads=4).select("doc_id", "response", "error", "attempts")
 
 
-def _choices(spark, sf, tries: int) -> DataFrame:
+CHOICES = """
+choice AS (SELECT conv_id, turn, length(text) AS n, CAST(1 + length(text) % 7 AS INTEGER) AS number FROM conversations),
+chosen AS (SELECT *, n <= 200 AND number <= 5 AS ok FROM choice)
+"""
+
+
+def choices(spark, sf, tries: int) -> DataFrame:
     asked = view(spark, sf, "conversations").select(
         "conv_id", "turn", F.lit("s").alias("system_prompt"), F.col("text").alias("human_prompt")
     )
-    return mc.model_map(asked, _local(_short_of_luck()), tries=tries, wait=0.0)
+    return mc.structured_choice(mc.model_map(asked, shipped(failing_model), tries=tries, wait=0.0))
 
 
-@query("structured_map")
+@query("structured_map", f"""
+WITH {CHOICES}
+SELECT conv_id, turn, CASE WHEN ok THEN 'Person' END AS selected_class, CASE WHEN ok THEN number END AS selected_number,
+       CASE WHEN n > 200 THEN 'no response' WHEN NOT ok THEN 'answer does not fit its type' END AS reject_reason FROM chosen
+""")
 def structured_map(spark, sf):
-    return mc.structured_choice(_choices(spark, sf, 1)).select(
-        "conv_id", "turn", "answer.selected_class", "answer.selected_number", "reject_reason"
-    )
+    return choices(spark, sf, 1).select("conv_id", "turn", "answer.selected_class", "answer.selected_number", "reject_reason")
 
 
-@query("retry_fallback")
+@query("retry_fallback", f"""
+WITH {CHOICES}
+SELECT conv_id, turn, CASE WHEN ok THEN 'Person' ELSE 'Thing' END AS schema_label, NOT ok AS fell_back, CASE WHEN n > 300 THEN 3 ELSE 1 END AS attempts FROM chosen
+""")
 def retry_fallback(spark, sf):
     keys = ["conv_id", "turn"]
-    answers = stage(mc.structured_choice(_choices(spark, sf, 3)), run_folder(spark, "choices"))
+    answers = stage(choices(spark, sf, 3), run_folder(spark, "choices"))
     one = F.struct(F.lit(1).alias("rank"), F.lit("Thing").alias("class_label"))
-    candidates = view(spark, sf, "conversations").select(*keys, F.array(one).alias("candidates"))
-    return mc.choice_or_first(candidates, answers.filter("answer IS NOT NULL"), keys).join(
-        answers.select(*keys, "attempts"), keys
-    ).select(*keys, "schema_label", "fell_back", "attempts")
-
+    candidates = answers.select(*keys, "attempts", F.array(one).alias("candidates"))
+    resolved = mc.choice_or_first(candidates, answers.filter("answer IS NOT NULL"), keys)
+    return resolved.select(*keys, "schema_label", "fell_back", "attempts")
 
-def _letter_embedder():
-    def embed(texts):
-        return [[float(t.count(c)) for c in "aeioun "] for t in texts]
 
-    return lambda: embed
-
-
-@query("embed_map")
+@query("embed_map", "SELECT DISTINCT text AS embed_text, " + " || ',' || ".join(
+    f"CAST(length(text) - length(replace(text, '{c}', '')) AS VARCHAR) || '.0'" for c in "aeiou"
+) + " AS vector FROM documents")
 def embed_map(spark, sf):
     texts = view(spark, sf, "documents").select(F.col("text").alias("embed_text"))
-    return mc.embed_map(texts, _letter_embedder()).select(
-        F.xxhash64("embed_text").alias("text_hash"), F.array_join(F.col("embedding").cast("array<string>"), ",").alias("vector")
-    )
+    made = mc.embed_map(texts, shipped(vowel_embedder))
+    return made.select("embed_text", F.array_join(F.col("embedding").cast("array<string>"), ",").alias("vector"))
