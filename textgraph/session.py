@@ -32,14 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may go without the setting; it gets a folder of its
     own then.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="textgraph-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="textgraph-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
