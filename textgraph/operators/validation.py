@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +21,7 @@ class Vocabulary:
 
     known (label); ranges (property, ranges); allowed (label, property), with
     what a class inherits; accepted (property, label), with the classes below a
-    range; size, the bytes of the largest of them.
+    range; size, the bytes of all four.
     """
 
     known: DataFrame
@@ -55,23 +56,26 @@ def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str |
     (class_label, property, range).
     """
     folder = folder or run_folder(classes.sparkSession, "vocabulary")
-    classes = stage(classes.select("label", "parent").distinct(), f"{folder}/classes")
     properties = stage(properties.select("class_label", "property", "range").distinct(), f"{folder}/properties")
-    above = stage(ancestors(classes), f"{folder}/above")
-    known = stage(classes.select("label").distinct(), f"{folder}/known")
-    ranges = stage(
-        properties.groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")), f"{folder}/ranges"
-    )
-    allowed = stage(
-        above.join(properties, F.col("ancestor") == F.col("class_label")).select("label", "property").distinct(),
-        f"{folder}/allowed",
-    )
-    accepted = stage(
-        above.join(properties, F.col("ancestor") == F.col("range")).select("property", "label").distinct(),
-        f"{folder}/accepted",
+    above = stage(ancestors(classes.select("label", "parent").distinct()), f"{folder}/above")
+    none = F.lit(None).cast("string")
+    parts = {
+        "known": above.filter("label = ancestor").select("label", none.alias("property"), none.alias("range")),
+        "range": properties.select(none.alias("label"), "property", "range"),
+        "allowed": above.join(properties, F.col("ancestor") == F.col("class_label")).select("label", "property", none.alias("range")),
+        "accepted": above.join(properties, F.col("ancestor") == F.col("range")).select("label", "property", none.alias("range")),
+    }
+    rows = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in parts.items()]).distinct()
+    table = stage(rows, f"{folder}/tables")
+    part = lambda kind, *columns: table.filter(F.col("kind") == kind).select(*columns)
+    return Vocabulary(
+        known=part("known", "label"),
+        ranges=part("range", "property", "range").groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")),
+        allowed=part("allowed", "label", "property"),
+        accepted=part("accepted", "property", "label"),
+        size=table_bytes(table),
+        usable=not (above.isEmpty() or properties.isEmpty()),
     )
-    size = max(table_bytes(t) for t in (known, ranges, allowed, accepted))
-    return Vocabulary(known, ranges, allowed, accepted, size, not (classes.isEmpty() or properties.isEmpty()))
 
 
 def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
