@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.functions.joins import join_per_key, lookup_join
+from textgraph.functions import joins
+from textgraph.functions.joins import lookup_join
 from textgraph.operators import lookup as lk, model_calls as mc
 from textgraph.plans import schema_mapping as sm
 
@@ -91,19 +92,17 @@ def test_choice_without_a_definition_falls_back(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_is_the_same(spark, how):
-    left = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("other", 4)], "k string, v int")
-    small, salted = lookup_join(left, right, ["k"], how), lookup_join(left, right, ["k"], how, limit=0, salts=4)
+def test_joins_beyond_the_bound_are_the_same(spark, how, monkeypatch):
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7))
+    left = spark.range(500).select("id", key.alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 5), ("k1", 2), ("k2", 3), ("other", 4)], "k string, v int")
+    small = lookup_join(left, right, ["k"], how)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert small.columns == salted.columns
-    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
-
-
-def test_join_per_key_splits_heavy_keys(spark):
-    left = spark.range(300).select("id", F.when(F.col("id") < 100, -1).otherwise(F.col("id") % 20).alias("k"))
-    keys = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    plain = sorted(map(tuple, left.join(keys, "k").select("id", "k", "n", "top").collect()))
-    for heavy in (5, 50, 1000):
-        got = join_per_key(left, keys, ["k"], "n", heavy).select("id", "k", "n", "top")
-        assert sorted(map(tuple, got.collect())) == plain
+    want = sorted(map(tuple, small.collect()), key=repr)
+    sizes = joins.table_bytes
+    for heavy, bound in ((10**6, 10), (50, 50), (50, 10), (1, 60)):
+        # With a bound below the frequent part of the table its rows are salted.
+        monkeypatch.setattr(joins, "table_bytes", lambda df: sizes(df) if "v" in df.columns or bound > 50 else 0)
+        split = lookup_join(left, right, ["k"], how, limit=bound, heavy=heavy, size=10**6)
+        assert split.columns == small.columns
+        assert sorted(map(tuple, split.collect()), key=repr) == want

@@ -77,12 +77,12 @@ LINES = [
 ]
 
 
-@pytest.mark.parametrize("heavy", [1, 1_000_000])
-def test_turtle(spark, triples, folder, heavy):
-    lines = go.turtle_individuals(triples, heavy=heavy)
+@pytest.mark.parametrize("limit, heavy", [(10**6, 10**6), (100, 10**6), (100, 2)])
+def test_turtle(spark, triples, folder, limit, heavy):
+    lines = go.turtle_individuals(triples, limit=limit, heavy=heavy)
     assert [r["line"] for r in lines.orderBy("subject", "section", "pos").collect()] == LINES
-    sinks.write_turtle(lines, f"{folder}/{heavy}")
-    assert [r["value"] for r in spark.read.text(f"{folder}/{heavy}").collect()] == LINES
+    sinks.write_turtle(lines, f"{folder}/turtle")
+    assert [r["value"] for r in spark.read.text(f"{folder}/turtle").collect()] == LINES
 
 
 def test_lone_triples(triples):

@@ -1,19 +1,23 @@
-"""Joins against lookup tables, and where bounded work is checked.
+"""Joins against lookup tables, with the size of what is broadcast checked.
 
-A lookup table (taxonomy, vocabulary, class store) is broadcast only after its
-size has been measured. Beyond the bound the join is a shuffle join whose hot
-keys are spread: the left rows get a salt, the lookup rows are repeated once
-per salt. The salt is a hash of the row, so a lost task that runs again puts
-its rows where it put them before.
+A lookup table (taxonomy, vocabulary, candidates of texts) is broadcast only
+after it has been measured. Beyond the bound the join is a shuffle join whose
+frequent keys are taken out first: their number is bounded by their frequency,
+so their part of the lookup table is broadcast and their rows stay where they
+are. Everything is exact either way.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from textgraph.session import run_folder, stage
+
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
 HEAVY_ROWS = 1_000_000
+SALTS = 64
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -30,42 +34,52 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    heavy: int = HEAVY_ROWS,
     size: int | None = None,
 ) -> DataFrame:
     """Join rows with a lookup table; inner, left, left_semi or left_anti.
 
-    ``size`` is the size of the lookup table where it was measured before.
+    ``size`` is the size of the lookup table where it was measured before. Keys
+    with more than ``heavy`` rows on the left count as frequent.
     """
     if (table_bytes(lookup) if size is None else size) <= limit:
         return left.join(F.broadcast(lookup), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    joined = _split_join(left.filter(whole), lookup, on, how, limit, heavy)
+    if how in ("left", "left_anti"):
+        # Rows without a key match nothing and need no shuffle.
+        joined = joined.unionByName(left.filter(~whole), allowMissingColumns=True)
+    return joined
 
 
-def join_per_key(
-    left: DataFrame, per_key: DataFrame, on: list[str], weight: str, heavy: int = HEAVY_ROWS
-) -> DataFrame:
-    """Inner join of rows with a table of one row per key, both large.
+def _split_join(left: DataFrame, lookup: DataFrame, on: list[str], how: str, limit: int, heavy: int) -> DataFrame:
+    counts = stage(
+        left.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > heavy),
+        run_folder(left.sparkSession, "frequent"),
+    )
+    if counts.isEmpty():
+        return left.join(lookup, on, how)
+    while table_bytes(counts.filter(F.col("n") > heavy)) > limit:
+        heavy *= 4
+    frequent = F.broadcast(counts.filter(F.col("n") > heavy).select(*on))
+    rows, found = left.join(frequent, on, "left_semi"), lookup.join(frequent, on, "left_semi")
+    if table_bytes(found) <= limit:
+        spread = rows.join(F.broadcast(found), on, how)
+    else:
+        spread = _salted(rows, found, on, how)
+    return spread.unionByName(left.join(frequent, on, "left_anti").join(lookup, on, how))
 
-    ``weight`` is the number of left rows of a key. Keys above ``heavy`` rows
-    are few (their number is at most all rows by ``heavy``); their rows stay
-    where they are and look the key up. The rows of all other keys are shuffled,
-    and no task gets more than ``heavy`` rows of one key.
+
+def _salted(left: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Spread frequent keys by a salt; the lookup rows are repeated per salt.
+
+    The salt is a hash of the row and not a random number, so a lost task that
+    runs again puts its rows where it put them before.
     """
-    hot = per_key.filter(F.col(weight) > heavy)
-    size = table_bytes(hot)
-    if size == 0:
-        return left.join(per_key, on)
-    spread = lookup_join(left, hot, on, "inner", size=size)
-    rest = lookup_join(left, hot.select(*on), on, "left_anti", size=size)
-    return spread.unionByName(rest.join(per_key.filter(F.col(weight) <= heavy), on))
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns a hash accepts: maps and variants are left out."""
-    return [
-        f.name for f in df.schema.fields
+    plain = [
+        f.name for f in left.schema.fields
         if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
     ]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import text
-from textgraph.functions.joins import HEAVY_ROWS, join_per_key
+from textgraph.functions.joins import BROADCAST_BYTES, HEAVY_ROWS, lookup_join
 from textgraph.session import run_folder, stage
 
 NUMERIC_TYPES = ["xsd:integer", "xsd:decimal", "xsd:double", "xsd:float", "xsd:int", "xsd:long"]
@@ -31,7 +31,9 @@ def turtle_prefixes(prefixes: dict[str, str]) -> list[str]:
     return [f"@prefix {name}: <{uri}> ." for name, uri in prefixes.items()] + [""]
 
 
-def turtle_individuals(triples: DataFrame, folder: str | None = None, heavy: int = HEAVY_ROWS) -> DataFrame:
+def turtle_individuals(
+    triples: DataFrame, folder: str | None = None, limit: int = BROADCAST_BYTES, heavy: int = HEAVY_ROWS
+) -> DataFrame:
     """Blocks per subject: types, then literals, then relations.
 
     Columns: subject, section, pos, line. Sections: 0 subject, 1 types,
@@ -48,7 +50,6 @@ def turtle_individuals(triples: DataFrame, folder: str | None = None, heavy: int
     )
     # One row per subject: types are a set, the last place is one value.
     subjects = triples.groupBy("subject").agg(
-        F.count("predicate").alias("n"),
         F.array_sort(F.collect_set("node_type")).alias("types"),
         F.max(
             F.when(
@@ -58,7 +59,7 @@ def turtle_individuals(triples: DataFrame, folder: str | None = None, heavy: int
         ).alias("last"),
     )
     subjects = stage(subjects, f"{folder or run_folder(triples.sparkSession, 'subjects')}/subjects")
-    ends = join_per_key(stated, subjects.select("subject", "last", "n"), ["subject"], "n", heavy).select(
+    ends = lookup_join(stated, subjects.select("subject", "last"), ["subject"], "inner", limit, heavy).select(
         "subject", "section", "pos",
         F.concat("body", F.when(F.struct("section", "pos") == F.col("last"), " .").otherwise(" ;")).alias("line"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from textgraph.functions import fixed
+from textgraph.functions.joins import lookup_join
 from textgraph.operators.jsonld import extract_documents
 from textgraph.operators.validation import attempt_state, route_outcome
 from textgraph.session import stage
@@ -24,23 +25,23 @@ def repair_loop(
 ) -> DataFrame:
     """Rounds until no document is open, at most ``max_runs``.
 
-    ``answer(open, round)`` gives (doc_id, response) for the open documents; the
-    columns of ``open`` are doc_id, runs and, from the second round on,
-    previous_json_ld and previous_output. ``validate(docs)`` gives (doc_id,
-    code, output). Every round is a written table, so a round reads only what
-    the round before left open, and nothing is computed twice. An
-    infrastructure error stops the job after its round is stored; the rows of
-    all rounds stay in ``folder``.
+    ``docs`` has doc_id and whatever a prompt needs. ``answer(open, round)``
+    gives one row (doc_id, response) per open document, where the response may
+    be NULL; ``open`` has the columns of ``docs``, runs, previous_json_ld and
+    previous_output. ``validate(docs)`` gives (doc_id, code, output).
+
+    Every round is a written table. A round writes the inputs of the documents
+    it leaves open, so the next one reads these only and not all inputs again.
+    An infrastructure error stops the job after its round is stored.
 
     Returns all rounds: the fields of ``ROUND`` and ``round``.
     """
-    spark = docs.sparkSession
-    open_docs = docs.select("doc_id", F.lit(0).alias("runs"))
+    none = F.lit(None).cast("string")
+    open_docs = docs.withColumns({"runs": F.lit(0), "previous_json_ld": none, "previous_output": none})
     rounds = None
     for number in range(max_runs):
         answers = stage(
-            extract_documents(open_docs.join(answer(open_docs, number).select("doc_id", "response"), "doc_id", "left"))
-            .select("doc_id", "runs", "json_ld", "reject_reason"),
+            extract_documents(answer(open_docs, number)).select("doc_id", F.lit(number).alias("runs"), "json_ld", "reject_reason"),
             f"{folder}/answers/round={number}",
         )
         checked = validate(answers.filter("json_ld IS NOT NULL").select("doc_id", "json_ld"))
@@ -52,11 +53,13 @@ def repair_loop(
         halted = done.filter("route = 'halt'").select("output").first()
         if halted:
             raise RuntimeError(f"Infrastructure error in validator: {halted['output']}")
-        open_docs = done.filter("route = 'repair'").select(
+        repair = done.filter("route = 'repair'").select(
             "doc_id", "runs", F.col("json_ld").alias("previous_json_ld"), F.col("output").alias("previous_output")
         )
-        if open_docs.isEmpty():
+        if repair.isEmpty():
             break
+        inputs = lookup_join(open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi")
+        open_docs = stage(inputs.join(repair, "doc_id"), f"{folder}/open/round={number + 1}")
     return rounds
 
 

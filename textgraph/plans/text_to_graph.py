@@ -157,17 +157,11 @@ class TextToGraph:
         )
 
         def answer(open_docs: DataFrame, number: int) -> DataFrame:
-            none = F.lit(None).cast("string")
-            for c in ("previous_json_ld", "previous_output"):
-                if c not in open_docs.columns:
-                    open_docs = open_docs.withColumn(c, none)
-            asked = prompts.transform_prompt(inputs.join(open_docs, "doc_id")).withColumn(
-                "call_name", F.lit(f"{fixed.CALL_TRANSFORM}{number}")
-            )
+            asked = prompts.transform_prompt(open_docs).withColumn("call_name", F.lit(f"{fixed.CALL_TRANSFORM}{number}"))
             return self._call("n3", asked, templates.TRANSFORM_SYSTEM, f"n3/round={number}")
 
         return repair_loop(
-            usable, answer, lambda docs: va.jsonld_validate(docs, vocabulary), f"{self.folder}/repair", self.max_runs
+            inputs, answer, lambda docs: va.jsonld_validate(docs, vocabulary), f"{self.folder}/repair", self.max_runs
         )
 
     def _label(self, texts: DataFrame, done: DataFrame) -> DataFrame:

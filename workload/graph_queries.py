@@ -187,10 +187,10 @@ def repaired(spark, sf) -> DataFrame:
     scripted = view(spark, sf, "fx_rounds")
 
     def answer(open_docs: DataFrame, number: int) -> DataFrame:
-        return scripted.filter(F.col("round") == number).join(open_docs.select("doc_id"), "doc_id", "left_semi")
+        return open_docs.select("doc_id").join(scripted.filter(F.col("round") == number), "doc_id", "left")
 
     return repair_loop(
-        view(spark, sf, "fx_good_from"), answer, lambda docs: va.jsonld_validate(docs, words), run_folder(spark, "repair")
+        view(spark, sf, "fx_good_from").select("doc_id"), answer, lambda docs: va.jsonld_validate(docs, words), run_folder(spark, "repair")
     )
 
 
