@@ -12,6 +12,8 @@ from textgraph.operators.jsonld import extract_documents
 from textgraph.operators.validation import attempt_state, route_outcome
 from textgraph.session import stage
 
+# A generous size of one document key.
+KEY_BYTES = 100
 # Fields of a round's table.
 ROUND = ["doc_id", "json_ld", "code", "output", "runs", "max_reached", "infrastructure_error", "route", "reject_reason"]
 
@@ -28,7 +30,8 @@ def repair_loop(
     ``docs`` has doc_id and whatever a prompt needs. ``answer(open, round)``
     gives one row (doc_id, response) per open document, where the response may
     be NULL; ``open`` has the columns of ``docs``, runs, previous_json_ld and
-    previous_output. ``validate(docs)`` gives (doc_id, code, output).
+    previous_output. Answers are read twice, so those of a model are to be a
+    stage table. ``validate(docs)`` gives (doc_id, code, output).
 
     Every round is a written table. A round writes the inputs of the documents
     it leaves open, so the next one reads these only and not all inputs again.
@@ -40,9 +43,8 @@ def repair_loop(
     open_docs = docs.withColumns({"runs": F.lit(0), "previous_json_ld": none, "previous_output": none})
     rounds = None
     for number in range(max_runs):
-        answers = stage(
-            extract_documents(answer(open_docs, number)).select("doc_id", F.lit(number).alias("runs"), "json_ld", "reject_reason"),
-            f"{folder}/answers/round={number}",
+        answers = extract_documents(answer(open_docs, number)).select(
+            "doc_id", F.lit(number).alias("runs"), "json_ld", "reject_reason"
         )
         checked = validate(answers.filter("json_ld IS NOT NULL").select("doc_id", "json_ld"))
         judged = attempt_state(answers.join(checked, "doc_id", "left"), max_runs)
@@ -50,15 +52,18 @@ def repair_loop(
         done = stage(judged.withColumn("route", route).select(*ROUND), f"{folder}/rounds/round={number}")
         part = done.withColumn("round", F.lit(number))
         rounds = part if rounds is None else rounds.unionByName(part)
-        halted = done.filter("route = 'halt'").select("output").first()
-        if halted:
-            raise RuntimeError(f"Infrastructure error in validator: {halted['output']}")
+        routes = {r["route"]: r["n"] for r in done.groupBy("route").agg(F.count("*").alias("n")).collect()}
+        if "halt" in routes:
+            told = done.filter("route = 'halt'").select("output").first()["output"]
+            raise RuntimeError(f"Infrastructure error in validator: {told}")
+        if "repair" not in routes:
+            break
         repair = done.filter("route = 'repair'").select(
             "doc_id", "runs", F.col("json_ld").alias("previous_json_ld"), F.col("output").alias("previous_output")
         )
-        if repair.isEmpty():
-            break
-        inputs = lookup_join(open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi")
+        inputs = lookup_join(
+            open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi", size=routes["repair"] * KEY_BYTES
+        )
         open_docs = stage(inputs.join(repair, "doc_id"), f"{folder}/open/round={number + 1}")
     return rounds
 

@@ -239,18 +239,21 @@ def needed(sql: str) -> list[str]:
     return out
 
 
+_MADE: dict[tuple, DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a derived view as a DataFrame."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    chain = needed(name)
-    text = " ".join(VIEWS[n] for n in chain)
-    for table in TABLES:
-        if re.search(rf"\b{table}\b", text):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for n in chain:
-        spark.sql(re.sub(r"ITEM\((\w+), (\d)\)", r"element_at(\1, \2)", VIEWS[n])).createOrReplaceTempView(n)
-    return spark.table(name)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _MADE:
+        if name in TABLES:
+            _MADE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            sql = VIEWS[name]
+            for read in set(re.findall(r"\b\w+\b", sql)) & {*TABLES, *VIEWS}:
+                view(spark, sf_dir, read).createOrReplaceTempView(read)
+            _MADE[key] = spark.sql(re.sub(r"ITEM\((\w+), (\d)\)", r"element_at(\1, \2)", sql))
+    return _MADE[key]
 
 
 def for_duckdb(body: str) -> str:
