@@ -57,6 +57,15 @@ def test_numbers_keep_their_text(spark):
     assert {r["property"]: r["value"] for r in rows} == {"a": "1.50", "b": "12345678901234567890", "c": "1e3"}
 
 
+def test_broken_documents_do_not_stop_the_job(spark):
+    texts = ['{"a":"\\ud800x","b\\ud800":["\\ud83d\\ude00"]}', "[" * 200_000, '{"a":' * 200_000, '{"a":NaN}', '{"a":1} x', None]
+    rows = jl.facts(documents(spark, texts), ["doc_id"]).collect()
+    assert {(r["doc_id"], r["property"], r["kind"], r["value"]) for r in rows} == {
+        (0, None, "root", None), (0, "a", "string", "?x"), (0, "b?", "string", "😀"),
+        *((i, None, "invalid", None) for i in range(1, 6)),
+    }
+
+
 CASES = {
     '{"@type":"Person","name":"x"}': (0, ""),
     '{"name":"x"}': (0, ""),

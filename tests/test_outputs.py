@@ -85,6 +85,15 @@ def test_turtle(spark, triples, folder, limit, heavy):
     assert [r["value"] for r in spark.read.text(f"{folder}/turtle").collect()] == LINES
 
 
+def test_turtle_document(spark, triples, folder):
+    one = triples.filter("subject = 'ex:c'")
+    lines = go.turtle_document(go.turtle_individuals(one), triples.filter("subject = 'ex:a' AND pos = 1"), {"ex": "http://e/"})
+    sinks.write_turtle(lines, f"{folder}/turtle")
+    assert [r["value"] for r in spark.read.text(f"{folder}/turtle").collect()] == [
+        "@prefix ex: <http://e/> .", "", "ex:c", "    rdf:type :P .", "", 'ex:a :name "A" .',
+    ]
+
+
 def test_lone_triples(triples):
     got = {r["line"] for r in go.turtle_triples(triples.filter("subject = 'ex:a'")).collect()}
     assert got == {'ex:a :name "A" .', 'ex:a :age "3"^^xsd:integer .', "ex:a ex:knows ex:b ."}
@@ -99,7 +108,6 @@ def test_ontology(spark, triples):
         ":name rdf:type owl:DatatypeProperty ;\n             rdfs:domain :P ;\n             rdfs:range xsd:string .",
         ":age rdf:type owl:DatatypeProperty ;\n             rdfs:domain :P ;\n             rdfs:range xsd:integer .",
     }
-    assert go.turtle_prefixes({"ex": "http://e/"}) == ["@prefix ex: <http://e/> .", ""]
 
 
 def test_profile_and_description(triples):

@@ -36,14 +36,18 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     heavy: int = HEAVY_ROWS,
     size: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Join rows with a lookup table; inner, left, left_semi or left_anti.
 
     ``size`` is the size of the lookup table where it was measured before. Keys
-    with more than ``heavy`` rows on the left count as frequent.
+    with more than ``heavy`` rows on the left count as frequent; where a key is
+    ``unique`` on the left there are none to look for.
     """
     if (table_bytes(lookup) if size is None else size) <= limit:
         return left.join(F.broadcast(lookup), on, how)
+    if unique:
+        return left.join(lookup, on, how)
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     joined = _split_join(left.filter(whole), lookup, on, how, limit, heavy)
     if how in ("left", "left_anti"):

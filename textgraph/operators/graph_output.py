@@ -27,8 +27,21 @@ def object_text() -> Column:
     return F.when(F.col("is_literal"), typed).otherwise(F.col("object"))
 
 
-def turtle_prefixes(prefixes: dict[str, str]) -> list[str]:
-    return [f"@prefix {name}: <{uri}> ." for name, uri in prefixes.items()] + [""]
+def turtle_document(
+    individuals: DataFrame, standalone: DataFrame | None = None, prefixes: dict[str, str] | None = None
+) -> DataFrame:
+    """All lines of a Turtle file: prefixes, blocks of subjects, lone triples.
+
+    Adds ``part`` to the columns that order the lines.
+    """
+    spark = individuals.sparkSession
+    heads = [f"@prefix {name}: <{uri}> ." for name, uri in (prefixes or {}).items()] + [""]
+    columns = ["part", "subject", "section", "pos", "line"]
+    out = spark.createDataFrame([(0, "", 0, i, h) for i, h in enumerate(heads)], "part int, subject string, section int, pos long, line string")
+    out = out.unionByName(individuals.withColumn("part", F.lit(1)).select(*columns))
+    if standalone is not None:
+        out = out.unionByName(turtle_triples(standalone).withColumns({"part": F.lit(2), "section": F.lit(0)}).select(*columns))
+    return out
 
 
 def turtle_individuals(
@@ -169,14 +182,22 @@ def property_description() -> Column:
 
 
 def graph_description(
-    nodes: DataFrame, edges: DataFrame | None = None, relationships: DataFrame | None = None
+    nodes: DataFrame,
+    edges: DataFrame | None = None,
+    relationships: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """The schema of a property graph as lines.
 
     ``nodes`` and ``edges`` are property profiles (for edges, node_type is the
     edge type); ``relationships`` has a column ``pattern``. Columns: section,
-    item, line_no, line; sections without rows are left out.
+    item, line_no, line; sections without rows are left out. Profiles are
+    aggregates of all triples and are read several times, so they are staged.
     """
+    folder = folder or run_folder(nodes.sparkSession, "description")
+    kept = lambda df, name: None if df is None else stage(df, f"{folder}/{name}")
+    nodes, edges, relationships = kept(nodes, "nodes"), kept(edges, "edges"), kept(relationships, "relationships")
+
     def profile_lines(profile: DataFrame, section: int, title: str, gap: bool) -> DataFrame:
         item = F.col("node_type").alias("item")
         head = profile.select(F.lit("").alias("item")).limit(1).select("item", F.lit("").alias("line_no"), F.lit(title).alias("line"))

@@ -183,7 +183,7 @@ def _flatten(keys: list[str], names: list[str]):
         def parse(text):
             try:
                 found = decoder.decode(text or "")
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
             return found if isinstance(found, dict) else None
 
@@ -194,6 +194,11 @@ def _flatten(keys: list[str], names: list[str]):
                 return "boolean", str(value).lower()
             return ("number" if isinstance(value, Number) else "string"), str(value)
 
+        def sound(value):
+            if isinstance(value, list):
+                return [sound(v) for v in value]
+            return value if value is None else value.encode("utf-8", "replace").decode()
+
         def walk(text):
             """Facts of one document as tuples in the order of the columns."""
             root = parse(text)
@@ -235,7 +240,11 @@ def _flatten(keys: list[str], names: list[str]):
                 rows.extend(walk(text))
                 sources.extend([n] * (len(rows) - before))
             repeated = batch.select(keys).take(pa.array(sources, pa.int32()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            try:
+                columns = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            except UnicodeEncodeError:  # half of a surrogate pair in an escape
+                columns = [pa.array([sound(v) for v in c], t) for c, t in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([*repeated.columns, *columns], names)
 
     return run

@@ -31,8 +31,10 @@ def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: i
 
         model = make_model()
 
-        def once(prompts):
-            system, human = prompts
+        def once(row):
+            system, human, stored = row
+            if stored is not None:
+                return stored, (None if stored else "no response"), 0
             for attempt in range(1, tries + 1):
                 try:
                     answer = model(system, human)
@@ -47,7 +49,7 @@ def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: i
 
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                done = list(pool.map(once, zip(batch["system_prompt"], batch["human_prompt"])))
+                done = list(pool.map(once, zip(batch["system_prompt"], batch["human_prompt"], batch["response"])))
                 batch["response"] = [d[0] for d in done]
                 batch["error"] = [d[1] for d in done]
                 batch["attempts"] = [d[2] for d in done]
@@ -57,19 +59,28 @@ def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: i
 
 
 def model_map(
-    prompts: DataFrame, make_model: Callable[[], Model], tries: int = 1, wait: float = 1.0, threads: int = 1
+    prompts: DataFrame,
+    make_model: Callable[[], Model],
+    tries: int = 1,
+    wait: float = 1.0,
+    threads: int = 1,
+    partitions: int | None = None,
+    by: list[str] = ("human_prompt",),
 ) -> DataFrame:
     """Call a model once per row of system_prompt and human_prompt.
 
-    Adds response, error and attempts. With ``tries`` above 1 a refusal waits
-    one unit, a rate limit one unit and then twice that; any other error ends
-    the tries at once.
+    Adds response, error and attempts; a row that comes with a response keeps
+    it and is not asked. With ``tries`` above 1 a refusal waits one unit, a rate
+    limit one unit and then twice that; any other error ends the tries at once.
+    ``threads`` calls run at a time in a task; ``partitions`` sets the number of
+    tasks, whose rows are then spread by the columns ``by``.
     """
+    if "response" not in prompts.columns:
+        prompts = prompts.withColumn("response", F.lit(None).cast("string"))
+    if partitions:
+        prompts = prompts.repartition(partitions, *by)
     schema = T.StructType([
-        *prompts.schema.fields,
-        T.StructField("response", T.StringType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("attempts", T.IntegerType()),
+        *prompts.schema.fields, T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
     ])
     return prompts.mapInPandas(_caller(make_model, tries, wait, threads), schema)
 
@@ -83,25 +94,20 @@ def answered(
     """Answers of a call: stored ones first, the model for the rest.
 
     ``prompts`` has source_id, call_name and both prompts; ``stored`` is
-    (source_id, call_name, assistant_response), one row per key.
+    (source_id, call_name, assistant_response), one row per key. The prompts are
+    made and joined once.
     """
-    if stored is None:
-        if make_model is None:
-            raise ValueError("either stored answers or a model is needed")
-        return model_map(prompts, make_model, **options)
+    if stored is None and make_model is None:
+        raise ValueError("either stored answers or a model is needed")
     keys = ["source_id", "call_name"]
-    known = stored.select(*keys, F.col("assistant_response").alias("response"))
-    if make_model is None:
-        joined = prompts.join(known, keys, "left")
-        return joined.withColumns({
-            "error": F.when(F.coalesce("response", F.lit("")) == "", "no response"),
-            "attempts": F.lit(0),
-        })
-    found = prompts.join(known, keys).withColumns({
-        "error": F.when(F.col("response") == "", "no response"), "attempts": F.lit(0),
+    if stored is not None:
+        known = stored.select(*keys, F.col("assistant_response").alias("response"))
+        prompts = lookup_join(prompts, known, keys, "left", unique=True)
+    if make_model is not None:
+        return model_map(prompts, make_model, by=keys, **options)
+    return prompts.withColumns({
+        "error": F.when(F.coalesce("response", F.lit("")) == "", "no response"), "attempts": F.lit(0),
     })
-    missing = prompts.join(known, keys, "left_anti")
-    return found.unionByName(model_map(missing, make_model, **options))
 
 
 def structured(answers: DataFrame, schema: str, valid: Column, response: str = "response") -> DataFrame:
@@ -172,11 +178,6 @@ def embed_map(texts: DataFrame, make_embedder: Callable[[], Embedder], column: s
     return texts.select(column).distinct().mapInPandas(run, f"{column} string, embedding array<float>")
 
 
-def with_vectors(mentions: DataFrame, vectors: DataFrame, column: str = "embed_text") -> DataFrame:
-    """Join vectors to mentions; one text may stand behind a third of them."""
-    return lookup_join(mentions, vectors.select(column, "embedding"), [column], "inner")
-
-
 def call_log_rows(calls: DataFrame, worker_id: Column, model_name: Column) -> DataFrame:
     """Log rows of calls that were answered and have a source."""
     return calls.filter("source_id IS NOT NULL AND response IS NOT NULL").select(

@@ -62,7 +62,8 @@ def repair_loop(
             "doc_id", "runs", F.col("json_ld").alias("previous_json_ld"), F.col("output").alias("previous_output")
         )
         inputs = lookup_join(
-            open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi", size=routes["repair"] * KEY_BYTES
+            open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi",
+            size=routes["repair"] * KEY_BYTES, unique=True,
         )
         open_docs = stage(inputs.join(repair, "doc_id"), f"{folder}/open/round={number + 1}")
     return rounds

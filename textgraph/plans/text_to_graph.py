@@ -43,6 +43,7 @@ class TextToGraph:
     ``models`` is one factory for all steps or one per step (n1, n2, n3 and,
     with labels, n5); a step may go without where ``answers`` holds all its
     calls. ``embedder`` makes vectors of texts, unless ``vectors`` has them.
+    ``partitions`` tasks of ``threads`` calls each ask at a time.
     """
 
     stores: Stores
@@ -56,6 +57,7 @@ class TextToGraph:
     worker_id: str = "spark"
     model_name: str = "unknown"
     threads: int = 1
+    partitions: int | None = None
     wait: float = 1.0
     max_runs: int = fixed.MAX_RUNS
 
@@ -78,8 +80,9 @@ class TextToGraph:
         )
         model = (self.models or {}).get(step)
         calls = stage(
-            mc.answered(asked, self.answers, model, tries=tries, wait=self.wait, threads=self.threads)
-            if model else mc.answered(asked, self.answers),
+            mc.answered(
+                asked, self.answers, model, tries=tries, wait=self.wait, threads=self.threads, partitions=self.partitions
+            ) if model else mc.answered(asked, self.answers),
             f"{self.folder}/{name}",
         )
         if self.log_path:

@@ -60,5 +60,6 @@ def read_report_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_turtle(lines: DataFrame, path: str) -> None:
-    """Turtle lines in their order; a large subject may span several files."""
-    lines.orderBy("subject", "section", "pos").select("line").write.mode("overwrite").text(path)
+    """Lines of a Turtle document in order; a large subject may span several files."""
+    order = [c for c in ("part", "subject", "section", "pos") if c in lines.columns]
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
