@@ -158,3 +158,43 @@ def test_an_answer_without_an_object_is_rejected(spark):
 def test_shared_folder_is_that_of_the_session(spark):
     assert run_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert view(spark, SF, "orders").count() > 0
+
+
+def test_scored_run_in_slices(spark, folder):
+    from textgraph.operators.scoring import COUNTS
+    from textgraph.plans.evaluate import evaluate
+    from textgraph.plans.scored_run import REJECTS, RESULTS, scored_run
+    from textgraph.sources.tables import read_or_empty
+
+    data = spark.createDataFrame(
+        [(i, t, ["['NATION_0']", "['NATION_3', 'NATION_4']", "[]", "bad", "['NATION_0', 'NATION_9']"][i]) for i, t in TEXTS],
+        "doc_id long, text string, gold_labels string",
+    )
+    made = stores(spark, SF)
+    short = lambda texts: TextToGraph(made, models=shipped(scripted_model), embedder=shipped(vowel_embedder), add_labels=True).run(texts)
+    lost = []
+
+    def run(texts):
+        if not lost:
+            lost.append(1)
+            raise RuntimeError("lost")
+        return short(texts).withColumn("json_ld", F.when(F.col("doc_id") != 1, F.col("json_ld"))).withColumn(
+            "reject_reason", F.when(F.col("doc_id") == 1, "dropped")
+        )
+
+    step = lambda: scored_run(data, run, made.taxonomy, made.signals, folder, limit=2, on_invalid="keep")
+    with pytest.raises(RuntimeError, match="lost"):
+        step()
+    first = step()
+    assert first.agg(F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).first()[0] == 1
+    step()
+    scores = step()
+    assert step() is None
+    whole = evaluate(data.filter("doc_id <> 1"), short(data.select("doc_id", "text")), made.taxonomy, made.signals)
+    columns = ["signal_type", "label", *COUNTS]
+    assert sorted(map(tuple, scores.select(columns).collect())) == sorted(map(tuple, whole.counts.select(columns).collect()))
+    assert [r["source_id"] for r in read_or_empty(spark, f"{folder}/results", RESULTS).orderBy("source_id").collect()] == [0, 2, 3, 4]
+    assert [(r["source_id"], r["reject_reason"]) for r in read_or_empty(spark, f"{folder}/rejects", REJECTS).collect()] == [(1, "dropped")]
+    assert spark.read.json(f"{folder}/report/texts_and_labels").count() == 4
+    with pytest.raises(ValueError, match="outside the taxonomy"):
+        scored_run(data, run, made.taxonomy.limit(1), made.signals, f"{folder}/other", limit=5)

@@ -41,13 +41,13 @@ NO_TOPIC = "No topic found"
 
 # Taxonomy and dataset columns.
 TAXONOMY_COLUMNS = {"Hoofd_klantsignaal": "main_topic", "Sub_klantsignaal": "sub_topic"}
-DATASET_COLUMNS = {"Synthetic Text": "text", "validated_labels": "gold_labels"}
+TEXT_COLUMN = "Synthetic Text"
+LABELS_COLUMN = "validated_labels"
 
-# Sections of an extraction answer and the separator inside a row.
+# Sections of an extraction answer.
 SUMMARY_TAG = "summary"
 ENTITY_TAG = "entiteiten"
 RELATION_TAG = "relaties"
-FIELD_SEPARATOR = " | "
 
 # Texts that stand in for something missing.
 NO_DESCRIPTION = "No description available"

@@ -57,10 +57,6 @@ def entity_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline_outer("entities")).filter("pos IS NOT NULL")
 
 
-def relation_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline_outer("relations")).filter("pos IS NOT NULL")
-
-
 def first_per_class(entities: DataFrame) -> DataFrame:
     """The first entity of each class in a text; map-side combined."""
     first = F.min_by(F.struct("pos", "name", "description"), "pos").alias("first")

@@ -153,17 +153,21 @@ def proposed_rows(labelled: DataFrame) -> DataFrame:
 
 
 def choice_or_first(topk: DataFrame, choices: DataFrame, keys: list[str]) -> DataFrame:
-    """The chosen class, or the first candidate where no choice was made.
+    """The chosen class, or the first candidate where no choice was made or its
+    number lies behind the last candidate.
 
     A text without candidates gets no class and is dropped.
     """
-    chosen = choices.select(*keys, F.col("answer.selected_class").alias("chosen"))
+    chosen = choices.select(
+        *keys, F.col("answer.selected_class").alias("_name"), F.col("answer.selected_number").alias("_number")
+    )
     first = F.get("candidates", F.lit(0))["class_label"]
     return (
         topk.join(chosen, keys, "left")
+        .withColumn("chosen", F.when(F.col("_number") <= F.size("candidates"), F.col("_name")))
         .withColumn("schema_label", F.coalesce("chosen", first))
         .withColumn("fell_back", F.col("chosen").isNull())
-        .filter("schema_label IS NOT NULL").drop("chosen")
+        .filter("schema_label IS NOT NULL").drop("chosen", "_name", "_number")
     )
 
 

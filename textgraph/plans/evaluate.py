@@ -42,7 +42,8 @@ def evaluate(
     literal) against its final documents (doc_id, json_ld).
 
     A document whose labels cannot be read is rejected and not counted. The
-    documents are parsed once; their terms are a stage table.
+    documents are parsed once; their terms and the scored texts are stage tables.
+    Documents of other texts than those of the dataset do not count.
     """
     folder = folder or run_folder(dataset.sparkSession, "evaluate")
     gold = dataset.select("doc_id", "text", gold_list(F.col("gold_labels")).alias("gold_labels"))
@@ -50,10 +51,10 @@ def evaluate(
     read = stage(
         document_terms(documents.select("doc_id", "json_ld")).select("doc_id", "terms", "reject_reason"), f"{folder}/terms"
     )
-    scored = gold.join(read.filter("reject_reason IS NULL").select("doc_id", "terms"), "doc_id")
+    scored = stage(gold.join(read.filter("reject_reason IS NULL"), "doc_id"), f"{folder}/scored")
     rejects = read.filter("reject_reason IS NOT NULL").select("doc_id", "reject_reason")
 
-    generated = term_signals(read, signals)
+    generated = term_signals(scored, signals)
     actual = split_gold_by_signal(gold_rows(scored, "doc_id"), taxonomy, signals)
     wanted = generated.select("doc_id", "signal_type", "label", "pos")
     counts = confusion_counts(actual, wanted, scored, taxonomy, signals)

@@ -87,7 +87,7 @@ class TextToGraph:
         )
         if self.log_path:
             append_call_log(
-                mc.call_log_rows(calls, F.lit(self.worker_id), F.lit(self.model_name)), self.log_path
+                mc.call_log_rows(calls.filter("attempts > 0"), F.lit(self.worker_id), F.lit(self.model_name)), self.log_path
             )
         return calls
 

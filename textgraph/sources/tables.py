@@ -31,8 +31,8 @@ def pick_labelled(df: DataFrame, text_column: str, labels_column: str, keep: lis
 def read_labelled(
     spark: SparkSession,
     path: str,
-    text_column: str,
-    labels_column: str,
+    text_column: str = fixed.TEXT_COLUMN,
+    labels_column: str = fixed.LABELS_COLUMN,
     fmt: str = "parquet",
     keep: list[str] = (),
     **options: str,

@@ -11,7 +11,7 @@ from textgraph.session import run_folder
 from textgraph.sources import sinks
 from workload.fixtures import view
 from workload.label_queries import OFFERED, documents, signals, taxonomy
-from workload.text_queries import DEFINED, PARSED, VECTORS, mapped, parsed, query, shipped, staged, vowel_embedder
+from workload.text_queries import PARSED, VECTORS, mapped, parsed, query, shipped, staged, vowel_embedder
 
 DOCS = "docs AS (SELECT doc_id, regexp_extract(response, '(\\{.*\\})', 1, 's') AS json_ld FROM fx_jsonld)"
 

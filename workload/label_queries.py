@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgraph.operators import labels as lb, model_calls as mc, prompts, scoring as sc
+from textgraph.operators import labels as lb, prompts, scoring as sc
 from textgraph.functions import templates
 from textgraph.plans import evaluate as ev
 from textgraph.operators import jsonld as jl

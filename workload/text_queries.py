@@ -466,7 +466,7 @@ def retry_fallback(spark, sf):
     keys = ["conv_id", "turn"]
     answers = stage(choices(spark, sf, 3), run_folder(spark, "choices"))
     one = F.struct(F.lit(1).alias("rank"), F.lit("Thing").alias("class_label"))
-    candidates = answers.select(*keys, "attempts", F.array(one).alias("candidates"))
+    candidates = answers.select(*keys, "attempts", F.array_repeat(one, 5).alias("candidates"))
     resolved = mc.choice_or_first(candidates, answers.filter("answer IS NOT NULL"), keys)
     return resolved.select(*keys, "schema_label", "fell_back", "attempts")
 
