@@ -87,7 +87,9 @@ def test_first_entity_of_a_class(spark):
         [(1, 2, "late", "A", "d2"), (1, 0, "first", "A", "d0"), (1, 1, "b", "B", "d1")],
         "doc_id long, pos long, name string, class_name string, description string",
     )
-    assert {(r["class_name"], r["name"]) for r in ex.first_per_class(rows).collect()} == {("A", "first"), ("B", "b")}
+    listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "name", "class_name", "description")).alias("entities"))
+    listed = listed.union(spark.createDataFrame([(2, [])], listed.schema))
+    assert {tuple(r) for r in ex.first_per_class(listed).collect()} == {(1, "A", 0, "first", "d0"), (1, "B", 1, "b", "d1")}
     names = {r["class_name"]: r["names"] for r in ex.entities_per_class(rows).collect()}
     assert names == {"A": ["first", "late"], "B": ["b"]}
 

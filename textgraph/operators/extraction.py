@@ -57,13 +57,20 @@ def entity_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline_outer("entities")).filter("pos IS NOT NULL")
 
 
-def first_per_class(entities: DataFrame) -> DataFrame:
-    """The first entity of each class in a text; map-side combined."""
-    first = F.min_by(F.struct("pos", "name", "description"), "pos").alias("first")
-    return (
-        entities.groupBy("doc_id", "class_name").agg(first)
-        .select("doc_id", "class_name", "first.pos", "first.name", "first.description")
+def first_per_class(parsed: DataFrame) -> DataFrame:
+    """The first entity of each class in a text: doc_id, class_name, pos, name, description.
+
+    All entities of a text are in its row, so sorting its list by class and
+    place puts the first ones where the class changes; nothing is shuffled.
+    """
+    by_class = F.sort_array(
+        F.transform("entities", lambda e: F.struct(e["class_name"], e["pos"], e["name"], e["description"]))
+    )
+    firsts = F.filter(
+        "_sorted", lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["class_name"] != e["class_name"])
     )
+    rows = parsed.select("doc_id", by_class.alias("_sorted")).select("doc_id", F.inline_outer(firsts))
+    return rows.filter("pos IS NOT NULL")
 
 
 def entities_per_class(entities: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from textgraph.session import run_folder, stage
 KEYS = ["doc_id", "class_name"]
 
 
-def class_mentions(entities: DataFrame) -> DataFrame:
+def class_mentions(parsed: DataFrame) -> DataFrame:
     """One row per text and class: its first entity and the text to embed."""
-    return first_per_class(entities).withColumn("embed_text", embed_text(F.col("class_name"), F.col("description")))
+    return first_per_class(parsed).withColumn("embed_text", embed_text(F.col("class_name"), F.col("description")))
 
 
 def with_candidates(mentions: DataFrame, vectors: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
@@ -54,7 +54,7 @@ def resolve_classes(with_topk: DataFrame, definitions: DataFrame, choices: DataF
 
 
 def schema_mapping(
-    entities: DataFrame,
+    parsed: DataFrame,
     classes: DataFrame,
     vectors: DataFrame,
     definitions: DataFrame,
@@ -63,10 +63,11 @@ def schema_mapping(
 ) -> DataFrame:
     """All steps, ending in the definition of each class of a text.
 
+    ``parsed`` is the output of ``extraction``, best as a stage table;
     ``definitions`` has class_id, label and any definition columns.
     """
-    folder = folder or run_folder(entities.sparkSession, "mapping")
-    topk = with_candidates(class_mentions(entities), vectors, classes, folder)
+    folder = folder or run_folder(parsed.sparkSession, "mapping")
+    topk = with_candidates(class_mentions(parsed), vectors, classes, folder)
     resolved = resolve_classes(topk, definitions, choices)
     found = one_definition_per_label(definitions).withColumnRenamed("label", "schema_label")
     return lookup_join(resolved, found, ["schema_label"], "inner")

@@ -106,7 +106,7 @@ class TextToGraph:
         usable = parsed.filter("reject_reason IS NULL AND NOT extraction_failed")
         entities = ex.entity_rows(usable)
 
-        mapping = self._map_classes(texts, entities)
+        mapping = self._map_classes(texts, usable)
         rounds = self._transform(texts, usable, entities, mapping)
         done = stage(
             final_documents(rounds).select("doc_id", "json_ld", "code", "output", "runs"), f"{self.folder}/documents"
@@ -132,8 +132,8 @@ class TextToGraph:
             f"{self.folder}/result",
         )
 
-    def _map_classes(self, texts: DataFrame, entities: DataFrame) -> DataFrame:
-        mentions = stage(class_mentions(entities), f"{self.folder}/mentions")
+    def _map_classes(self, texts: DataFrame, usable: DataFrame) -> DataFrame:
+        mentions = stage(class_mentions(usable), f"{self.folder}/mentions")
         vectors = self.vectors
         if vectors is None:
             vectors = mc.embed_map(mentions, self.embedder)

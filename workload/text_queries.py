@@ -177,7 +177,7 @@ def extraction_struct(spark, sf):
 
 @query("first_per_class", f"WITH {PARSED} SELECT doc_id, class_name, pos, name, description FROM first_entity")
 def first_per_class(spark, sf):
-    return ex.first_per_class(entities(spark, sf))
+    return ex.first_per_class(parsed(spark, sf))
 
 
 PER_CLASS = """
@@ -231,7 +231,7 @@ def label_cell_parse(spark, sf):
 WITH {PARSED} SELECT DISTINCT trim('Class: ' || class_name || chr(10) || 'Description: ' || description, '{SPACE}') AS embed_text FROM first_entity
 """)
 def embed_text(spark, sf):
-    return sm.class_mentions(entities(spark, sf)).select("embed_text").distinct()
+    return sm.class_mentions(parsed(spark, sf)).select("embed_text").distinct()
 
 
 def _template(template: str, **fields: str) -> str:
@@ -322,9 +322,8 @@ def vectors(spark, sf, mentions: DataFrame) -> DataFrame:
 
 
 def mapped(spark, sf, answers: DataFrame) -> DataFrame:
-    found = ex.entity_rows(answers)
     return sm.schema_mapping(
-        found, view(spark, sf, "fx_class"), vectors(spark, sf, sm.class_mentions(found)),
+        answers, view(spark, sf, "fx_class"), vectors(spark, sf, sm.class_mentions(answers)),
         view(spark, sf, "fx_store_definition"),
     )
 
