@@ -81,7 +81,11 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """Terms of each document as a list, or the reason why the row is rejected."""
+    """Terms of each document as a list, or the reason why the row is rejected.
+
+    The two columns leave as output of a generator: a filter on them is then not
+    pushed below it, which would parse each document several times.
+    """
     parsed = docs.withColumn("_v", parsed_object(F.col("json_ld"))).withColumn(
         "_about", F.try_variant_get("_v", "$.about", "variant")
     )
@@ -96,23 +100,21 @@ def document_terms(docs: DataFrame) -> DataFrame:
             read(item, "$.inDefinedTermSet.name").alias("main_topic"),
         ),
     )
-    return (
-        parsed.withColumn("terms", F.when(about.isNotNull(), terms))
-        .withColumn(
-            "reject_reason",
-            F.when(F.col("_v").isNull(), "no JSON object")
-            .when(about.isNull(), "no about")
-            .when(F.exists("terms", lambda t: t["main_topic"].isNull()), "term without a term set")
-            .when(F.exists("terms", lambda t: t["label"].isNull()), "term without a name"),
-        )
-        .drop("_v", "_about")
+    reason = (
+        F.when(F.col("_v").isNull(), "no JSON object")
+        .when(about.isNull(), "no about")
+        .when(F.exists("terms", lambda t: t["main_topic"].isNull()), "term without a term set")
+        .when(F.exists("terms", lambda t: t["label"].isNull()), "term without a name")
     )
+    listed = parsed.withColumn("terms", F.when(about.isNotNull(), terms))
+    once = F.explode_outer(F.array(F.struct("terms", reason.alias("reject_reason")))).alias("_read")
+    kept = [c for c in docs.columns if c not in ("terms", "reject_reason")]
+    return listed.select(*kept, once).select(*kept, "_read.terms", "_read.reject_reason")
 
 
 def term_signals(read: DataFrame, signals: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``document_terms`` as labels with the signal type of their set."""
-    kept = F.when(F.col("reject_reason").isNull(), F.col("terms"))
-    rows = read.select(key, F.inline_outer(kept)).filter("pos IS NOT NULL")
+    rows = read.filter("reject_reason IS NULL").select(key, F.inline("terms"))
     return lookup_join(rows, reading_signal(signals).select("main_topic", "signal_type"), ["main_topic"], "inner")
 
 
