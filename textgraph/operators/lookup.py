@@ -155,7 +155,7 @@ def choice_check(topk: DataFrame, choices: DataFrame, keys: list[str]) -> DataFr
         F.col("selected_class").alias("chosen"),
         F.when(valid, at).alias("expected"),
         valid.alias("valid"),
-        F.when(valid, ~F.col("selected_class").eqNullSafe(at)).alias("mismatch"),
+        (valid & ~F.col("selected_class").eqNullSafe(at)).alias("mismatch"),
     )
 
 

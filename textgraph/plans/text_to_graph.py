@@ -73,18 +73,18 @@ class TextToGraph:
             raise ValueError("a model or stored answers are needed")
 
     def _call(self, step: str, rows: DataFrame, system: str, name: str, tries: int = 1) -> DataFrame:
-        """Ask, write the answers, log them. ``rows`` has doc_id, call_name, human_prompt."""
+        """Ask, write the answers, log them. ``rows`` has doc_id, call_name, human_prompt.
+
+        Prompts repeat whole texts, so they are written only for a log.
+        """
         keys = [c for c in ("doc_id", "class_name") if c in rows.columns]
         asked = rows.select(
             *keys, F.col("doc_id").alias("source_id"), "call_name", F.lit(system).alias("system_prompt"), "human_prompt"
         )
         model = (self.models or {}).get(step)
-        calls = stage(
-            mc.answered(
-                asked, self.answers, model, tries=tries, wait=self.wait, threads=self.threads, partitions=self.partitions
-            ) if model else mc.answered(asked, self.answers),
-            f"{self.folder}/{name}",
-        )
+        options = {"tries": tries, "wait": self.wait, "threads": self.threads, "partitions": self.partitions}
+        made = mc.answered(asked, self.answers, model, **(options if model else {}))
+        calls = stage(made if self.log_path else made.drop("system_prompt", "human_prompt"), f"{self.folder}/{name}")
         if self.log_path:
             append_call_log(
                 mc.call_log_rows(calls.filter("attempts > 0"), F.lit(self.worker_id), F.lit(self.model_name)), self.log_path
@@ -149,7 +149,10 @@ class TextToGraph:
         return stage(resolve_classes(topk, self.stores.definitions, choices), f"{self.folder}/mapping")
 
     def _transform(self, texts: DataFrame, usable: DataFrame, entities: DataFrame, mapping: DataFrame) -> DataFrame:
-        defined = definition_compact(self.stores.definitions).withColumn("raw", raw_definition())
+        defined = stage(
+            definition_compact(self.stores.definitions).select("label", "compact", raw_definition().alias("raw")),
+            f"{self.folder}/definitions",
+        )
         blocks = prompts.schema_blocks(mapping, ex.entities_with_schema(entities, mapping), defined)
         inputs = stage(
             texts.join(usable.select("doc_id", "relations"), "doc_id").join(blocks, "doc_id", "left"),

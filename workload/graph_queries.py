@@ -194,9 +194,10 @@ def repaired(spark, sf) -> DataFrame:
     )
 
 
-@query("repair_loop", f"WITH {REPAIRED} SELECT * FROM rounds")
+@query("repair_loop", f"WITH {REPAIRED} SELECT doc_id, round, coalesce(code, -1) AS code, output, runs, route FROM rounds")
 def run_repair_loop(spark, sf):
-    return repaired(spark, sf).select("doc_id", "round", "code", "output", "runs", "route")
+    code = F.coalesce("code", F.lit(-1)).alias("code")
+    return repaired(spark, sf).select("doc_id", "round", code, "output", "runs", "route")
 
 
 # --- vocabulary -------------------------------------------------------------

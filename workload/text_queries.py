@@ -280,7 +280,7 @@ def candidate_list(spark, sf):
 @query("choice_check", f"""
 WITH {RANKED}
 SELECT h.mention_id, selected_number, selected_class AS chosen, class_label AS expected, selected_number BETWEEN 1 AND 5 AS valid,
-       CASE WHEN selected_number BETWEEN 1 AND 5 THEN selected_class IS DISTINCT FROM class_label END AS mismatch
+       selected_number BETWEEN 1 AND 5 AND selected_class IS DISTINCT FROM class_label AS mismatch
 FROM fx_choice h LEFT JOIN ranked r ON r.mention_id = h.mention_id AND r.rank = h.selected_number
 """)
 def choice_check(spark, sf):
@@ -450,11 +450,12 @@ def choices(spark, sf, tries: int) -> DataFrame:
 
 @query("structured_map", f"""
 WITH {CHOICES}
-SELECT conv_id, turn, CASE WHEN ok THEN 'Person' END AS selected_class, CASE WHEN ok THEN number END AS selected_number,
+SELECT conv_id, turn, CASE WHEN ok THEN 'Person' END AS selected_class, CASE WHEN ok THEN number ELSE 0 END AS selected_number,
        CASE WHEN n > 200 THEN 'no response' WHEN NOT ok THEN 'answer does not fit its type' END AS reject_reason FROM chosen
 """)
 def structured_map(spark, sf):
-    return choices(spark, sf, 1).select("conv_id", "turn", "answer.selected_class", "answer.selected_number", "reject_reason")
+    number = F.coalesce("answer.selected_number", F.lit(0)).alias("selected_number")
+    return choices(spark, sf, 1).select("conv_id", "turn", "answer.selected_class", number, "reject_reason")
 
 
 @query("retry_fallback", f"""
