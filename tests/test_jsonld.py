@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from textgraph.functions import fixed
@@ -99,6 +100,64 @@ def test_validation(spark, vocabulary):
     assert {list(CASES)[r["doc_id"]]: (r["code"], r["output"]) for r in rows} == CASES
 
 
+ABOVE = {"Thing": ["Thing"], "Person": ["Person", "Thing"], "Place": ["Place", "Thing"], "Country": ["Country", "Place", "Thing"], "Robot": ["Robot", "Thing"]}
+
+
+def plain_errors(node, path="$", via=None):
+    """The rules, document by document and node by node."""
+    def types_of(value):
+        kinds = value.get("@type", [])
+        return list(dict.fromkeys(kinds if isinstance(kinds, list) else [kinds]))
+
+    def ranges(name):
+        return [r for _, p, r in PROPERTIES if p == name]
+
+    own, found = types_of(node), set()
+    found |= {(path, 2, "type", t) for t in own if t not in ABOVE}
+    types = own or (["Thing"] if via is None else ranges(via))
+    for name, value in node.items():
+        if name.startswith("@"):
+            continue
+        for place, item in [(f"{path}.{name}", value)] if not isinstance(value, list) else [(f"{path}.{name}[{i}]", v) for i, v in enumerate(value)]:
+            known = bool(ranges(name))
+            judged = bool(types) and all(t in ABOVE for t in types)
+            if not known:
+                found.add((path, 3, "property", name))
+            elif judged and not any((a, name) in {(c, p) for c, p, _ in PROPERTIES} for t in types for a in ABOVE[t]):
+                found.add((path, 4, "domain", name))
+            if isinstance(item, dict) and list(item) != ["@id"]:
+                kinds = types_of(item)
+                if known and judged and kinds and all(k in ABOVE for k in kinds) and not any(r in ABOVE[k] for k in kinds for r in ranges(name)):
+                    found.add((path, 5, "range", name))
+                found |= plain_errors(item, place, name)
+    return found
+
+
+KINDS = st.lists(st.sampled_from(["Person", "Place", "Country", "Robot", "Thing", "Nobody"]), max_size=2)
+NAMES = st.sampled_from(["name", "nationality", "knows", "containedInPlace", "maker", "about", "size"])
+
+
+def nodes(values):
+    def build(kinds, members, ref):
+        node = {**({"@type": kinds if len(kinds) != 1 else kinds[0]} if kinds else {}), **members}
+        return {"@id": "#x"} if ref and not node else node
+
+    return st.builds(build, KINDS, st.dictionaries(NAMES, st.one_of(values, st.lists(values, min_size=1, max_size=3)), max_size=3), st.booleans())
+
+
+NODE = st.recursive(nodes(st.sampled_from(["text", 1, True])), lambda inner: nodes(st.one_of(inner, st.just("text"))), max_leaves=8)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(NODE, min_size=20, max_size=40))
+def test_validation_follows_the_plain_rules(spark, vocabulary, made):
+    rows = va.jsonld_validate(documents(spark, [json.dumps(d) for d in made]), vocabulary).collect()
+    got = {r["doc_id"]: (r["code"], r["output"]) for r in rows}
+    for i, doc in enumerate(made):
+        lines = "\n".join(f"{p} {rule} {v}" for p, _, rule, v in sorted(plain_errors(doc)))
+        assert got[i] == (int(bool(lines)), lines), doc
+
+
 def test_validation_with_large_vocabulary_tables(spark, vocabulary):
     import dataclasses
 

@@ -231,7 +231,8 @@ def _flatten(keys: list[str], names: list[str]):
 
         strings, lists = pa.string(), pa.list_(pa.string())
         kinds = [strings, strings, lists, strings, strings, strings, strings, lists]
-        for batch in batches:
+        # Small slices, as a document may give many facts.
+        for batch in (b.slice(start, 500) for b in batches for start in range(0, b.num_rows, 500)):
             sources, rows = [], []
             for n, text in enumerate(batch.column("json_ld").to_pylist()):
                 before = len(rows)

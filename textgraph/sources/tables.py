@@ -44,10 +44,11 @@ def read_labelled(
 def resume_slice(source: DataFrame, results: DataFrame, limit: int, source_id: str = "id") -> DataFrame:
     """The next ``limit`` rows behind the last stored source id.
 
-    With nothing stored it starts at the first row.
+    With nothing stored it starts at the first row. The bound is one value, which
+    Spark also hands to the scan.
     """
-    last = results.agg(F.max("source_id").alias("last")).scalar()
-    return source.filter(last.isNull() | (F.col(source_id) > last)).orderBy(source_id).limit(limit)
+    last = results.agg(F.coalesce(F.max("source_id"), F.lit(-(2**63))).alias("last")).scalar()
+    return source.filter(F.col(source_id) > last).orderBy(source_id).limit(limit)
 
 
 def class_store(df: DataFrame) -> DataFrame:
