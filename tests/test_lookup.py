@@ -55,6 +55,13 @@ def test_topk_over_blocks_is_the_same(spark, stores):
     assert blocks.schema == lk.semantic_topk(left, right).schema
 
 
+@pytest.mark.parametrize("block_bytes", [10**6, 200])
+def test_equal_scores_at_the_cut_go_by_store_order(spark, block_bytes):
+    classes = spark.createDataFrame([(i, f"C{i}", None, [1.0, 2.0]) for i in (8, 3, 5, 1, 9, 2, 7)], CLASS)
+    got = lk.semantic_topk(spark.createDataFrame([(1, [2.0, 4.0])], MENTION), classes, block_bytes=block_bytes)
+    assert ids(got) == {1: [1, 2, 3, 5, 7]}
+
+
 def test_fewer_classes_than_candidates(spark, stores):
     mentions, classes = stores
     left = spark.createDataFrame(mentions, MENTION)

@@ -150,6 +150,7 @@ def test_resume(spark):
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(tables.resume_slice(source, stored, 4)) == [4, 5, 6, 7]
     assert ids(tables.resume_slice(source, stored.limit(0), 3)) == [0, 1, 2]
+    assert sorted(ids(tables.resume_slice(source, stored, None))) == [4, 5, 6, 7, 8, 9]
     assert ids(tables.resume_slice(source, spark.createDataFrame([(9,)], "source_id long"), 3)) == []
 
 

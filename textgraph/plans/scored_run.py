@@ -23,10 +23,11 @@ def scored_run(
     taxonomy: DataFrame,
     signals: DataFrame,
     out: str,
-    limit: int = 10,
+    limit: int | None = 10,
     on_invalid: str = "fail",
 ) -> DataFrame | None:
-    """Score the next ``limit`` texts and return all scores; None if none are left.
+    """Score the next ``limit`` texts (None: all) and return all scores; None if
+    no text is left.
 
     ``dataset`` is (doc_id, text, gold_labels as a list literal); ``run`` makes
     documents (doc_id, json_ld, reject_reason) of texts, as ``TextToGraph.run``

@@ -41,14 +41,16 @@ def read_labelled(
     return pick_labelled(read_files(spark, path, fmt, **options), text_column, labels_column, keep)
 
 
-def resume_slice(source: DataFrame, results: DataFrame, limit: int, source_id: str = "id") -> DataFrame:
+def resume_slice(source: DataFrame, results: DataFrame, limit: int | None, source_id: str = "id") -> DataFrame:
     """The next ``limit`` rows behind the last stored source id.
 
     With nothing stored it starts at the first row. The bound is one value, which
-    Spark also hands to the scan.
+    Spark also hands to the scan. One task gathers a limited slice, so a limit is
+    for small slices; without one all rows that are left come as they lie.
     """
     last = results.agg(F.coalesce(F.max("source_id"), F.lit(-(2**63))).alias("last")).scalar()
-    return source.filter(F.col(source_id) > last).orderBy(source_id).limit(limit)
+    rest = source.filter(F.col(source_id) > last)
+    return rest if limit is None else rest.orderBy(source_id).limit(limit)
 
 
 def class_store(df: DataFrame) -> DataFrame:
