@@ -90,8 +90,9 @@ def test_first_entity_of_a_class(spark):
     listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "name", "class_name", "description")).alias("entities"))
     listed = listed.union(spark.createDataFrame([(2, [])], listed.schema))
     assert {tuple(r) for r in ex.first_per_class(listed).collect()} == {(1, "A", 0, "first", "d0"), (1, "B", 1, "b", "d1")}
-    names = {r["class_name"]: r["names"] for r in ex.entities_per_class(rows).collect()}
-    assert names == {"A": ["first", "late"], "B": ["b"]}
+    names = {tuple(r)[:3]: r["names"] for r in ex.entities_per_class(listed).collect()}
+    assert names == {(1, "A", 0): ["first", "late"], (1, "B", 1): ["b"]}
+    assert ex.entity_rows(listed).count() == 3
 
 
 def test_json_object(spark):

@@ -57,34 +57,42 @@ def entity_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline_outer("entities")).filter("pos IS NOT NULL")
 
 
-def first_per_class(parsed: DataFrame) -> DataFrame:
-    """The first entity of each class in a text: doc_id, class_name, pos, name, description.
+def _by_class(parsed: DataFrame) -> DataFrame:
+    """Entities of a text sorted by class and place, and where each class starts.
 
-    All entities of a text are in its row, so sorting its list by class and
-    place puts the first ones where the class changes; nothing is shuffled.
+    All entities of a text are in its row, so this needs no shuffle.
     """
-    by_class = F.sort_array(
+    ordered = F.sort_array(
         F.transform("entities", lambda e: F.struct(e["class_name"], e["pos"], e["name"], e["description"]))
     )
-    firsts = F.filter(
-        "_sorted", lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["class_name"] != e["class_name"])
+    changes = F.transform(
+        "_sorted",
+        lambda e, i: F.when((i == 0) | (F.get("_sorted", i - 1)["class_name"] != e["class_name"]), i),
     )
-    rows = parsed.select("doc_id", by_class.alias("_sorted")).select("doc_id", F.inline_outer(firsts))
-    return rows.filter("pos IS NOT NULL")
+    return parsed.select("doc_id", ordered.alias("_sorted")).select("doc_id", "_sorted", F.array_compact(changes).alias("_starts"))
 
 
-def entities_per_class(entities: DataFrame) -> DataFrame:
-    """Names per class and text, in text order.
+def first_per_class(parsed: DataFrame) -> DataFrame:
+    """The first entity of each class in a text: doc_id, class_name, pos, name, description."""
+    firsts = F.transform("_starts", lambda i: F.get("_sorted", i))
+    return _by_class(parsed).select("doc_id", F.inline_outer(firsts)).filter("pos IS NOT NULL")
 
-    A group is part of one answer cell, so its size is that of a cell.
-    """
-    names = F.sort_array(F.collect_list(F.struct("pos", "name")))
-    return entities.groupBy("doc_id", "class_name").agg(
-        F.min("pos").alias("pos"), F.transform(names, lambda e: e["name"]).alias("names")
-    )
+
+def entities_per_class(parsed: DataFrame) -> DataFrame:
+    """Names per class and text, in text order: doc_id, class_name, pos, names."""
+    def part(start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("_starts", n + 1), F.size("_sorted"))
+        first = F.get("_sorted", start)
+        members = F.slice("_sorted", start + 1, end - start)
+        return F.struct(
+            first["class_name"].alias("class_name"), first["pos"].alias("pos"),
+            F.transform(members, lambda e: e["name"]).alias("names"),
+        )
+
+    return _by_class(parsed).select("doc_id", F.inline_outer(F.transform("_starts", part))).filter("pos IS NOT NULL")
 
 
-def entities_with_schema(entities: DataFrame, mapping: DataFrame) -> DataFrame:
+def entities_with_schema(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entities whose class got a definition, grouped per class."""
     mapped = mapping.select("doc_id", "class_name").distinct()
-    return entities_per_class(entities).join(mapped, ["doc_id", "class_name"], "left_semi")
+    return entities_per_class(parsed).join(mapped, ["doc_id", "class_name"], "left_semi")

@@ -104,10 +104,8 @@ class TextToGraph:
             ex.extraction(calls.select("doc_id", "response")).drop("response"), f"{self.folder}/extraction"
         )
         usable = parsed.filter("reject_reason IS NULL AND NOT extraction_failed")
-        entities = ex.entity_rows(usable)
-
         mapping = self._map_classes(texts, usable)
-        rounds = self._transform(texts, usable, entities, mapping)
+        rounds = self._transform(texts, usable, mapping)
         done = stage(
             final_documents(rounds).select("doc_id", "json_ld", "code", "output", "runs"), f"{self.folder}/documents"
         )
@@ -148,12 +146,12 @@ class TextToGraph:
         choices = mc.structured_choice(calls)
         return stage(resolve_classes(topk, self.stores.definitions, choices), f"{self.folder}/mapping")
 
-    def _transform(self, texts: DataFrame, usable: DataFrame, entities: DataFrame, mapping: DataFrame) -> DataFrame:
+    def _transform(self, texts: DataFrame, usable: DataFrame, mapping: DataFrame) -> DataFrame:
         defined = stage(
             definition_compact(self.stores.definitions).select("label", "compact", raw_definition().alias("raw")),
             f"{self.folder}/definitions",
         )
-        blocks = prompts.schema_blocks(mapping, ex.entities_with_schema(entities, mapping), defined)
+        blocks = prompts.schema_blocks(mapping, ex.entities_with_schema(usable, mapping), defined)
         inputs = stage(
             texts.join(usable.select("doc_id", "relations"), "doc_id").join(blocks, "doc_id", "left"),
             f"{self.folder}/inputs",

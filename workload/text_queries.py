@@ -63,10 +63,6 @@ def staged(spark, sf) -> DataFrame:
     return stage(parsed(spark, sf), run_folder(spark, "parsed"))
 
 
-def entities(spark, sf) -> DataFrame:
-    return ex.entity_rows(parsed(spark, sf))
-
-
 # --- sources and sinks ------------------------------------------------------
 
 @query("read_labelled", "SELECT doc_id, text, source AS gold_labels FROM documents")
@@ -187,7 +183,7 @@ SELECT doc_id, class_name, min(pos) AS pos, string_agg(name, '|' ORDER BY pos) A
 
 @query("entities_per_class", f"WITH {PARSED} {PER_CLASS}")
 def entities_per_class(spark, sf):
-    return ex.entities_per_class(entities(spark, sf)).withColumn("names", F.array_join("names", "|"))
+    return ex.entities_per_class(parsed(spark, sf)).withColumn("names", F.array_join("names", "|"))
 
 
 @query("json_object_extract", """
@@ -339,7 +335,7 @@ SELECT p.* FROM ({PER_CLASS}) p WHERE (doc_id, class_name) IN (SELECT (doc_id, c
 """)
 def entities_with_schema(spark, sf):
     answers = staged(spark, sf)
-    found = ex.entities_with_schema(ex.entity_rows(answers), mapped(spark, sf, answers))
+    found = ex.entities_with_schema(answers, mapped(spark, sf, answers))
     return found.withColumn("names", F.array_join("names", "|"))
 
 
@@ -365,7 +361,7 @@ def blocks(spark, sf, answers: DataFrame) -> DataFrame:
     defined = view(spark, sf, "fx_store_definition").withColumnRenamed("definition", "compact")
     defined = lk.one_definition_per_label(defined).withColumn("raw", F.col("compact"))
     return prompts.schema_blocks(
-        mapping.select("doc_id", "class_name", "schema_label", "pos"), ex.entities_per_class(ex.entity_rows(answers)), defined
+        mapping.select("doc_id", "class_name", "schema_label", "pos"), ex.entities_per_class(answers), defined
     )
 
 
