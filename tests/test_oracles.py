@@ -13,7 +13,7 @@ def con():
     return check.database(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, con, name):
     told = check.compare(spark, con, SF, name)
     assert told.startswith("ok"), told
@@ -24,4 +24,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) <= set(entry.oracle_sql())
