@@ -41,3 +41,37 @@ def secrets_base(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def near_duplicates(rows, percent=85):
+    """{doc_id: (n_shingles, component)} from (doc_id, text), by all pairs that share a shingle."""
+    sets = {}
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+        n = min(5, len(words))
+        sets[doc_id] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    holders, root = {}, {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for doc_id, shingles in sets.items():
+        for s in shingles:
+            holders.setdefault(s, []).append(doc_id)
+    seen = set()
+    for together in holders.values():
+        for i, a in enumerate(together):
+            for b in together[i + 1 :]:
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    shared = len(sets[a] & sets[b])
+                    if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                        x, y = find(a), find(b)
+                        root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
