@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgraph.llm import chat, language, licences, minhash, mixing, pii, secret_scan, topk
+from textgraph.llm import chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, topk
 from textgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ FROM f GROUP BY conv_id
 """
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
