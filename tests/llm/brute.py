@@ -75,3 +75,23 @@ def near_duplicates(rows, percent=85):
                         x, y = find(a), find(b)
                         root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def without_repeats(rows, length=50):
+    """{doc_id: (n_bytes, n_removed, n_spans, sha256)} from (doc_id, text) with distinct ids."""
+    first = {}
+    for doc_id, text in sorted(rows):
+        raw = (text or "").encode()
+        for i in range(len(raw) - length + 1):
+            first.setdefault(raw[i : i + length], doc_id)
+    out = {}
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if first[raw[i : i + length]] < doc_id:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[doc_id] = (len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    return out

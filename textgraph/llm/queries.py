@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgraph.llm import chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, topk
+from textgraph.llm import chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
 from textgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 @query
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"))
