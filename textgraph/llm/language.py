@@ -174,3 +174,20 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
     schema = carried.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return carried.mapInArrow(run, schema)
+
+
+def known(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text has a language; with no language learned, those with a letter."""
+    sent, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = _tables()[1]
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if sent.value.langs:
+                keep = [lang != UNDECIDED for lang in sent.value.predict(texts)[0]]
+            else:
+                keep = [bool(letter[_points(t or "")].any()) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

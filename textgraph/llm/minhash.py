@@ -229,3 +229,16 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of the document that stays of each group; of rows equal in id and text one stays.
+
+    Rows without an id are linked with nothing and stay.
+    """
+    spark = documents.sparkSession
+    kept = near_duplicates(documents, percent).filter("kept").select("doc_id").distinct()
+    kept = stage(kept, run_folder(spark, "minhash-kept"))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text"), F.struct("*").alias("row"))
+    named = rows.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(rows.filter("doc_id IS NULL")).select("row.*")

@@ -81,7 +81,7 @@ def mix_plan(
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the input's columns, once per copy, and ``copy`` from 1."""
-    plan = mix_plan(documents, **options).filter(F.col("copies") > 0)
-    columns = [c for c in documents.columns if c != "copy"]
-    return plan.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    """The mixed corpus: the input's columns, once per copy, and ``copy`` from 1 (in place of an input column ``copy``)."""
+    rows = documents.drop("copy")
+    plan = mix_plan(rows.select("doc_id", "text", "source", F.struct("*").alias("row")), **options).filter(F.col("copies") > 0)
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*", "copy")

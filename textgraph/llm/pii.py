@@ -92,8 +92,8 @@ KINDS = [
 
 
 def find_pii(documents: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
-    """The input's columns and ``spans``, by start and kind."""
-    rows = documents.drop("spans")
+    """The input's columns and ``spans``, by start and kind; an input column of that name is replaced."""
+    rows = documents.drop("spans", *(f"_m{n}" for n in range(len(kinds))))
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
     for n, kind in enumerate(kinds):
@@ -119,9 +119,9 @@ def _score(text: Column, place: Column, kind: Kind) -> Column:
 
 def masked(documents: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     """The input's columns with every span of a text replaced by its kind."""
-    found = find_pii(documents, kinds)
+    found = find_pii(documents.select("text", F.struct("*").alias("row")), kinds)
     text = S.masked(F.col("text"), F.col("spans"))
-    return found.select(*(text.alias("text") if c == "text" else F.col(c) for c in documents.columns))
+    return found.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def summary(found: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
