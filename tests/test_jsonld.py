@@ -161,9 +161,41 @@ def test_validation_follows_the_plain_rules(spark, vocabulary, made):
 def test_validation_with_large_vocabulary_tables(spark, vocabulary):
     import dataclasses
 
-    shuffled = dataclasses.replace(vocabulary, size=10**12)
-    rows = va.jsonld_validate(documents(spark, list(CASES)), shuffled).collect()
-    assert {list(CASES)[r["doc_id"]]: (r["code"], r["output"]) for r in rows} == CASES
+    shuffled = dataclasses.replace(vocabulary, sizes=dict.fromkeys(vocabulary.sizes, 10**12))
+    checked = va.jsonld_validate(documents(spark, list(CASES)), shuffled)
+    assert {list(CASES)[r["doc_id"]]: (r["code"], r["output"]) for r in checked.collect()} == CASES
+    # However large the tables, documents are parsed once.
+    assert checked._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+
+
+def test_closure_of_many_classes(spark, folder):
+    rows = spark.range(1, 200_001).select(
+        F.concat(F.lit("C"), "id").alias("label"), F.when(F.col("id") > 1, F.concat(F.lit("C"), F.floor((F.col("id") + 6) / 8))).alias("parent")
+    )
+    above = va.ancestors(rows, folder)
+    assert above.count() == sum(_levels(n) for n in range(1, 200_001))
+
+
+def _levels(n):
+    """Classes from n up to the root, itself included."""
+    levels = 1
+    while n > 1:
+        n, levels = (n + 6) // 8, levels + 1
+    return levels
+
+
+def test_cycles_are_an_error(spark, folder):
+    with pytest.raises(ValueError, match="cycle"):
+        va.ancestors(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A")], "label string, parent string"), folder)
+
+
+def test_deep_documents(spark):
+    nested = lambda n: '{"a":' * n + "1" + "}" * n
+    texts = [nested(jl.MAX_DEPTH), nested(jl.MAX_DEPTH + 1), nested(3000), nested(50_000), '{"a":"' + "{" * 1000 + '"}']
+    roots = jl.facts(documents(spark, texts), ["doc_id"]).filter("kind IN ('root', 'invalid')").orderBy("doc_id").collect()
+    assert [r["kind"] for r in roots] == ["root", "invalid", "invalid", "invalid", "root"]
+    read = jl.document_terms(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["reject_reason"] for r in read] == ["no about", "no JSON object", "no JSON object", "no JSON object", "no about"]
 
 
 def test_empty_vocabulary_is_code_2(spark):

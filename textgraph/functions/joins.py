@@ -1,10 +1,9 @@
 """Joins against lookup tables, with the size of what is broadcast checked.
 
 A lookup table (taxonomy, vocabulary, candidates of texts) is broadcast only
-after it has been measured. Beyond the bound the join is a shuffle join whose
-frequent keys are taken out first: their number is bounded by their frequency,
-so their part of the lookup table is broadcast and their rows stay where they
-are. Everything is exact either way.
+after it has been measured. Beyond the bound it is one shuffle join, in which the
+left side stands once: frequent keys are split by Spark's own skew join, and rows
+without a key, which match nothing, are spread by a salt.
 """
 
 from __future__ import annotations
@@ -13,11 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgraph.session import run_folder, stage
-
 BROADCAST_BYTES = 32 * 1024 * 1024
-HEAVY_ROWS = 1_000_000
-SALTS = 64
+SALTS = 1024
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -34,56 +30,22 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     limit: int = BROADCAST_BYTES,
-    heavy: int = HEAVY_ROWS,
     size: int | None = None,
-    unique: bool = False,
 ) -> DataFrame:
     """Join rows with a lookup table; inner, left, left_semi or left_anti.
 
-    ``size`` is the size of the lookup table where it was measured before. Keys
-    with more than ``heavy`` rows on the left count as frequent; where a key is
-    ``unique`` on the left there are none to look for.
+    ``size`` is the size of the lookup table where it was measured before.
     """
     if (table_bytes(lookup) if size is None else size) <= limit:
         return left.join(F.broadcast(lookup), on, how)
-    if unique:
-        return left.join(lookup, on, how)
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    joined = _split_join(left.filter(whole), lookup, on, how, limit, heavy)
-    if how in ("left", "left_anti"):
-        # Rows without a key match nothing and need no shuffle.
-        joined = joined.unionByName(left.filter(~whole), allowMissingColumns=True)
-    return joined
-
-
-def _split_join(left: DataFrame, lookup: DataFrame, on: list[str], how: str, limit: int, heavy: int) -> DataFrame:
-    counts = stage(
-        left.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > heavy),
-        run_folder(left.sparkSession, "frequent"),
-    )
-    if counts.isEmpty():
-        return left.join(lookup, on, how)
-    while table_bytes(counts.filter(F.col("n") > heavy)) > limit:
-        heavy *= 4
-    frequent = F.broadcast(counts.filter(F.col("n") > heavy).select(*on))
-    rows, found = left.join(frequent, on, "left_semi"), lookup.join(frequent, on, "left_semi")
-    if table_bytes(found) <= limit:
-        spread = rows.join(F.broadcast(found), on, how)
-    else:
-        spread = _salted(rows, found, on, how)
-    return spread.unionByName(left.join(frequent, on, "left_anti").join(lookup, on, how))
-
-
-def _salted(left: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Spread frequent keys by a salt; the lookup rows are repeated per salt.
-
-    The salt is a hash of the row and not a random number, so a lost task that
-    runs again puts its rows where it put them before.
-    """
+    if how in ("inner", "left_semi"):
+        return left.filter(whole).join(lookup, on, how)
+    # The salt is a hash of the row and not a random number, so a lost task that
+    # runs again puts its rows where it put them before.
     plain = [
         f.name for f in left.schema.fields
         if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
     ]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", F.when(whole, 0).otherwise(F.pmod(F.xxhash64(*plain), F.lit(SALTS))).cast("int"))
+    return salted.join(lookup.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import text
-from textgraph.functions.joins import BROADCAST_BYTES, HEAVY_ROWS, lookup_join
+from textgraph.functions.joins import BROADCAST_BYTES, lookup_join
 from textgraph.session import run_folder, stage
 
 NUMERIC_TYPES = ["xsd:integer", "xsd:decimal", "xsd:double", "xsd:float", "xsd:int", "xsd:long"]
@@ -44,9 +44,7 @@ def turtle_document(
     return out
 
 
-def turtle_individuals(
-    triples: DataFrame, folder: str | None = None, limit: int = BROADCAST_BYTES, heavy: int = HEAVY_ROWS
-) -> DataFrame:
+def turtle_individuals(triples: DataFrame, folder: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Blocks per subject: types, then literals, then relations.
 
     Columns: subject, section, pos, line. Sections: 0 subject, 1 types,
@@ -72,7 +70,7 @@ def turtle_individuals(
         ).alias("last"),
     )
     subjects = stage(subjects, f"{folder or run_folder(triples.sparkSession, 'subjects')}/subjects")
-    ends = lookup_join(stated, subjects.select("subject", "last"), ["subject"], "inner", limit, heavy).select(
+    ends = lookup_join(stated, subjects.select("subject", "last"), ["subject"], "inner", limit).select(
         "subject", "section", "pos",
         F.concat("body", F.when(F.struct("section", "pos") == F.col("last"), " .").otherwise(" ;")).alias("line"),
     )
@@ -148,19 +146,37 @@ def owl_summary(triples: DataFrame, parents: DataFrame | None = None) -> DataFra
     return class_lines.unionByName(objects).unionByName(values)
 
 
+def owl_document(summary: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """The lines of an ontology document: part, name, line.
+
+    Prefixes come first (part 0, in their order), then the statements of
+    ``owl_summary`` per section, each section behind an empty line.
+    """
+    heads = [(0, f"{n:06d}", f"@prefix {prefix}: <{uri}> .") for n, (prefix, uri) in enumerate(prefixes)]
+    gaps = [(2 * section - 1, "", "") for section in (1, 2, 3)]
+    framed = summary.sparkSession.createDataFrame(heads + gaps, "part int, name string, line string")
+    return framed.unionByName(summary.select((F.col("section") * 2).alias("part"), "name", "line"))
+
+
 def property_profile(triples: DataFrame) -> DataFrame:
     """Per node type and property: datatype, bounds, example, required, unique."""
     number = F.when(F.col("literal_type").isin(NUMERIC_TYPES), F.col("object").try_cast("double"))
     nodes = triples.groupBy("node_type").agg(F.count_distinct("subject").alias("nodes"))
-    described = triples.filter("is_literal").groupBy("node_type", F.col("predicate").alias("name")).agg(
+    # Two counts of distinct values beside others would triple every fact; here
+    # each is a sum over groups that were made first.
+    facts = triples.filter("is_literal").withColumn("name", F.col("predicate"))
+    per_value = facts.groupBy("node_type", "name", "object").agg(
         F.min(F.coalesce("literal_type", F.lit("xsd:string"))).alias("datatype"),
-        F.min(number).alias("min_value"),
-        F.max(number).alias("max_value"),
-        F.min("object").alias("example"),
-        F.count("*").alias("n"),
-        F.count_distinct("subject").alias("with_it"),
-        F.count_distinct("object").alias("values"),
+        F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n"),
+    )
+    values = per_value.groupBy("node_type", "name").agg(
+        F.min("datatype").alias("datatype"), F.min("low").alias("min_value"), F.max("high").alias("max_value"),
+        F.min("object").alias("example"), F.sum("n").alias("n"), F.count("object").alias("values"),
+    )
+    subjects = facts.select("node_type", "name", "subject").distinct().groupBy("node_type", "name").agg(
+        F.count("subject").alias("with_it")
     )
+    described = values.join(subjects, ["node_type", "name"])
     return described.join(nodes, "node_type").select(
         "node_type", "name", "datatype", "min_value", "max_value", "example",
         (F.col("with_it") == F.col("nodes")).alias("is_required"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed
-from textgraph.functions.joins import lookup_join, table_bytes
+from textgraph.functions.joins import lookup_join
 from textgraph.operators.jsonld import facts, minimal_document
 from textgraph.session import run_folder, stage
 
@@ -21,32 +21,35 @@ class Vocabulary:
 
     known (label); ranges (property, ranges); allowed (label, property), with
     what a class inherits; accepted (property, label), with the classes below a
-    range; size, the bytes of all four.
+    range; sizes, the bytes of each.
     """
 
     known: DataFrame
     ranges: DataFrame
     allowed: DataFrame
     accepted: DataFrame
-    size: int
+    sizes: dict[str, int]
     usable: bool
 
 
-def ancestors(classes: DataFrame) -> DataFrame:
-    """Every class with itself and all classes above it. A cycle is an error."""
-    return classes.sparkSession.sql(
-        """
-        WITH RECURSIVE up(label, ancestor) AS (
-          SELECT label, label AS ancestor FROM {classes}
-          UNION ALL
-          SELECT up.label, c.parent AS ancestor
-          FROM up JOIN {classes} c ON c.label = up.ancestor
-          WHERE c.parent IS NOT NULL
-        )
-        SELECT DISTINCT label, ancestor FROM up
-        """,
-        classes=classes,
-    )
+def ancestors(classes: DataFrame, folder: str) -> DataFrame:
+    """Every class with itself and all classes above it. A cycle is an error.
+
+    Rounds of distinct pairs, each written before the next. A round joins the
+    pairs it has with each other, so the length of the paths doubles; it ends
+    when no pair is new.
+    """
+    edges = classes.filter("parent IS NOT NULL").select("label", F.col("parent").alias("ancestor")).distinct()
+    pairs, known, number = stage(edges, f"{folder}/0"), None, 0
+    while (n := pairs.count()) != known:
+        known, number = n, number + 1
+        further = pairs.select("label", F.col("ancestor").alias("via")).join(
+            pairs.select(F.col("label").alias("via"), "ancestor"), "via"
+        ).select("label", "ancestor")
+        pairs = stage(pairs.unionByName(further).distinct(), f"{folder}/{number}")
+        if not pairs.filter("label = ancestor").isEmpty():
+            raise ValueError("the class hierarchy has a cycle")
+    return pairs.unionByName(classes.select("label", F.col("label").alias("ancestor"))).distinct()
 
 
 def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str | None = None) -> Vocabulary:
@@ -57,7 +60,7 @@ def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str |
     """
     folder = folder or run_folder(classes.sparkSession, "vocabulary")
     properties = stage(properties.select("class_label", "property", "range").distinct(), f"{folder}/properties")
-    above = stage(ancestors(classes.select("label", "parent").distinct()), f"{folder}/above")
+    above = stage(ancestors(classes.select("label", "parent").distinct(), f"{folder}/closure"), f"{folder}/above")
     none = F.lit(None).cast("string")
     parts = {
         "known": above.filter("label = ancestor").select("label", none.alias("property"), none.alias("range")),
@@ -68,13 +71,15 @@ def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str |
     rows = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in parts.items()]).distinct()
     table = stage(rows, f"{folder}/tables")
     part = lambda kind, *columns: table.filter(F.col("kind") == kind).select(*columns)
+    row = F.octet_length(F.to_json(F.struct(*table.columns)))
+    sizes = {r["kind"]: r["b"] for r in table.groupBy("kind").agg(F.sum(row).alias("b")).collect()}  # a row per kind
     return Vocabulary(
         known=part("known", "label"),
         ranges=part("range", "property", "range").groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")),
         allowed=part("allowed", "label", "property"),
         accepted=part("accepted", "property", "label"),
-        size=table_bytes(table),
-        usable=not (above.isEmpty() or properties.isEmpty()),
+        sizes={kind: sizes.get(kind, 0) for kind in parts},
+        usable="known" in sizes and "range" in sizes,
     )
 
 
@@ -82,30 +87,31 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
     """One row per document with its errors: keys, errors.
 
     One pass over the facts. A node may have several types and needs one that
-    fits, so a fact fails where all its types fail. Lookups do not move the
-    facts; only suspects and one root row per document are shuffled, once, by
+    fits, so a fact fails where all its types fail. Lookups in tables within the
+    bound of a broadcast do not move the facts; beyond it each is one shuffle
+    join. Only suspects and one root row per document are shuffled, once, by
     document.
     """
-    def look(rows: DataFrame, table: DataFrame, on: list[str], flag: str) -> DataFrame:
-        return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left", size=vocabulary.size)
+    def look(rows: DataFrame, kind: str, table: DataFrame, on: list[str], flag: str) -> DataFrame:
+        return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left", size=vocabulary.sizes[kind])
 
     via_ranges = vocabulary.ranges.select(F.col("property").alias("via"), F.col("ranges").alias("via_ranges"))
     inferred = F.when(F.size("types") > 0, F.col("types")).when(F.col("via").isNull(), F.array(F.lit(ROOT_TYPE)))
     child = vocabulary.known.withColumnRenamed("label", "child")
 
-    rows = look(found, via_ranges, ["via"], "_via")
+    rows = look(found, "range", via_ranges, ["via"], "_via")
     rows = rows.withColumn("types", F.coalesce(inferred, "via_ranges", F.array().cast("array<string>")))
     rows = rows.select(
         *keys, "path", "property", "kind", "value", "child_types",
         F.size("types").alias("n_types"), F.size("child_types").alias("n_children"),
         F.explode_outer("types").alias("label"),
     )
-    rows = look(rows, vocabulary.known, ["label"], "type_known")
-    rows = look(rows, vocabulary.ranges.select("property"), ["property"], "declared")
-    rows = look(rows, vocabulary.allowed, ["label", "property"], "fits")
+    rows = look(rows, "known", vocabulary.known, ["label"], "type_known")
+    rows = look(rows, "range", vocabulary.ranges.select("property"), ["property"], "declared")
+    rows = look(rows, "allowed", vocabulary.allowed, ["label", "property"], "fits")
     rows = rows.select("*", F.explode_outer("child_types").alias("child"))
-    rows = look(rows, child, ["child"], "child_known")
-    rows = look(rows, vocabulary.accepted.withColumnRenamed("label", "child"), ["property", "child"], "accepted")
+    rows = look(rows, "known", child, ["child"], "child_known")
+    rows = look(rows, "accepted", vocabulary.accepted.withColumnRenamed("label", "child"), ["property", "child"], "accepted")
 
     known = F.col("declared").isNotNull() & ~F.col("property").startswith("@")
     flags = {
@@ -158,7 +164,7 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
 
 
 def jsonld_validate(
-    docs: DataFrame, vocabulary: Vocabulary, keys: list[str] = ("doc_id",)
+    docs: DataFrame, vocabulary: Vocabulary, keys: list[str] = ("doc_id",), partitions: int | None = None
 ) -> DataFrame:
     """Code and output per document.
 
@@ -168,7 +174,7 @@ def jsonld_validate(
     keys = list(keys)
     if not vocabulary.usable:
         return docs.select(*keys, F.lit(2).alias("code"), F.lit("no vocabulary").alias("output"))
-    found = errors_per_document(facts(docs, keys), vocabulary, keys)
+    found = errors_per_document(facts(docs, keys, partitions), vocabulary, keys)
     line = lambda e: F.concat_ws(" ", e["path"], e["rule"], e["value"])
     return found.select(
         *keys,

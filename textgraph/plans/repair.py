@@ -63,7 +63,7 @@ def repair_loop(
         )
         inputs = lookup_join(
             open_docs.select(*docs.columns), repair.select("doc_id"), ["doc_id"], "left_semi",
-            size=routes["repair"] * KEY_BYTES, unique=True,
+            size=routes["repair"] * KEY_BYTES,
         )
         open_docs = stage(inputs.join(repair, "doc_id"), f"{folder}/open/round={number + 1}")
     return rounds
