@@ -163,7 +163,7 @@ def test_shared_folder_is_that_of_the_session(spark):
 def test_scored_run_in_slices(spark, folder):
     from textgraph.operators.scoring import COUNTS
     from textgraph.plans.evaluate import evaluate
-    from textgraph.plans.scored_run import REJECTS, RESULTS, scored_run
+    from textgraph.plans.scored_run import REJECTS, RESULTS, scored_run, write_scored_report
     from textgraph.sources.tables import read_or_empty
 
     data = spark.createDataFrame(
@@ -195,6 +195,7 @@ def test_scored_run_in_slices(spark, folder):
     assert sorted(map(tuple, scores.select(columns).collect())) == sorted(map(tuple, whole.counts.select(columns).collect()))
     assert [r["source_id"] for r in read_or_empty(spark, f"{folder}/results", RESULTS).orderBy("source_id").collect()] == [0, 2, 3, 4]
     assert [(r["source_id"], r["reject_reason"]) for r in read_or_empty(spark, f"{folder}/rejects", REJECTS).collect()] == [(1, "dropped")]
+    write_scored_report(spark, folder)
     assert spark.read.json(f"{folder}/report/texts_and_labels").count() == 4
     with pytest.raises(ValueError, match="outside the taxonomy"):
         scored_run(data, run, made.taxonomy.limit(1), made.signals, f"{folder}/other", limit=5)

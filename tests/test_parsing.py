@@ -102,9 +102,13 @@ def test_json_object(spark):
 
 def test_label_literals(spark):
     values = ["['a', 'it\\'s']", '["it\'s"]', "[]", "no list", "'x'", "", None, "['a'"]
+    values += ["['a', 'b',]", "['a', None]", "['caf\\xe9']", "['a'] x", " ['a']"]
+    nothing = [fixed.NO_LABEL]
     assert column(spark, values, sc.gold_list) == [
-        ["a", "it's"], ["it's"], [fixed.NO_LABEL], [fixed.NO_LABEL], [fixed.NO_LABEL], [fixed.NO_LABEL], [fixed.NO_LABEL], [fixed.NO_LABEL],
+        ["a", "it's"], ["it's"], nothing, nothing, nothing, nothing, nothing, nothing, ["a", "b"], ["a", None], ["café"], nothing, ["a"],
     ]
+    cells = spark.createDataFrame([(v,) for v in values], "gold_labels string")
+    assert sc.unreadable_gold(cells) == 6
 
 
 def test_label_cells(spark):

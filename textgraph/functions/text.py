@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from textgraph.functions import fixed
@@ -59,10 +60,33 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def read_literal(c: Column) -> Column:
+    """A list written as a Python literal: ``labels``, NULL where the text is no list.
+
+    Quotes, escapes, trailing commas and None are read as Python writes them,
+    which no JSON reader does; one Arrow batch at a time. Other plain values
+    among the labels become text.
+    """
+    def run(cells: pd.Series) -> pd.Series:
+        import ast
+
+        import pandas
+
+        def labels(cell):
+            try:
+                found = ast.literal_eval(cell.strip())
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError, AttributeError):
+                return None
+            return [v if v is None else str(v) for v in found] if isinstance(found, list) else None
+
+        return pandas.Series([labels(cell) for cell in cells], dtype=object)
+
+    return F.pandas_udf(run, LABELS)(c)
+
+
 def label_literal(c: Column) -> Column:
     """Labels of a list written as text; anything else is the empty list."""
-    listed = F.when(strip(c).startswith("["), F.from_json(c, LABELS, {"allowSingleQuotes": "true"}))
-    return F.coalesce(listed, F.array().cast(LABELS))
+    return F.coalesce(read_literal(c), F.array().cast(LABELS))
 
 
 def label_cell(c: Column) -> Column:

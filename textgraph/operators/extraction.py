@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed, text
+from textgraph.session import spread
 
 ENTITY = "array<struct<pos:bigint,name:string,class_name:string,description:string>>"
 RELATION = "array<struct<pos:bigint,subject:string,predicate:string,object:string>>"
@@ -12,10 +13,10 @@ ENTITY_FIELDS = ["name", "class_name", "description"]
 RELATION_FIELDS = ["subject", "predicate", "object"]
 
 
-def sections(answers: DataFrame, response: str = "response") -> DataFrame:
+def sections(answers: DataFrame, response: str = "response", partitions: int | None = None, by: str = "doc_id") -> DataFrame:
     """Summary (stripped), entity and relation sections of each answer."""
     c = F.col(response)
-    return answers.withColumns({
+    return spread(answers, partitions, by).withColumns({
         "summary": text.strip(text.section(c, fixed.SUMMARY_TAG)),
         "entity_section": text.section(c, fixed.ENTITY_TAG),
         "relation_section": text.section(c, fixed.RELATION_TAG),

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from textgraph.functions import text
 from textgraph.functions.joins import lookup_join
 from textgraph.operators.labels import reading_signal
+from textgraph.session import spread
 
+# Levels of objects and lists in a document; deeper ones are no documents.
+MAX_DEPTH = 200
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
 
@@ -17,8 +20,19 @@ def as_array(v: Column) -> Column:
 
 
 def parsed_object(json_ld: Column) -> Column:
-    """The parsed text; NULL unless it is a JSON object without repeated keys."""
-    return F.when(text.strip(json_ld).startswith("{"), F.try_parse_json(json_ld))
+    """The parsed text; NULL unless it is a JSON object without repeated keys, at most ``MAX_DEPTH`` levels deep."""
+    return F.when(text.strip(json_ld).startswith("{") & (_depth(json_ld) <= MAX_DEPTH), F.try_parse_json(json_ld))
+
+
+def _depth(json_ld: Column) -> Column:
+    """Levels of brackets outside strings. Few texts have so many brackets that they need be counted."""
+    bare = F.regexp_replace(F.regexp_replace(json_ld, r'"(?:[^"\\\\]++|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, start, lambda a, s: F.struct(
+        (a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
+    opened = F.length(F.translate(json_ld, "{[", "")) + MAX_DEPTH
+    return F.when(F.length(json_ld) > opened, deepest).otherwise(0)
 
 
 def minimal_document() -> Column:
@@ -136,25 +150,30 @@ FACT = (
 )
 
 
-def facts(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Flatten nested documents to one row per fact, in one pass and unshuffled.
+def facts(docs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Flatten nested documents to one row per fact, in one pass.
+
+    The documents stay where they are, or are dealt to ``partitions`` before
+    they are parsed: a file with one row group is one task otherwise.
 
     Columns: keys, path (of the node), node_id, types, via (the property that
     leads to the node), property, kind, value, child_types. Kinds are root (one
     row per document), invalid (instead of root, for text that is no JSON
-    object or repeats a key), type, ref, node and, for plain values, string,
+    object, repeats a key or is nested too deep), type, ref, node and, for plain values, string,
     number, boolean or null. Lists fan out; an object that is only an ``@id`` is
-    a ref; numbers keep their text. The depth of a document has no limit here.
+    a ref; numbers keep their text. A document may be ``MAX_DEPTH`` levels deep,
+    for ``parsed_object`` as well. An ``@id`` that is no plain value, and a type
+    that is none, count as absent.
 
     An Arrow function, as opening VARIANT level by level took five times
     as long (28 s against 6 s for 140,000 documents on two cores) and needed a
     bound on the depth.
     """
     schema = T.StructType([*docs.select(*keys).schema.fields, *T.DataType.fromDDL(FACT).fields])
-    return docs.select(*keys, "json_ld").mapInArrow(_flatten(list(keys), schema.fieldNames()), schema)
+    return spread(docs.select(*keys, "json_ld"), partitions, *keys).mapInArrow(_flatten(list(keys), schema.fieldNames()), schema)
 
 
-def _flatten(keys: list[str], names: list[str]):
+def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
     """The Arrow function; it imports what it needs, so it travels alone."""
 
     def run(batches):
@@ -183,7 +202,15 @@ def _flatten(keys: list[str], names: list[str]):
                 found = decoder.decode(text or "")
             except (ValueError, RecursionError):
                 return None
-            return found if isinstance(found, dict) else None
+            return found if isinstance(found, dict) and shallow(found) else None
+
+        def shallow(found):
+            level = [found]
+            for _ in range(deepest):
+                if not level:
+                    return True
+                level = [v for x in level for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, (dict, list))]
+            return not level
 
         def plain(value):
             if value is None:
@@ -209,9 +236,11 @@ def _flatten(keys: list[str], names: list[str]):
                 if isinstance(value, list):
                     left.extend((f"{place}[{n}]", item, name, owner) for n, item in enumerate(value))
                 elif isinstance(value, dict):
-                    own_id = plain(value["@id"])[1] if "@id" in value else None
+                    own_id = value.get("@id")
+                    own_id = None if isinstance(own_id, (dict, list)) else plain(own_id)[1]
                     kinds = value.get("@type") or []
-                    kinds = list(dict.fromkeys(str(k) for k in (kinds if isinstance(kinds, list) else [kinds])))
+                    kinds = kinds if isinstance(kinds, list) else [kinds]
+                    kinds = list(dict.fromkeys(str(k) for k in kinds if not isinstance(k, (dict, list))))
                     if owner is None:
                         yield None, own_id, kinds, None, None, "root", None, []
                     elif own_id is not None and len(value) == 1:
@@ -249,9 +278,9 @@ def _flatten(keys: list[str], names: list[str]):
     return run
 
 
-def jsonld_triples(docs: DataFrame, keys: list[str]) -> DataFrame:
+def jsonld_triples(docs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Facts as rows: node path, @id, type, property, value, value_type."""
-    return facts(docs, keys).filter("kind NOT IN ('root', 'invalid')").select(
+    return facts(docs, keys, partitions).filter("kind NOT IN ('root', 'invalid')").select(
         *keys, "path", "node_id", F.concat_ws(" ", "types").alias("node_type"),
         "property", "value", F.col("kind").alias("value_type"),
     )

@@ -26,14 +26,16 @@ def semantic_topk(
     scores go by class_id, and pairs without a cosine (a zero vector) come last
     with a NULL score.
 
-    The class side is measured first. It travels as one broadcast matrix if it
-    fits in ``block_bytes``. Else its classes are spread over blocks by the hash
-    of their id; the mentions pass the blocks one after the other, each time
-    merging the block's best k into the k they have, with a written table in
-    between. The result stays exact and no task ever holds more than a block.
+    The class side is measured first, vectors and texts. It travels as one
+    broadcast if it fits in ``block_bytes``. Else its classes are spread over
+    blocks by the hash of their id; the mentions pass the blocks one after the
+    other, each time merging the block's best k into the k they have, with a
+    written table in between. The result stays exact and no task ever holds more
+    than a block.
     """
+    texts = F.coalesce(F.octet_length("class_label"), F.lit(0)) + F.coalesce(F.octet_length("comments"), F.lit(0))
     size = classes.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0)).alias("b")
+        F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding") * 8 + 64 + texts), F.lit(0)).alias("b")
     ).first()
     blocks = max(1, math.ceil(size["b"] / block_bytes))
     if blocks == 1:

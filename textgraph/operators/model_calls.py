@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textgraph.functions import fixed
-from textgraph.functions.joins import lookup_join
+from textgraph.session import spread
 
 Model = Callable[[str, str], str]
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -27,24 +27,28 @@ def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: i
 
     def run(batches):
         import time
+        from datetime import datetime, timezone
         from concurrent.futures import ThreadPoolExecutor
 
+        import pandas as pd
+
         model = make_model()
 
         def once(row):
             system, human, stored = row
             if stored is not None:
-                return stored, (None if stored else "no response"), 0
+                return stored, (None if stored else "no response"), 0, None
             for attempt in range(1, tries + 1):
+                asked_at = datetime.now(timezone.utc)
                 try:
                     answer = model(system, human)
-                    return answer, (None if answer else "no response"), attempt
+                    return answer, (None if answer else "no response"), attempt, asked_at
                 except Exception as error:  # the row keeps it
                     told = str(error)
                     refused = "RefusalError" in type(error).__name__
                     limited = "429" in told or "rate limit" in told.lower()
                     if attempt == tries or not (refused or limited):
-                        return None, f"{type(error).__name__}: {told}", attempt
+                        return None, f"{type(error).__name__}: {told}", attempt, asked_at
                     time.sleep(wait if refused else wait * 2 ** (attempt - 1))
 
         with ThreadPoolExecutor(threads) as pool:
@@ -53,6 +57,7 @@ def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: i
                 batch["response"] = [d[0] for d in done]
                 batch["error"] = [d[1] for d in done]
                 batch["attempts"] = [d[2] for d in done]
+                batch["asked_at"] = pd.to_datetime([d[3] for d in done], utc=True)
                 yield batch
 
     return run
@@ -69,18 +74,21 @@ def model_map(
 ) -> DataFrame:
     """Call a model once per row of system_prompt and human_prompt.
 
-    Adds response, error and attempts; a row that comes with a response keeps
+    Adds response, error, attempts and the time of the last call; a row that comes with a response keeps
     it and is not asked. With ``tries`` above 1 a refusal waits one unit, a rate
     limit one unit and then twice that; any other error ends the tries at once.
     ``threads`` calls run at a time in a task; ``partitions`` sets the number of
-    tasks, whose rows are then spread by the columns ``by``.
+    tasks over which rows are spread by the columns ``by`` (None: the cores of
+    the cluster, 0: the rows stay where they are).
     """
     if "response" not in prompts.columns:
         prompts = prompts.withColumn("response", F.lit(None).cast("string"))
-    if partitions:
-        prompts = prompts.repartition(partitions, *by)
+    if partitions is None:
+        partitions = prompts.sparkSession.sparkContext.defaultParallelism
+    prompts = spread(prompts, partitions, *by)
     schema = T.StructType([
         *prompts.schema.fields, T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
+        T.StructField("asked_at", T.TimestampType()),
     ])
     return prompts.mapInPandas(_caller(make_model, tries, wait, threads), schema)
 
@@ -94,19 +102,21 @@ def answered(
     """Answers of a call: stored ones first, the model for the rest.
 
     ``prompts`` has source_id, call_name and both prompts; ``stored`` is
-    (source_id, call_name, assistant_response), one row per key. The prompts are
-    made and joined once.
+    (source_id, call_name, assistant_response) and, in a log, created_at; of
+    several rows of a key the latest counts. The prompts are made and joined once.
     """
     if stored is None and make_model is None:
         raise ValueError("either stored answers or a model is needed")
     keys = ["source_id", "call_name"]
     if stored is not None:
-        known = stored.select(*keys, F.col("assistant_response").alias("response"))
-        prompts = lookup_join(prompts, known, keys, "left", unique=True)
+        latest = F.max_by("assistant_response", "created_at") if "created_at" in stored.columns else F.max("assistant_response")
+        known = stored.groupBy(*keys).agg(latest.alias("response"))
+        prompts = prompts.join(known, keys, "left")
     if make_model is not None:
         return model_map(prompts, make_model, by=keys, **options)
     return prompts.withColumns({
         "error": F.when(F.coalesce("response", F.lit("")) == "", "no response"), "attempts": F.lit(0),
+        "asked_at": F.lit(None).cast("timestamp"),
     })
 
 
@@ -171,24 +181,55 @@ def choice_or_first(topk: DataFrame, choices: DataFrame, keys: list[str]) -> Dat
     )
 
 
-def embed_map(texts: DataFrame, make_embedder: Callable[[], Embedder], column: str = "embed_text") -> DataFrame:
-    """A vector for each distinct text."""
+def embed_map(
+    texts: DataFrame,
+    make_embedder: Callable[[], Embedder],
+    column: str = "embed_text",
+    tries: int = fixed.MAX_TRIES,
+    wait: float = 1.0,
+) -> DataFrame:
+    """A vector for each distinct text, or NULL and the error.
+
+    A rate limit is waited for as in ``model_map``. A batch that fails for good
+    is asked again text by text, so one bad text costs its own vector only.
+    """
     def run(batches):
+        import time
+
         embed = make_embedder()
+
+        def asked(some):
+            for attempt in range(1, tries + 1):
+                try:
+                    return embed(some), None
+                except Exception as error:  # the row keeps it
+                    told = str(error)
+                    if attempt == tries or not ("429" in told or "rate limit" in told.lower()):
+                        return None, f"{type(error).__name__}: {told}"
+                    time.sleep(wait * 2 ** (attempt - 1))
+
         for batch in batches:
-            batch["embedding"] = embed(list(batch[column]))
+            some = list(batch[column])
+            vectors, error = asked(some)
+            if error is None:
+                errors = [None] * len(some)
+            else:
+                single = [asked([text]) for text in some] if len(some) > 1 else [(None, error)]
+                vectors, errors = [v[0] if v else None for v, _ in single], [e for _, e in single]
+            batch["embedding"], batch["error"] = list(vectors), errors
             yield batch
 
-    return texts.select(column).distinct().mapInPandas(run, f"{column} string, embedding array<float>")
+    return texts.select(column).distinct().mapInPandas(run, f"{column} string, embedding array<float>, error string")
 
 
 def call_log_rows(calls: DataFrame, worker_id: Column, model_name: Column) -> DataFrame:
-    """Log rows of calls that were answered and have a source."""
+    """Log rows of calls that were answered and have a source; the time is that of the call, if it was kept."""
+    asked_at = F.col("asked_at") if "asked_at" in calls.columns else F.lit(None).cast("timestamp")
     return calls.filter("source_id IS NOT NULL AND response IS NOT NULL").select(
         F.col("source_id").cast("long").alias("source_id"),
         "call_name", "system_prompt", "human_prompt",
         F.col("response").alias("assistant_response"),
-        F.current_timestamp().alias("created_at"),
+        F.coalesce(asked_at, F.current_timestamp()).alias("created_at"),
         worker_id.alias("worker_id"),
         model_name.alias("model_name"),
     )

@@ -17,6 +17,11 @@ def gold_list(literal: Column) -> Column:
     return F.when(F.size(parsed) == 0, F.array(F.lit(fixed.NO_LABEL))).otherwise(parsed)
 
 
+def unreadable_gold(texts: DataFrame, literal: str = "gold_labels") -> int:
+    """How many cells of a dataset hold no list; they count as "nothing fits"."""
+    return texts.filter(text.read_literal(F.col(literal)).isNull()).count()
+
+
 def gold_rows(texts: DataFrame, key: str, labels: str = "gold_labels") -> DataFrame:
     rows = texts.select(key, F.posexplode_outer(labels).alias("pos", "label")).filter("pos IS NOT NULL")
     return rows.withColumn("pos", F.col("pos").cast("long"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from textgraph.functions import fixed
 from textgraph.operators.jsonld import document_terms, term_signals
 from textgraph.operators.labels import split_gold_by_signal
 from textgraph.operators.scoring import (
@@ -14,6 +15,9 @@ from textgraph.operators.scoring import (
 from textgraph.session import run_folder, stage
 
 
+NO_DOCUMENT = "no document"
+
+
 @dataclass
 class Evaluation:
     results: DataFrame
@@ -39,20 +43,29 @@ def evaluate(
     folder: str | None = None,
 ) -> Evaluation:
     """Counts and scores of a dataset (doc_id, text, gold_labels as a list
-    literal) against its final documents (doc_id, json_ld).
+    literal) against its final documents (doc_id, json_ld and, if it has one,
+    reject_reason).
 
-    A document whose labels cannot be read is rejected and not counted. The
-    documents are parsed once; their terms and the scored texts are stage tables.
-    Documents of other texts than those of the dataset do not count.
+    Texts that came with a reason, have no document, or whose labels cannot be
+    read are rejected with the reason and not counted. The documents are parsed
+    once; their terms and the scored texts are stage tables. Documents of other
+    texts than those of the dataset do not count.
     """
     folder = folder or run_folder(dataset.sparkSession, "evaluate")
     gold = dataset.select("doc_id", "text", gold_list(F.col("gold_labels")).alias("gold_labels"))
     check_gold(gold_rows(gold, "doc_id"), taxonomy, signals, on_invalid)
+    given = F.col("reject_reason") if "reject_reason" in documents.columns else F.lit(None).cast("string")
+    own = documents.select("doc_id", "json_ld", F.when(F.col("json_ld").isNull(), F.coalesce(given, F.lit(NO_DOCUMENT))).otherwise(given).alias("given"))
     read = stage(
-        document_terms(documents.select("doc_id", "json_ld")).select("doc_id", "terms", "reject_reason"), f"{folder}/terms"
+        document_terms(own).select("doc_id", "terms", F.coalesce("given", "reject_reason").alias("reject_reason")), f"{folder}/terms"
+    )
+    met = stage(
+        gold.join(read, "doc_id", "left").withColumn(
+            "reject_reason", F.when(F.col("terms").isNull(), F.coalesce("reject_reason", F.lit(NO_DOCUMENT))).otherwise(F.col("reject_reason"))
+        ), f"{folder}/scored",
     )
-    scored = stage(gold.join(read.filter("reject_reason IS NULL"), "doc_id"), f"{folder}/scored")
-    rejects = read.filter("reject_reason IS NOT NULL").select("doc_id", "reject_reason")
+    scored = met.filter("reject_reason IS NULL").drop("reject_reason")
+    rejects = met.filter("reject_reason IS NOT NULL").select("doc_id", "reject_reason")
 
     generated = term_signals(scored, signals)
     actual = split_gold_by_signal(gold_rows(scored, "doc_id"), taxonomy, signals)
@@ -60,7 +73,7 @@ def evaluate(
     counts = confusion_counts(actual, wanted, scored, taxonomy, signals)
 
     # The stored list has the labels of beleving first.
-    first = F.when(F.col("signal_type") == "beleving", 0).otherwise(1)
+    first = F.when(F.col("signal_type") == fixed.BELEVING, 0).otherwise(1)
     ordered = F.sort_array(F.collect_list(F.struct(first.alias("o"), "pos", "label")))
     lists = wanted.groupBy("doc_id").agg(F.transform(ordered, lambda l: l["label"]).alias("generated_labels"))
     results = scored.select(F.col("doc_id").alias("source_id"), "text", "gold_labels").join(

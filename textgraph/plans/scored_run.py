@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textgraph.operators.scoring import gold_list, gold_rows
 from textgraph.plans.evaluate import check_gold, evaluate
@@ -23,7 +23,7 @@ def scored_run(
     taxonomy: DataFrame,
     signals: DataFrame,
     out: str,
-    limit: int | None = 10,
+    limit: int | None = None,
     on_invalid: str = "fail",
 ) -> DataFrame | None:
     """Score the next ``limit`` texts (None: all) and return all scores; None if
@@ -31,31 +31,33 @@ def scored_run(
 
     ``dataset`` is (doc_id, text, gold_labels as a list literal); ``run`` makes
     documents (doc_id, json_ld, reject_reason) of texts, as ``TextToGraph.run``
-    does. Results, rejects and counts of a slice go into partitions named by its
-    first id, and the slice counts as done only when its progress is written
-    after them: a run that was cut off replaces what it had left.
+    does; a text with a reason is rejected, also if it has a document. Results,
+    rejects and counts of a slice go into partitions named by its first id, and
+    the slice counts as done only when the ids of its texts are written after
+    them: a run that was cut off replaces what it had left. ``write_scored_report``
+    makes the report of all slices, once they are done.
     """
     spark = dataset.sparkSession
     rows = stage(
         resume_slice(dataset, read_or_empty(spark, f"{out}/progress", "source_id long"), limit, "doc_id"),
         run_folder(spark, "slice"),
     )
-    ends = rows.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).first()
-    if ends["first"] is None:
+    first = rows.agg(F.min("doc_id").alias("first")).first()["first"]
+    if first is None:
         return None
     gold = rows.select("doc_id", gold_list(F.col("gold_labels")).alias("gold_labels"))
     check_gold(gold_rows(gold, "doc_id"), taxonomy, signals, on_invalid)
 
-    documents = run(rows.select("doc_id", "text"))
-    made = documents.filter("json_ld IS NOT NULL").select("doc_id", "json_ld")
-    done = evaluate(rows, made, taxonomy, signals, on_invalid="keep")
-    unmade = documents.filter("json_ld IS NULL").select("doc_id", "reject_reason")
-    write = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={ends['first']}")
+    documents = run(rows.select("doc_id", "text")).select("doc_id", "json_ld", "reject_reason")
+    done = evaluate(rows, documents, taxonomy, signals, on_invalid="keep")
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={first}")
     write(done.counts, "deltas")
     write(done.results, "results")
-    write(done.rejects.unionByName(unmade).withColumnRenamed("doc_id", "source_id"), "rejects")
-    write(spark.createDataFrame([(ends["last"],)], "source_id long"), "progress")
+    write(done.rejects.withColumnRenamed("doc_id", "source_id"), "rejects")
+    write(rows.select(F.col("doc_id").alias("source_id")), "progress")
+    return total_scores(spark, out)
 
-    scores = total_scores(spark, out)
-    write_report(read_or_empty(spark, f"{out}/results", RESULTS).drop("batch_id"), scores, f"{out}/report")
-    return scores
+
+def write_scored_report(spark: SparkSession, out: str) -> None:
+    """The report of all finished slices."""
+    write_report(read_or_empty(spark, f"{out}/results", RESULTS).drop("batch_id"), total_scores(spark, out), f"{out}/report")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
+
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,9 +16,13 @@ from textgraph.operators.vocabulary import definition_compact, raw_definition
 from textgraph.plans.repair import final_documents, repair_loop
 from textgraph.plans.schema_mapping import class_mentions, resolve_classes, with_candidates
 from textgraph.session import run_folder, stage
-from textgraph.sources.sinks import append_call_log
+from textgraph.sources.sinks import append_call_log, call_kind
+
+# Steps and how the names of their calls start.
+STEPS = {"n1": fixed.CALL_EXTRACT, "n2": fixed.CALL_SELECT, "n3": fixed.CALL_TRANSFORM, "n5": fixed.CALL_LABELS}
 
-STEPS = {"n1": "extraction", "n2": "class choice", "n3": "transformation", "n5": "labels"}
+
+LOGGED_SLICES = 8
 
 
 @dataclass
@@ -44,6 +51,13 @@ class TextToGraph:
     with labels, n5); a step may go without where ``answers`` holds all its
     calls. ``embedder`` makes vectors of texts, unless ``vectors`` has them.
     ``partitions`` tasks of ``threads`` calls each ask at a time.
+
+    The calls of a step go in ``slices`` by the hash of their source, each
+    answered, stored and logged before the next: a run that is stopped loses the
+    calls of one slice, and one with ``answers`` from its log asks for the rest.
+    Every run has a folder of its own below ``folder``. ``model_name`` is one name
+    or one per step. After a run ``dropped_classes`` has the classes that got no
+    vector: doc_id, class_name, error.
     """
 
     stores: Stores
@@ -55,11 +69,14 @@ class TextToGraph:
     folder: str | None = None
     log_path: str | None = None
     worker_id: str = "spark"
-    model_name: str = "unknown"
+    model_name: str | dict[str, str] = "unknown"
     threads: int = 1
     partitions: int | None = None
+    slices: int | None = None
+    tries: int = fixed.MAX_TRIES
     wait: float = 1.0
     max_runs: int = fixed.MAX_RUNS
+    dropped_classes: DataFrame | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
         needed = [s for s in STEPS if s != "n5" or self.add_labels]
@@ -72,7 +89,16 @@ class TextToGraph:
         elif self.answers is None:
             raise ValueError("a model or stored answers are needed")
 
-    def _call(self, step: str, rows: DataFrame, system: str, name: str, tries: int = 1) -> DataFrame:
+    def _stored(self, step: str) -> DataFrame | None:
+        """The stored answers of a step; of a log only its folder is read."""
+        if self.answers is None:
+            return None
+        found = self.answers.filter(F.col("call_name").startswith(STEPS[step]))
+        if "call_kind" in found.columns:
+            found = found.filter(F.col("call_kind") == call_kind(F.lit(STEPS[step])))
+        return found
+
+    def _call(self, step: str, rows: DataFrame, system: str, name: str) -> DataFrame:
         """Ask, write the answers, log them. ``rows`` has doc_id, call_name, human_prompt.
 
         Prompts repeat whole texts, so they are written only for a log.
@@ -82,21 +108,31 @@ class TextToGraph:
             *keys, F.col("doc_id").alias("source_id"), "call_name", F.lit(system).alias("system_prompt"), "human_prompt"
         )
         model = (self.models or {}).get(step)
-        options = {"tries": tries, "wait": self.wait, "threads": self.threads, "partitions": self.partitions}
-        made = mc.answered(asked, self.answers, model, **(options if model else {}))
-        calls = stage(made if self.log_path else made.drop("system_prompt", "human_prompt"), f"{self.folder}/{name}")
-        if self.log_path:
-            append_call_log(
-                mc.call_log_rows(calls.filter("attempts > 0"), F.lit(self.worker_id), F.lit(self.model_name)), self.log_path
-            )
-        return calls
+        options = {"tries": self.tries, "wait": self.wait, "threads": self.threads, "partitions": self.partitions}
+        model_name = self.model_name.get(step, "unknown") if isinstance(self.model_name, dict) else self.model_name
+        slices = self.slices or (LOGGED_SLICES if self.log_path else 1)
+        parts = []
+        for number in range(slices):
+            part = asked.filter(F.pmod(F.xxhash64("source_id"), F.lit(slices)) == number) if slices > 1 else asked
+            made = mc.answered(part, self._stored(step), model, **(options if model else {}))
+            made = made if self.log_path else made.drop("system_prompt", "human_prompt")
+            calls = stage(made, f"{self.folder}/{name}/slice={number}")
+            if self.log_path:
+                logged = mc.call_log_rows(calls.filter("attempts > 0"), F.lit(self.worker_id), F.lit(model_name))
+                append_call_log(logged, self.log_path)
+            parts.append(calls)
+        return reduce(DataFrame.unionByName, parts)
 
     def run(self, texts: DataFrame) -> DataFrame:
         """Texts (doc_id, text) to documents: doc_id, json_ld, code, output,
         runs, labels, extraction_failed, reject_reason."""
-        spark = texts.sparkSession
-        self.folder = self.folder or run_folder(spark, "graph")
-        texts = texts.select("doc_id", "text")
+        folder = f"{self.folder}/{uuid4().hex}" if self.folder else run_folder(texts.sparkSession, "graph")
+        own = replace(self, folder=folder)
+        result = own._run(texts.select("doc_id", "text"))
+        self.dropped_classes = own.dropped_classes
+        return result
+
+    def _run(self, texts: DataFrame) -> DataFrame:
 
         asked = prompts.extract_prompt(texts).withColumn("call_name", F.lit(fixed.CALL_EXTRACT))
         calls = self._call("n1", asked, templates.EXTRACT_SYSTEM, "n1")
@@ -134,15 +170,21 @@ class TextToGraph:
         mentions = stage(class_mentions(usable), f"{self.folder}/mentions")
         vectors = self.vectors
         if vectors is None:
-            vectors = mc.embed_map(mentions, self.embedder)
+            vectors = mc.embed_map(mentions, self.embedder, tries=self.tries, wait=self.wait)
         vectors = stage(
             vectors.join(mentions.select("embed_text").distinct(), "embed_text", "left_semi"), f"{self.folder}/vectors"
         )
+        if "error" in vectors.columns:
+            failed = vectors.filter("embedding IS NULL").select("embed_text", "error")
+            self.dropped_classes = stage(
+                mentions.join(failed, "embed_text").select("doc_id", "class_name", "error"), f"{self.folder}/dropped"
+            )
+            vectors = vectors.filter("embedding IS NOT NULL").drop("error")
         topk = stage(with_candidates(mentions, vectors, self.stores.classes, self.folder), f"{self.folder}/topk")
         asked = prompts.select_prompt(topk.join(texts, "doc_id")).withColumn(
             "call_name", F.concat(F.lit(fixed.CALL_SELECT), "class_name")
         )
-        calls = self._call("n2", asked, templates.SELECT_SYSTEM, "n2", tries=fixed.MAX_TRIES)
+        calls = self._call("n2", asked, templates.SELECT_SYSTEM, "n2")
         choices = mc.structured_choice(calls)
         return stage(resolve_classes(topk, self.stores.definitions, choices), f"{self.folder}/mapping")
 

@@ -47,6 +47,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, partitions: int | None, *by: str) -> DataFrame:
+    """Rows dealt to so many partitions by a key, before costly work on each row; None: as they lie."""
+    return df.repartition(partitions, *by) if partitions else df
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Write a stage table and read it back.
 

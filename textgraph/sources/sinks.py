@@ -7,7 +7,7 @@ partition, so a job that runs again repeats nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textgraph.sources.tables import SCORE_SCHEMA
 
@@ -17,14 +17,18 @@ LOG_COLUMNS = [
 ]
 
 
+def call_kind(call_name: Column) -> Column:
+    """The name of a call up to its variable part."""
+    return F.regexp_extract(call_name, r"^(n[0-9]+_[a-z]+_[a-z]+)", 1)
+
+
 def append_call_log(rows: DataFrame, path: str) -> None:
     """One row per model call, partitioned by the kind of call.
 
     Call names carry class names, so the partition is the name up to its
     variable part: a bounded number of folders.
     """
-    kind = F.regexp_extract("call_name", r"^(n[0-9]+_[a-z]+_[a-z]+)", 1)
-    rows.select(*LOG_COLUMNS, kind.alias("call_kind")).write.mode("append").partitionBy("call_kind").parquet(path)
+    rows.select(*LOG_COLUMNS, call_kind(F.col("call_name")).alias("call_kind")).write.mode("append").partitionBy("call_kind").parquet(path)
 
 
 def append_results(rows: DataFrame, path: str) -> None:
@@ -61,5 +65,5 @@ def read_report_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def write_turtle(lines: DataFrame, path: str) -> None:
     """Lines of a Turtle document in order; a large subject may span several files."""
-    order = [c for c in ("part", "subject", "section", "pos") if c in lines.columns]
+    order = [c for c in ("part", "subject", "section", "name", "pos", "line") if c in lines.columns]
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)

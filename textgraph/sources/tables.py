@@ -14,7 +14,7 @@ SCORE_SCHEMA = "signal_type string, label string, tp long, fp long, fn long, tn
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     if fmt == "csv":
-        options = {"header": "true", "multiLine": "true", "escape": '"', **options}
+        options = {"header": "true", "escape": '"', **options}  # multiLine on request: it makes a file one task
     return spark.read.format(fmt).options(**options).load(path)
 
 
@@ -42,15 +42,17 @@ def read_labelled(
 
 
 def resume_slice(source: DataFrame, results: DataFrame, limit: int | None, source_id: str = "id") -> DataFrame:
-    """The next ``limit`` rows behind the last stored source id.
+    """The first ``limit`` rows by id of those whose id is not stored; None: all.
 
-    With nothing stored it starts at the first row. The bound is one value, which
-    Spark also hands to the scan. One task gathers a limited slice, so a limit is
-    for small slices; without one all rows that are left come as they lie.
+    A text that arrives late with a small id is still taken. With a limit the
+    ids alone, not the texts, are searched for the last id of the slice.
     """
-    last = results.agg(F.coalesce(F.max("source_id"), F.lit(-(2**63))).alias("last")).scalar()
-    rest = source.filter(F.col(source_id) > last)
-    return rest if limit is None else rest.orderBy(source_id).limit(limit)
+    stored = results.select(F.col("source_id").alias(source_id)).distinct()
+    rest = source.join(stored, source_id, "left_anti")
+    if limit is None:
+        return rest
+    last = rest.select(source_id).orderBy(source_id).limit(limit).agg(F.max(source_id)).first()[0]
+    return rest.filter(F.col(source_id) <= last if last is not None else F.lit(False))
 
 
 def class_store(df: DataFrame) -> DataFrame:

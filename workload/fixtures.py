@@ -66,7 +66,10 @@ SELECT c_custkey AS item_id,
        CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN n_name
             ELSE c_mktsegment || '; ' || n_name END AS cell,
        CASE WHEN c_mktsegment = 'BUILDING' THEN '[]' WHEN c_mktsegment = 'MACHINERY' THEN 'not a list'
-            ELSE '[' || chr(39) || c_mktsegment || chr(39) || ', ' || chr(39) || n_name || chr(39) || ']' END AS literal
+            WHEN c_mktsegment = 'FURNITURE' THEN '[' || chr(39) || c_mktsegment || chr(39) || ', None, "caf' || chr(92) || 'xe9", ' || chr(39) || n_name || chr(39) || ']'
+            WHEN c_mktsegment = 'AUTOMOBILE' THEN '[' || chr(39) || c_mktsegment || chr(39) || ', "' || n_name || '",]'
+            ELSE '[' || chr(39) || c_mktsegment || chr(39) || ', ' || chr(39) || n_name || chr(39) || ']' END
+       || CASE WHEN c_acctbal < 0 THEN ' junk' ELSE '' END AS literal
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 VIEWS["fx_dataset"] = """

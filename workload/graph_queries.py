@@ -98,7 +98,7 @@ fact AS (
 WITH {TREE} SELECT doc_id, path, node_id, coalesce(node_type, '') AS node_type, property, value, value_type FROM fact
 """)
 def jsonld_triples(spark, sf):
-    return jl.jsonld_triples(documents(spark, sf), ["doc_id"])
+    return jl.jsonld_triples(documents(spark, sf), ["doc_id"], spark.sparkContext.defaultParallelism)
 
 
 VALIDATED = f"""
@@ -128,7 +128,7 @@ def vocabulary(spark, sf) -> va.Vocabulary:
 
 
 def validated(spark, sf) -> DataFrame:
-    return va.jsonld_validate(documents(spark, sf), vocabulary(spark, sf))
+    return va.jsonld_validate(documents(spark, sf), vocabulary(spark, sf), partitions=spark.sparkContext.defaultParallelism)
 
 
 @query("jsonld_validate", f"WITH RECURSIVE {VALIDATED} SELECT doc_id, code, output FROM validated")
@@ -363,6 +363,20 @@ def owl_summary(spark, sf):
     return go.owl_summary(view(spark, sf, "fx_triples"), parents)
 
 
+@query("owl_document", f"""
+WITH {PROPERTIES}
+SELECT '@prefix : <https://schema.org/> .' AS line UNION ALL SELECT '@prefix owl: <http://www.w3.org/2002/07/owl#> .'
+UNION ALL SELECT '' FROM range(3)
+UNION ALL SELECT ':' || node_type || ' rdf:type owl:Class' || CASE WHEN node_type = 'Order' THEN ' ;' || chr(10) || '         rdfs:subClassOf :Thing' ELSE '' END || ' .'
+FROM (SELECT DISTINCT node_type FROM fx_triples) c
+UNION ALL SELECT ':' || name || ' rdf:type owl:ObjectProperty ;' || chr(10) || '             rdfs:domain :' || domain || ' ;' || chr(10) || '             rdfs:range :' || range || ' .' FROM object_property
+UNION ALL SELECT ':' || name || ' rdf:type owl:DatatypeProperty ;' || chr(10) || '             rdfs:domain :' || domain || ' ;' || chr(10) || '             rdfs:range ' || range || ' .' FROM value_property
+""")
+def owl_document(spark, sf):
+    prefixes = [("", "https://schema.org/"), ("owl", "http://www.w3.org/2002/07/owl#")]
+    return go.owl_document(owl_summary(spark, sf), prefixes).select("line")
+
+
 PROFILE = """
 nodes AS (SELECT node_type, count(DISTINCT subject) AS nodes FROM fx_triples GROUP BY node_type),
 described AS (

@@ -224,19 +224,23 @@ def invalid_label_summary(spark, sf):
     )
 
 
-@query("evaluate_incremental", f"WITH {SCORED} SELECT * FROM scores")
-def evaluate_incremental(spark, sf):
-    """Orders arrive as files; their gold and proposed labels are looked up."""
-    all_gold, all_allowed = gold(spark, sf), allowed(spark, sf)
-    stream = inc.text_files(spark, sf, view(spark, sf, "orders").schema.simpleString()[7:-1].replace(":", " "), "orders.parquet")
+STREAM_FILES = 6
 
-    def labelled(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        keys = batch.select(F.col("o_orderkey").alias("doc_id"))
-        return all_gold.join(keys, "doc_id", "left_semi"), all_allowed.join(keys, "doc_id", "left_semi")
 
-    return rounded(
-        inc.evaluate_incremental(stream, labelled, taxonomy(spark, sf), signals(spark, sf), run_folder(spark, "stream"))
-    )
+@query("evaluate_incremental", f"WITH {SCORED} SELECT * FROM scores")
+def evaluate_incremental(spark, sf):
+    """Texts arrive in several files, with their gold and proposed labels."""
+    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.collect_list(F.struct("signal_type", "label")).alias(name))
+    texts = view(spark, sf, "fx_text").select("doc_id")
+    labels = listed(gold(spark, sf), "gold"), listed(allowed(spark, sf), "proposed")
+    folder = run_folder(spark, "stream")
+    texts.join(labels[0], "doc_id", "left").join(labels[1], "doc_id", "left").repartition(STREAM_FILES, "doc_id").write.parquet(f"{folder}/in")
+    row = "array<struct<signal_type:string,label:string>>"
+    stream = inc.text_files(spark, f"{folder}/in", f"doc_id long, gold {row}, proposed {row}", files_per_batch=2)
+    side = lambda batch, name: batch.select("doc_id", F.inline(name))
+    return rounded(inc.evaluate_incremental(
+        stream, lambda batch: (side(batch, "gold"), side(batch, "proposed")), taxonomy(spark, sf), signals(spark, sf), f"{folder}/out"
+    ))
 
 
 # --- evaluation of stored documents -----------------------------------------
@@ -284,6 +288,15 @@ def evaluate(spark, sf):
     return rounded(done.scores)
 
 
+@query("evaluate_rejects", f"""
+WITH {ABOUT}
+SELECT d.doc_id, CASE WHEN i.doc_id IS NULL THEN 'no document' WHEN i.l IS NULL THEN 'no about' ELSE 'term without a term set' END AS reject_reason
+FROM fx_dataset d LEFT JOIN items i ON i.doc_id = d.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM readable)
+""")
+def evaluate_rejects(spark, sf):
+    return ev.evaluate(view(spark, sf, "fx_dataset"), documents(spark, sf), taxonomy(spark, sf), signals(spark, sf)).rejects
+
+
 @query("evaluate_results", f"""
 WITH {ABOUT}
 SELECT d.doc_id AS source_id, text, CASE WHEN gold_labels = '[]' THEN 'No subtopic found' ELSE replace(replace(replace(replace(gold_labels, '[', ''), ']', ''), chr(39), ''), ', ', '|') END AS gold,

@@ -72,7 +72,7 @@ def read_labelled(spark, sf):
 
 @query("resume_slice", """
 SELECT o_orderkey AS id, o_orderpriority AS text FROM orders
-WHERE o_orderkey > (SELECT max(c_custkey) FROM customer) ORDER BY o_orderkey LIMIT 100
+WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer) ORDER BY o_orderkey LIMIT 100
 """)
 def resume_slice(spark, sf):
     source = view(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
@@ -137,7 +137,7 @@ def results_sorted(spark, sf):
 
 @query("section_extract", SECTIONS)
 def section_extract(spark, sf):
-    return ex.sections(view(spark, sf, "fx_response")).drop("response")
+    return ex.sections(view(spark, sf, "fx_response"), partitions=spark.sparkContext.defaultParallelism).drop("response")
 
 
 @query("pipe_rows", f"""
@@ -200,8 +200,10 @@ def json_object_extract(spark, sf):
 @query("label_literal_parse", """
 SELECT item_id, CAST(i AS INTEGER) AS place, label FROM (
   SELECT item_id, unnest(l) AS label, generate_subscripts(l, 1) AS i FROM (
-    SELECT item_id, CASE WHEN literal = '[]' OR NOT starts_with(literal, '[') THEN ['No subtopic found']
-           ELSE from_json(replace(literal, chr(39), '"'), '["VARCHAR"]') END AS l FROM fx_label_cells) x) y
+    SELECT c_custkey AS item_id, CASE WHEN c_acctbal < 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY') THEN ['No subtopic found']
+           WHEN c_mktsegment = 'FURNITURE' THEN [c_mktsegment, NULL, 'caf' || chr(233), n_name]
+           ELSE [c_mktsegment, n_name] END AS l
+    FROM customer JOIN nation ON c_nationkey = n_nationkey) x) y
 """)
 def label_literal_parse(spark, sf):
     from textgraph.operators.scoring import gold_list
