@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the ranges, and the number of the range of each."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes), owner
@@ -62,7 +62,7 @@ def suffix_order(data: np.ndarray, separator: np.ndarray, text: np.ndarray, text
     while len(active):
         high = at[active]
         low = group[order[high - 1]]
-        where, owner = _ranges(low, high - low)
+        where, owner = ranges(low, high - low)
         member, own = order[where], low[owner]
         pointer = member - 1
         todo = np.flatnonzero(group[pointer] >= own)
@@ -110,7 +110,7 @@ def suffix_order(data: np.ndarray, separator: np.ndarray, text: np.ndarray, text
     while len(active):
         low = at[active]
         high = low + size[low]
-        where, owner = _ranges(low, high - low)
+        where, owner = ranges(low, high - low)
         member, own = order[where], low[owner]
         then, times = following[member], np.zeros(len(member), np.int64)
         todo = np.flatnonzero(group[then] == own)

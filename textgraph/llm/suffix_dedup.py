@@ -15,7 +15,9 @@ bytes at most). So the work splits by name, without a global suffix array:
    go to the shard of their name.
 4. There the distinct pieces of a name are one small text; the grouping suffix
    sort (``suffix.py``) orders all their suffixes. Neighbours that share 50 bytes
-   share a string; its smallest document keeps it.
+   share a string; its smallest document keeps it. Pieces are halved before by
+   the bytes beside the gram, so texts that share a gram only do not meet; a
+   piece that meets no other needs no sort.
 5. Spans come back to their text and are cut out.
 
 What a block sends for a name does not grow with the copies in the block, texts
@@ -38,51 +40,61 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from textgraph.llm.common import shards
-from textgraph.llm.suffix import suffix_order
+from textgraph.llm.suffix import ranges, suffix_order
 
 LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1
-PER_PARTITION = 4  # shards per shuffle partition, to even them out
+PER_PARTITION = 2  # shards per shuffle partition, to even them out
 BLOCK = 16 << 20  # bytes of text
 SORTED_AT_ONCE = 1 << 17  # positions
 
+LOW_U = 0x7FFF  # of a text's second hash, beside the first, in what pieces carry
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(2).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def _names(raw: np.ndarray) -> np.ndarray:
-    """The name of the string at each place."""
-    if len(raw) < LENGTH:
-        return np.zeros(0, np.uint64)
+def _grams(raw: np.ndarray) -> np.ndarray:
     h = _BYTE[raw]
     for m in (1, 2, 4, 8):
         h = h[: len(h) - m] * np.uint64(pow(_MULTIPLIER, m, 2**64)) + h[m:]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _names(raw: np.ndarray) -> np.ndarray:
+    """The name of the string at each place: the least of its grams."""
+    if len(raw) < LENGTH:
+        return np.zeros(0, np.uint64)
+    h = _grams(raw)
     for m in (1, 2, 4, 8, 16):
         h = np.minimum(h[: len(h) - m], h[m:])
-    rest = WINDOW - 32
-    return np.minimum(h[: len(h) - rest], h[rest:])
+    return np.minimum(h[: len(h) - (WINDOW - 32)], h[WINDOW - 32 :])
 
 
-def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of one name, cut after WINDOW places."""
-    heads = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-    sizes = np.diff(np.r_[heads, len(names)])
-    if sizes.max() > WINDOW:
-        cuts = -(-sizes // WINDOW)
-        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        ends = np.repeat(heads + sizes, cuts)
-        heads = np.repeat(heads, cuts) + nth * WINDOW
-        sizes = np.minimum(ends - heads, WINDOW)
-    return heads, sizes
+def _runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings that are named by the same gram: name, start, size, and where the gram stands in the run.
+
+    Of equal grams in a string the leftmost names it, so equal strings are named at the same place.
+    """
+    if len(raw) < LENGTH:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    h = _grams(raw)
+    at = np.arange(len(h), dtype=np.int32)
+    for m in (1, 2, 4, 8, 16, WINDOW - 32):
+        later = h[m:] < h[: len(h) - m]
+        h = np.where(later, h[m:], h[: len(h) - m])
+        at = np.where(later, at[m:], at[: len(at) - m])
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sizes = np.diff(np.r_[heads, len(at)])
+    return h[heads], heads, sizes, at[heads] - heads
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
     body = b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
-    return zstandard.compress(body, 1)
+    return zstandard.compress(body, 3)
 
 
 def _unpacked(blob: bytes, *types) -> list[np.ndarray]:
@@ -124,7 +136,7 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[li
 
 def _cut(values: np.ndarray, into: int) -> list[tuple[int, np.ndarray]]:
     """Places of the values by their shard."""
-    shard = (values % np.uint64(into)).astype(np.int64)
+    shard = (values % np.uint64(into)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     heads = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else []
     return [(int(shard[part[0]]), part) for part in np.split(order, heads[1:])] if len(order) else []
@@ -135,7 +147,7 @@ _ENTRIES = pa.schema([("shard", pa.int32()), ("names", pa.binary()), ("texts", p
 
 
 def _entries(into: int):
-    """Per block: (name, text) of names in one text, text 0 for others, and (text, name) of the others to shards after ``into``."""
+    """Per block: (name, text) of names in one text, text 0 for others; (text, name) of the others to the text's shard after ``into``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in _in_blocks(batches, 1):
@@ -162,7 +174,7 @@ def _entries(into: int):
                 for s, at in _cut(name[heads], into)
             ]
             many = np.repeat(times > 1, times)
-            rows += [(into + s, name[many][at].tobytes(), _five(owner[many][at]).tobytes()) for s, at in _cut(owner[many], into)]
+            rows += [(into + s, _five(name[many][at]).tobytes(), _five(owner[many][at]).tobytes()) for s, at in _cut(owner[many], into)]
             yield pa.RecordBatch.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)))), _ENTRIES)
 
     return run
@@ -172,36 +184,44 @@ _ANSWER = "text long, names binary"
 _ANSWERS = pa.schema([("text", pa.int64()), ("names", pa.binary())])
 
 
-def _answers(into: int):
-    """Per text the low bytes of its repeated names, from one shard."""
+def _repeated(into: int):
+    """(text, name) of the names that stand in different texts, by shard of the text; known ones pass."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
+        if shard >= into:
+            return table
         texts = _of_five(b"".join(table["texts"].to_pylist()))
-        if shard < into:
-            names = _of_five(b"".join(table["names"].to_pylist()))
-            order = np.lexsort((texts, names))
-            names, texts = names[order], texts[order]
-            heads = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            last = np.r_[heads[1:], len(names)] - 1
-            # Different texts: two numbers differ, or a block had several (0).
-            repeated = (texts[heads] != texts[last]) | (texts[heads] == 0)
-            keep = np.repeat(repeated, last + 1 - heads) & (texts > 0)
-            names, texts = names[keep], texts[keep]
-            names = (names * np.uint64(into) + np.uint64(shard)) & _LOW
-        else:
-            names = np.frombuffer(b"".join(table["names"].to_pylist()), np.uint64) & _LOW
-        both = np.unique(np.stack([texts, names]), axis=1) if len(names) else np.zeros((2, 0), np.uint64)
-        heads = np.flatnonzero(np.r_[True, both[0][1:] != both[0][:-1]]) if both.shape[1] else np.zeros(0, np.int64)
-        raw = _five(both[1]).tobytes()
-        stops = np.r_[heads[1:], both.shape[1]] if len(heads) else heads
-        return pa.Table.from_pydict({
-            "text": both[0][heads].astype(np.int64), "names": [raw[5 * a : 5 * b] for a, b in zip(heads.tolist(), stops.tolist())],
-        }, _ANSWERS)
+        names = _of_five(b"".join(table["names"].to_pylist()))
+        order = np.lexsort((texts, names))
+        names, texts = names[order], texts[order]
+        heads = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        last = np.r_[heads[1:], len(names)] - 1
+        # Different texts: two numbers differ, or a block had several (0).
+        repeated = (texts[heads] != texts[last]) | (texts[heads] == 0)
+        keep = np.repeat(repeated, last + 1 - heads) & (texts > 0)
+        keep &= np.r_[True, (names[1:] != names[:-1]) | (texts[1:] != texts[:-1])]
+        names, texts = names[keep] * np.uint64(into) + np.uint64(shard), texts[keep]
+        rows = [(into + s, _five(names[at]).tobytes(), _five(texts[at]).tobytes()) for s, at in _cut(texts, into)]
+        return pa.Table.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)) if rows else [[]] * 3)), _ENTRIES)
 
     return run
 
 
+def _answers(key: tuple, table: pa.Table) -> pa.Table:
+    """Per text the low bytes of its repeated names."""
+    texts, names = (_of_five(b"".join(table[c].to_pylist())) for c in ("texts", "names"))
+    order = np.lexsort((names, texts))
+    texts, names = texts[order], names[order]
+    new = np.r_[True, (texts[1:] != texts[:-1]) | (names[1:] != names[:-1])]
+    texts, raw = texts[new], _five(names[new]).tobytes()
+    heads = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
+    stops = np.r_[heads[1:], len(texts)]
+    return pa.Table.from_pydict({
+        "text": texts[heads].astype(np.int64), "names": [raw[5 * a : 5 * b] for a, b in zip(heads.tolist(), stops.tolist())],
+    }, _ANSWERS)
+
+
 _PIECE = "shard int, pieces binary"
 _PIECES = pa.schema([("shard", pa.int32()), ("pieces", pa.binary())])
 
@@ -211,40 +231,37 @@ def _pieces(into: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, t, u, packed, known in _unzipped(batches):
-            names, starts, sizes, rows, raws = [], [], [], [], []
+            parts, rows = [], []
             for n, (text, own) in enumerate(zip(packed, known)):
-                raw = np.frombuffer(text, np.uint8)
-                named = _names(raw)
-                heads, size = _runs(named)
-                kept = np.isin(named[heads] & _LOW, _of_five(b"".join(own)))
-                names.append(named[heads][kept])
-                starts.append(heads[kept])
-                sizes.append(size[kept])
-                rows.append(np.full(int(kept.sum()), n))
-                raws.append(text)
-            name, start, size, row = map(np.concatenate, (names, starts, sizes, rows))
+                found = _runs(np.frombuffer(text, np.uint8))
+                kept = np.flatnonzero(np.isin(found[0] & _LOW, _of_five(own)))
+                parts.append([f[kept] for f in found])
+                rows.append(np.full(len(kept), n))
+            name, start, size, gram = map(np.concatenate, zip(*parts))
+            row = np.concatenate(rows)
             if not len(name):
                 continue
             ids, first, second = np.array(doc_id, np.int64), np.array(t, np.int64), np.array(u, np.int64)
             # Equal pieces of the block: the smallest document's go on, the others' strings are repeated.
-            smallest: dict[tuple, int] = {}
-            contents = []
-            for k, (n, a, s) in enumerate(zip(row.tolist(), start.tolist(), size.tolist())):
-                piece = raws[n][a : a + s + LENGTH - 1]
-                contents.append(piece)
-                smallest[piece] = min(smallest.get(piece, doc_id[n]), doc_id[n])
+            smallest: dict[bytes, int] = {}
+            contents = [packed[n][a:b] for n, a, b in zip(row.tolist(), start.tolist(), (start + size + LENGTH - 1).tolist())]
+            for piece, d in zip(contents, ids[row].tolist()):
+                if smallest.setdefault(piece, d) > d:
+                    smallest[piece] = d
             keeps = np.fromiter(map(smallest.__getitem__, contents), np.int64, len(contents)) == ids[row]
             out = []
             for s, at in _cut(name, into):
                 at = at[keeps[at]]
                 if len(at):
                     out.append((s, _packed(
-                        name[at], ids[row[at]], first[row[at]], second[row[at]], start[at].astype(np.int64), size[at].astype(np.uint8),
+                        _five(name[at] // np.uint64(into)), ids[row[at]], first[row[at]], (second[row[at]] & LOW_U).astype(np.int16),
+                        start[at].astype(np.int32), size[at].astype(np.uint8), gram[at].astype(np.uint8),
                         np.frombuffer(b"".join([contents[k] for k in at.tolist()]), np.uint8))))
             gone = np.flatnonzero(~keeps)
             for s, at in _cut(first[row[gone]].view(np.uint64), into):
                 at = gone[at]
-                out.append((into + s, _packed(first[row[at]], second[row[at]], start[at].astype(np.int64), start[at] + size[at] + LENGTH - 1)))
+                out.append((into + s, _packed(
+                    first[row[at]], (second[row[at]] & LOW_U).astype(np.int16), start[at].astype(np.int64), start[at] + size[at] + LENGTH - 1)))
             yield pa.RecordBatch.from_pydict(dict(zip(_PIECES.names, map(list, zip(*out)))), _PIECES)
 
     return run
@@ -264,8 +281,8 @@ def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         yield [list(c) for c in zip(*held)]
 
 
-_SPAN = "t long, u long, spans binary"
-_SPANS = pa.schema([("t", pa.int64()), ("u", pa.int64()), ("spans", pa.binary())])
+_SPAN = "t long, u short, spans binary"
+_SPANS = pa.schema([("t", pa.int64()), ("u", pa.int16()), ("spans", pa.binary())])
 
 
 def _joined_spans(t: np.ndarray, u: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -288,44 +305,74 @@ def _joined_spans(t: np.ndarray, u: np.ndarray, begin: np.ndarray, end: np.ndarr
         "t": t[heads][texts], "u": u[heads][texts], "spans": [s.tobytes() for s in np.split(spans, texts[1:])]}, _SPANS)
 
 
-def repeated_strings(name, doc, size, content, lengths) -> list[np.ndarray]:
-    """For pieces sorted by name: per piece, where a string starts that a smaller document of the name has too.
+SHARED = GRAM + WINDOW // 2  # bytes that the strings of one half share
+
 
-    ``size``: strings per piece; ``content``: the pieces' bytes, one after the other.
+def _halves(name, size, gram, content, offsets):
+    """Pieces cut in two by where the gram stands: parent, first string, strings, key.
+
+    The strings of a half share their gram and the SHARED - GRAM bytes behind it
+    (or before it), so halves that differ there have no string in common.
+    """
+    after = np.maximum(gram - (WINDOW // 2 - 1), 0)  # strings from here on hold the bytes behind the gram
+    behind = np.flatnonzero(after < size)
+    before = np.flatnonzero(after > 0)
+    parent = np.r_[behind, before]
+    first = np.r_[after[behind], np.zeros(len(before), np.int64)]
+    count = np.r_[size[behind] - after[behind], np.minimum(after, size)[before]]
+    place = np.r_[offsets[behind] + gram[behind], offsets[before] + gram[before] - WINDOW // 2]
+    key = name[parent] * np.uint64(2) + np.r_[np.zeros(len(behind), np.uint64), np.ones(len(before), np.uint64)]
+    for k in range(SHARED):
+        key = key * np.uint64(_MULTIPLIER) + _BYTE[content[place + k]]
+    return parent, first, count, key
+
+
+def repeated_strings(name, doc, size, gram, content) -> np.ndarray:
+    """For each string of the pieces, one piece after the other: whether a smaller document has it too.
+
+    ``size``: strings per piece; ``gram``: where the naming gram stands in the
+    piece; ``content``: the pieces' bytes. Halves that share what their strings
+    must share are sorted as one small text.
     """
-    flags = [np.zeros(s, bool) for s in size.tolist()]
-    offsets = np.r_[0, np.cumsum(lengths)]
-    heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-    stops = np.r_[heads[1:], len(name)]
-    total = np.add.reduceat(lengths + 1, heads)
+    offsets = np.r_[0, np.cumsum(size + LENGTH - 1)]
+    string_at = np.r_[0, np.cumsum(size)]
+    flags = np.zeros(int(string_at[-1]), bool)
+    parent, first, count, key = _halves(name, size, gram, content, offsets[:-1])
+    order = np.argsort(key, kind="stable")
+    parent, first, count, key = parent[order], first[order], count[order], key[order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    number = np.diff(np.r_[heads, len(key)])
+    heads, number = heads[number > 1], number[number > 1]  # one piece alone shares nothing
+    if not len(heads):
+        return flags
+    lengths = count + LENGTH  # with a separator before
+    sums = np.r_[0, np.cumsum(lengths)]
+    total = sums[heads + number] - sums[heads]
     by_size = np.argsort(total, kind="stable")  # texts of like size are sorted together
-    at = 0
-    while at < len(by_size):
-        upto = at + max(1, int(np.searchsorted(np.cumsum(total[by_size[at:]]), SORTED_AT_ONCE, "right")))
-        some = by_size[at:upto]
-        at = upto
-        pieces = np.concatenate([np.arange(heads[k], stops[k]) for k in some.tolist()])
-        text_of = np.repeat(np.arange(len(some)), (stops - heads)[some])
-        ends = np.cumsum(lengths[pieces] + 1)
-        begins = ends - lengths[pieces]  # behind the separator
+    cuts = np.flatnonzero(np.diff(np.cumsum(total[by_size]) // SORTED_AT_ONCE)) + 1
+    for some in np.split(by_size, cuts):
+        piece, text = ranges(heads[some], number[some])
+        ends = np.cumsum(lengths[piece])
+        begins = ends - lengths[piece] + 1  # behind the separator
         data, separator = np.zeros(int(ends[-1]) + 8, np.uint8), np.zeros(int(ends[-1]), bool)
         separator[begins - 1] = True
-        inside = np.flatnonzero(~separator)
-        data[inside] = content[np.concatenate([np.arange(offsets[p], offsets[p + 1]) for p in pieces.tolist()])]
-        piece = np.repeat(np.arange(len(pieces)), lengths[pieces] + 1)
-        order = suffix_order(data[: len(separator)], separator, text_of[piece], len(some))
-        order = order[(ends[piece[order]] - order >= LENGTH) & ~separator[order]].astype(np.int64)
+        source, owner = ranges(offsets[parent[piece]] + first[piece] - 1, lengths[piece])
+        source[begins - 1] = 0
+        data[: len(source)] = content[source]
+        data[begins - 1] = 0
+        order = suffix_order(data[: len(separator)], separator, text[owner], len(some))
+        order = order[(ends[owner[order]] - order >= LENGTH) & ~separator[order]].astype(np.int64)
         words = np.ndarray((len(separator),), "<u8", data, 0, (1,))
-        same = text_of[piece[order[1:]]] == text_of[piece[order[:-1]]]
+        same = text[owner[order[1:]]] == text[owner[order[:-1]]]
         for skip in (*range(0, LENGTH - 8, 8), LENGTH - 8):
             w = words[order + skip]
             same &= w[1:] == w[:-1]
         strings = np.flatnonzero(np.r_[True, ~same])
-        owner = doc[pieces][piece[order]]
-        least = np.repeat(np.minimum.reduceat(owner, strings), np.diff(np.r_[strings, len(order)]))
-        for place in order[least < owner].tolist():
-            p = piece[place]
-            flags[pieces[p]][place - begins[p]] = True
+        holder = doc[parent[piece]][owner[order]]
+        least = np.repeat(np.minimum.reduceat(holder, strings), np.diff(np.r_[strings, len(order)]))
+        place = order[least < holder]
+        p = piece[owner[place]]
+        flags[string_at[parent[p]] + first[p] + place - begins[owner[place]]] = True
     return flags
 
 
@@ -334,45 +381,38 @@ def _spans_of(into: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= into:
-            parts = [_unpacked(b, np.int64, np.int64, np.int64, np.int64) for b in table["pieces"].to_pylist()]
+            parts = [_unpacked(b, np.int64, np.int16, np.int64, np.int64) for b in table["pieces"].to_pylist()]
             return _joined_spans(*(np.concatenate(c) for c in zip(*parts)))
-        parts = [_unpacked(b, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint8, np.uint8) for b in table["pieces"].to_pylist()]
-        name, doc, t, u, start, size, raw = (np.concatenate(c) for c in zip(*parts))
-        size = size.astype(np.int64)
+        kinds = (np.uint8, np.int64, np.int64, np.int16, np.int32, np.uint8, np.uint8, np.uint8)
+        parts = [_unpacked(b, *kinds) for b in table["pieces"].to_pylist()]
+        name, doc, t, u, start, size, gram, raw = (np.concatenate(c) for c in zip(*parts))
+        name, start, size, gram = _of_five(name.tobytes()), *(a.astype(np.int64) for a in (start, size, gram))
         lengths = size + LENGTH - 1
         offsets = np.r_[0, np.cumsum(lengths)]
         whole = raw.tobytes()
         # Equal pieces are one, of their smallest document.
         distinct: dict[bytes, int] = {}
-        which = np.zeros(len(name), np.int64)
-        least: list[int] = []
-        sample: list[int] = []
-        for k, (a, b, d) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), doc.tolist())):
-            n = distinct.setdefault(whole[a:b], len(least))
-            if n == len(least):
-                least.append(d)
-                sample.append(k)
-            elif d < least[n]:
-                least[n] = d
-            which[k] = n
-        least_, sample_ = np.array(least), np.array(sample)
-        order = np.lexsort((np.arange(len(sample_)), name[sample_]))
-        chosen = sample_[order]
-        content = np.frombuffer(b"".join([whole[offsets[k] : offsets[k + 1]] for k in chosen.tolist()]), np.uint8)
-        flags = repeated_strings(name[chosen], least_[order], size[chosen], content, lengths[chosen])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        repeated = doc > least_[which]
-        begins, ends, owners = [start[repeated]], [(start + lengths)[repeated]], [np.flatnonzero(repeated)]
-        touched = np.array([f.any() for f in flags])[back[which]] & ~repeated
-        for k in np.flatnonzero(touched).tolist():
-            f = flags[back[which[k]]]
-            edges = np.flatnonzero(np.diff(np.r_[False, f, False]))
-            begins.append(start[k] + edges[::2])
-            ends.append(start[k] + edges[1::2] + LENGTH - 1)
-            owners.append(np.full(len(edges) // 2, k))
-        owner = np.concatenate(owners)
-        return _joined_spans(t[owner], u[owner], np.concatenate(begins), np.concatenate(ends))
+        contents = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        which = np.array([distinct.setdefault(c, len(distinct)) for c in contents])
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, doc)
+        sample = np.empty(len(distinct), np.int64)
+        sample[which] = np.arange(len(which))
+        flags = repeated_strings(name[sample], least, size[sample], gram[sample], np.frombuffer(b"".join(distinct), np.uint8))
+        string_at = np.cumsum(size[sample]) - size[sample]
+        repeated = doc > least[which]
+        touched = np.flatnonzero(np.add.reduceat(flags, string_at, dtype=np.int64)[which].astype(bool) & ~repeated)
+        # The flagged strings of the touched pieces, as runs.
+        place, owner = ranges(string_at[which[touched]], size[touched])
+        on = flags[place]
+        edge = np.r_[True, owner[1:] != owner[:-1]]
+        begin = np.flatnonzero(on & (edge | ~np.r_[False, on[:-1]]))
+        end = np.flatnonzero(on & (np.r_[edge[1:], True] | ~np.r_[on[1:], False]))
+        base = start[touched] - string_at[which[touched]]
+        k = np.r_[np.flatnonzero(repeated), touched[owner[begin]]]
+        begins = np.r_[start[repeated], base[owner[begin]] + place[begin]]
+        ends = np.r_[(start + lengths)[repeated], base[owner[end]] + place[end] + LENGTH]
+        return _joined_spans(t[k], u[k], begins, ends)
 
     return run
 
@@ -428,8 +468,7 @@ def remove_repeats(documents: DataFrame, with_texts: bool = False) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.xxhash64(F.lit(1), "text").alias("t"), F.xxhash64(F.lit(2), "text").alias("u"))
     entries = rows.filter("doc_id IS NOT NULL").select("t", "text").mapInArrow(_entries(into), _ENTRY)
-    answers = entries.groupBy("shard").applyInArrow(_answers(into), _ANSWER)
-    answers = answers.groupBy("text").agg(F.collect_list("names").alias("names"))  # a text's own names
+    answers = entries.groupBy("shard").applyInArrow(_repeated(into), _ENTRY).groupBy("shard").applyInArrow(_answers, _ANSWER)
     classes = rows.filter("doc_id IS NOT NULL").groupBy("t", "u").agg(F.min("doc_id").alias("first"))
     packed = rows.select("doc_id", "text", "t", "u").mapInArrow(_pack, "doc_id long, packed binary, t long, u long")
 
@@ -438,7 +477,7 @@ def remove_repeats(documents: DataFrame, with_texts: bool = False) -> DataFrame:
     firsts = packed.join(asked, ["t", "u"]).filter("doc_id = first").select("doc_id", "t", "u", "packed", "names")
     pieces = firsts.mapInArrow(_pieces(into), _PIECE)
     spans = pieces.groupBy("shard").applyInArrow(_spans_of(into), _SPAN)
-    spans = spans.groupBy("t", "u").agg(F.collect_list("spans").alias("spans"))  # of one text
-    judged = classes.join(spans, ["t", "u"], "left")
+    spans = spans.groupBy("t", F.col("u").alias("low_u")).agg(F.collect_list("spans").alias("spans"))  # of one text
+    judged = classes.withColumn("low_u", F.col("u").bitwiseAND(F.lit(LOW_U)).cast("short")).join(spans, ["t", "low_u"], "left").drop("low_u")
     whole = packed.join(judged, ["t", "u"], "left").select("doc_id", "packed", "first", "spans")
     return whole.mapInArrow(_removed(with_texts), RESULT)
