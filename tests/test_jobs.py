@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.functions import fixed
+from textgraph.functions import fixed, templates
 from textgraph.operators import model_calls as mc
 from textgraph.plans.text_to_graph import TextToGraph
 from textgraph.session import run_folder
@@ -126,6 +126,98 @@ def test_whole_job_and_its_log(spark, folder):
     }
 
 
+def test_two_runs_of_one_job(spark):
+    one = job(spark)
+    texts = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    first, second = one.run(texts), one.run(texts)
+    assert first.exceptAll(second).count() == 0 and first.count() == len(TEXTS)
+
+
+def test_calls_survive_a_stop(spark, folder):
+    """A step that stops between slices has logged what it asked; the next run asks for the rest."""
+    log, flag, model = f"{folder}/log", f"{folder}/go", scripted_model()
+
+    def stopping():
+        import glob
+        import os
+
+        if not os.path.exists(flag) and len(glob.glob(f"{log}/call_kind=n1*/*.parquet")) >= 2:
+            raise RuntimeError("stopped")
+        return model
+
+    texts = [(n, f"text number {n}, which has more than forty characters in it") for n in range(12)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    made = dict(models=stopping, log_path=log, slices=4, partitions=1, add_labels=False)
+    with pytest.raises(Exception, match="stopped"):
+        job(spark, **made).run(rows)
+    kept = spark.read.parquet(log).select("source_id").collect()
+    assert 0 < len(kept) < len(texts)
+    open(flag, "w").close()
+    done = job(spark, **made, answers=spark.read.parquet(log)).run(rows)
+    assert done.count() == len(texts)
+    asked = spark.read.parquet(log).filter("call_kind = 'n1_entity_extraction'")
+    assert asked.count() == len(texts) == asked.select("source_id").distinct().count()
+    assert asked.select("created_at").distinct().count() > 1
+
+
+def test_repeated_log_rows_count_once(spark):
+    rows = [(0, "call0", "old", "2024-01-01"), (0, "call0", "new", "2024-01-02"), (0, "call0", "older", "2023-01-01")]
+    stored = spark.createDataFrame(rows, "source_id long, call_name string, assistant_response string, created_at string")
+    got = mc.answered(asked(spark, ["a"]), stored.withColumn("created_at", F.col("created_at").cast("timestamp"))).collect()
+    assert [r["response"] for r in got] == ["new"]
+
+
+def failing_embedder():
+    tried = {}
+
+    def embed(texts):
+        for text in texts:
+            tried[text] = tried.get(text, 0) + 1
+            if text.startswith("bad") or "Word" in text:
+                raise ValueError("no vector for this")
+            if text.startswith("limit") and tried[text] < 3:
+                raise ValueError("429")
+        return [[1.0, 2.0, 3.0, 4.0, 5.0]] * len(texts)
+
+    return embed
+
+
+def test_embedder_fails_by_text(spark):
+    texts = spark.createDataFrame([("a",), ("bad",), ("limit",), ("b",)], "embed_text string").coalesce(1)
+    got = {r["embed_text"]: (r["embedding"] is None, r["error"]) for r in mc.embed_map(texts, shipped(failing_embedder), wait=0.0).collect()}
+    assert got == {"a": (False, None), "b": (False, None), "limit": (False, None), "bad": (True, "ValueError: no vector for this")}
+
+
+def test_a_class_without_a_vector_is_reported(spark):
+    made = job(spark, embedder=shipped(failing_embedder))
+    done = run(spark, made)
+    assert len(done) == len(TEXTS)
+    dropped = made.dropped_classes.collect()
+    assert {r["class_name"] for r in dropped} == {"Word"} and {r["doc_id"] for r in dropped} == {0, 1, 4}
+
+
+def test_a_failed_label_call_is_no_score(spark, folder):
+    from textgraph.plans.scored_run import REJECTS, scored_run
+    from textgraph.sources.tables import read_or_empty
+
+    def limited():
+        made = scripted_model()
+
+        def call(system, human):
+            if system == templates.LABEL_SYSTEM:
+                raise ValueError("429 rate limit")
+            return made(system, human)
+
+        return call
+
+    made = stores(spark, SF)
+    data = spark.createDataFrame([(i, t, "['NATION_0']") for i, t in TEXTS[:3]], "doc_id long, text string, gold_labels string")
+    scores = scored_run(data, job(spark, models=shipped(limited)).run, made.taxonomy, made.signals, folder, on_invalid="keep")
+    rejects = {r["source_id"]: r["reject_reason"] for r in read_or_empty(spark, f"{folder}/rejects", REJECTS).collect()}
+    assert set(rejects) == {0, 1}  # the third text needs no label call
+    assert scores.agg(F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).first()[0] == 1
+
+
 def test_job_without_labels(spark):
     done = run(spark, job(spark, add_labels=False))
     assert all(r["labels"] == [] and "about" not in r["json_ld"] for r in done.values())

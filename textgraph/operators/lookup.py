@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from textgraph.functions import fixed
 from textgraph.functions.joins import lookup_join
 from textgraph.session import run_folder, stage
 
 BLOCK_BYTES = 64 * 1024 * 1024
+CHUNK = 1024
 CANDIDATES = "array<struct<rank:int,class_id:bigint,class_label:string,comments:string,score:double>>"
 
 
@@ -27,11 +29,11 @@ def semantic_topk(
     with a NULL score.
 
     The class side is measured first, vectors and texts. It travels as one
-    broadcast if it fits in ``block_bytes``. Else its classes are spread over
-    blocks by the hash of their id; the mentions pass the blocks one after the
-    other, each time merging the block's best k into the k they have, with a
-    written table in between. The result stays exact and no task ever holds more
-    than a block.
+    broadcast if it fits in ``block_bytes``. Else its vectors are spread over
+    blocks by the hash of their id, packed chunks of mentions meet every block in
+    one join, and the best k of each are merged per mention; labels and comments
+    are joined to what is left. The result is the same, and no task ever holds
+    more than a block and a chunk.
     """
     texts = F.coalesce(F.octet_length("class_label"), F.lit(0)) + F.coalesce(F.octet_length("comments"), F.lit(0))
     size = classes.agg(
@@ -40,16 +42,86 @@ def semantic_topk(
     blocks = max(1, math.ceil(size["b"] / block_bytes))
     if blocks == 1:
         return _with_block(mentions, classes, k)
+    return _over_blocks(mentions, classes, k, blocks)
+
+
+def _over_blocks(mentions: DataFrame, classes: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The best k over blocks of classes, as one job behind a staged table of numbered mentions."""
     folder = run_folder(mentions.sparkSession, "topk")
-    block = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
-    merged = mentions
-    for b in range(blocks):
-        merged = stage(_with_block(merged, classes.filter(block == b), k), f"{folder}/block={b}")
-    return merged
+    kept = mentions.drop("candidates")
+    numbered = stage(kept.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/mentions")
+    packed = "block int, ids binary, vectors binary, width int"
+    # Spark hands a group over whole; a group is one block.
+    store = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int").alias("block"), "class_id", "embedding")
+    store = store.groupBy("block").applyInArrow(_packed_block, packed)
+    chunks = numbered.select("_row", "embedding").mapInArrow(_packed_chunks, "rows binary, mentions binary, mention_width int")
+    dealt = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = dealt.join(store, "block").mapInArrow(_nearest_in_block(k), "_row long, class_id long, _key double, score double")
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("_key", "class_id"))
+    best = found.withColumn("rank", place).filter(F.col("rank") <= k)
+    best = best.join(classes.select("class_id", "class_label", "comments"), "class_id")
+    item = F.struct("rank", "class_id", "class_label", "comments", "score")
+    lists = best.groupBy("_row").agg(F.sort_array(F.collect_list(item)).cast(CANDIDATES).alias("candidates"))  # k per mention
+    whole = numbered.join(lists, "_row", "left").drop("_row")
+    return whole.withColumn("candidates", F.coalesce("candidates", F.array().cast(CANDIDATES)))
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """Vectors of an Arrow column as one matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if column.null_count or flat.size != len(column) * width:
+        raise ValueError(f"every vector must have {width} numbers")
+    return flat.reshape(len(column), width)
+
+
+def _packed_block(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("class_id")
+    vectors = table["embedding"].combine_chunks()
+    width = len(vectors[0])
+    return pa.Table.from_pylist(
+        [{"block": key[0].as_py(), "ids": table["class_id"].to_numpy().astype(np.int64).tobytes(),
+          "vectors": _matrix(vectors, width).tobytes(), "width": width}],
+        pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())]),
+    )
+
+
+def _packed_chunks(batches):
+    schema = pa.schema([("rows", pa.binary()), ("mentions", pa.binary()), ("mention_width", pa.int32())])
+    for batch in batches:
+        for start in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(start, CHUNK)
+            vectors = part.column("embedding")
+            width = max((len(v) for v in vectors if v.is_valid), default=0)
+            yield pa.RecordBatch.from_pylist(
+                [{"rows": part.column("_row").to_numpy().astype(np.int64).tobytes(),
+                  "mentions": _matrix(vectors, width).tobytes(), "mention_width": width}], schema)
+
+
+def _nearest_in_block(k: int):
+    def run(batches):
+        for batch in batches:
+            for pair in batch.to_pylist():
+                rows, ids = np.frombuffer(pair["rows"], np.int64), np.frombuffer(pair["ids"], np.int64)
+                if pair["mention_width"] != pair["width"]:
+                    raise ValueError(f"every vector must have {pair['width']} numbers")
+                query = np.frombuffer(pair["mentions"]).reshape(len(rows), -1)
+                store = np.frombuffer(pair["vectors"]).reshape(len(ids), -1)
+                norms = np.sqrt((query * query).sum(axis=1))[:, None] * np.sqrt((store * store).sum(axis=1))[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (query @ store.T) / norms
+                key = np.where(np.isfinite(score), -np.round(score, 12), np.inf)
+                picked = np.argsort(key, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(score, picked, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(rows, picked.shape[1])), pa.array(ids[picked.ravel()]),
+                    pa.array(np.take_along_axis(key, picked, axis=1).ravel()), pa.array(best, mask=~np.isfinite(best)),
+                ], names=["_row", "class_id", "_key", "score"])
+
+    return run
 
 
 def _with_block(mentions: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Merge the best k of one block of classes into ``candidates``."""
+    """The best k of classes that fit in one broadcast, as ``candidates``."""
     spark = mentions.sparkSession
     store = classes.select("class_id", "class_label", "comments", "embedding").toPandas()
     store = store.sort_values("class_id", kind="stable")
@@ -105,23 +177,6 @@ def _nearest(shipped, k: int):
                 picked, score = scored(part)
                 columns = [a.take(pa.array(picked.ravel())) for a in store]
                 width = keep
-                if "candidates" in part.column_names:
-                    held = part.column("candidates").combine_chunks().flatten()
-                    part = part.drop_columns(["candidates"])
-                    before = len(held) // n
-                    width = min(k, before + keep)
-                    held_score = held.field("score").to_numpy(zero_copy_only=False).reshape(n, before)
-                    both = np.concatenate([held_score.astype(np.float64), score], axis=1)
-                    held_ids = held.field("class_id").to_numpy().reshape(n, before)
-                    new_ids = columns[0].to_numpy().reshape(n, keep)
-                    order = np.lexsort((np.concatenate([held_ids, new_ids], axis=1), sort_key(both)), axis=1)[:, :width]
-                    row = np.arange(n)[:, None]
-                    source = pa.array(np.where(order < before, row * before + order, n * before + row * keep + order - before).ravel())
-                    columns = [
-                        pa.concat_arrays([held.field(name), column]).take(source)
-                        for name, column in zip(("class_id", "class_label", "comments"), columns)
-                    ]
-                    score = np.take_along_axis(both, order, axis=1)
                 values = score.ravel()
                 items = pa.StructArray.from_arrays(
                     [
