@@ -5,16 +5,17 @@ words between ASCII whitespace; a shorter text is one shingle; none without
 words). Documents of equal sets form a class; one set per class goes on.
 
 Band keys come from whole minima. Of each minimum the low two bits are kept and
-packed into four longs, so two signatures are compared by bit counts: lanes that
+packed into sixteen longs, so two signatures are compared by bit counts: lanes that
 agree by chance (a quarter) are corrected for, which estimates the similarity.
 Estimates only spare work: pairs under the threshold by more than ``MARGIN``
-(over five standard deviations) are not verified.
+(about five standard deviations) are not verified.
 
 Candidates: all pairs of a band's bucket. First every document is verified
-against one smallest partner of its buckets, which joins most of a large group;
-after that only pairs of different components are left to look at, and of those
-the ones whose estimate and sizes allow a link. Every link is confirmed on full
-sets. Hot buckets are split by a salt. With 25 bands of 5, a pair at 0.85 misses
+against one member of its buckets, the most central by the sizes of the buckets
+it stands in, which joins most of a large group; after that only pairs of
+different components are left to look at, and of those the ones whose estimate
+and sizes allow a link. Every link is confirmed on full sets. Hot buckets are
+split by a salt; signatures are joined to members of shared buckets only. With 25 bands of 5, a pair at 0.85 misses
 all bands with a chance under 1e-6.
 
 Defined results: a document without words is linked with nothing and is its own
@@ -38,10 +39,10 @@ from textgraph.session import run_folder, stage
 
 WORDS = 5
 BANDS, ROWS = 25, 5
-HASHES = 128
+HASHES = 512
 BITS, LONGS = 2, HASHES * 2 // 64
 LANES = 0x5555555555555555
-MARGIN = 0.2
+MARGIN = 0.1
 PIECE = 1 << 16  # shingles hashed at once
 SPLIT = 512  # members of a bucket that meet in one task
 
@@ -195,32 +196,42 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     classes = usable.groupBy(*one_set).agg(F.min("doc_id").alias("id"))
     classes = stage(classes, f"{folder}/classes")
     shown = usable.withColumnRenamed("doc_id", "id").join(classes, ["id", *one_set], "left_semi")
-    rows = shown.select("id", F.col("n_shingles").alias("n"), "signature", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.min(F.struct("id", "n", "signature")).alias("first")).filter("members > 1")
+    rows = shown.select("id", F.explode("bands").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = stage(rows.join(buckets, "bucket"), f"{folder}/members")
-    involved = members.select("id").distinct()
-    of_these = texts.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi")
+    weights = members.groupBy("id").agg(F.sum("members").alias("weight"))
+    sketches = shown.select("id", F.col("n_shingles").alias("n"), "signature", "bands").join(weights, "id")
+    sketches = stage(sketches, f"{folder}/sketches")
+    of_these = texts.withColumnRenamed("doc_id", "id").join(sketches.select("id"), "id", "left_semi")
     sets = stage(of_these.select("id", "text").mapInArrow(_sets_of, "id long, shingles binary"), f"{folder}/sets")
 
-    m = members.select(F.struct("id", "n", "signature").alias("m"), "first")
-    near = m.filter(F.col("m.id") != F.col("first.id")).filter(_may_link("m", "first", percent))
-    stars = stage(near.groupBy(F.col("m.id").alias("a")).agg(F.min("first.id").alias("b")), f"{folder}/stars")
+    weighed = members.join(sketches.select("id", "weight"), "id")
+    centres = weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+    pairs = members.join(centres, "bucket").filter("id <> centre").select("id", "centre").distinct()
+    a = sketches.select("id", F.struct("id", "n", "signature").alias("a"))
+    b = sketches.select(F.col("id").alias("centre"), F.struct("id", "n", "signature", "weight").alias("b"))
+    near = pairs.join(a, "id").join(b, "centre").filter(_may_link("a", "b", percent))
+    stars = near.groupBy(F.col("id").alias("a")).agg(F.max_by("centre", F.struct("b.weight", -F.col("centre"))).alias("b"))
+    stars = stage(stars, f"{folder}/stars")
     links = stage(_links(stars, sets, percent), f"{folder}/star-links")
     joined = components(links)
 
-    left = members.drop("first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    left = stage(left.join(open_.select("bucket"), "bucket", "left_semi"), f"{folder}/left")
+    left = left.join(open_.select("bucket"), "bucket", "left_semi").join(sketches.drop("weight"), "id")
+    left = stage(left, f"{folder}/left")
     salts = F.ceil(F.col("members") / SPLIT).cast("int")
     a = left.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).alias("a")
     b = left.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("b")
     apart = (
         (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") > F.col("b.id"))
         & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b", percent)
+        # A pair is met in each bucket it shares and taken in the first.
+        & (F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0)) == F.col("a.bucket"))
     )
-    rest = a.join(b, apart).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
+    rest = a.join(b, apart).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), f"{folder}/rest")
     more = stage(_links(rest, sets, percent), f"{folder}/rest-links")
 
     found = components(links.unionByName(more))
