@@ -9,8 +9,8 @@ from textgraph.functions.joins import lookup_join
 from textgraph.operators.labels import reading_signal
 from textgraph.session import spread
 
-# Levels of objects and lists in a document; deeper ones are no documents.
-MAX_DEPTH = 200
+# Levels of objects and lists in a document: Spark's own JSON reader goes no deeper.
+MAX_DEPTH = 1000
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
 
@@ -21,18 +21,7 @@ def as_array(v: Column) -> Column:
 
 def parsed_object(json_ld: Column) -> Column:
     """The parsed text; NULL unless it is a JSON object without repeated keys, at most ``MAX_DEPTH`` levels deep."""
-    return F.when(text.strip(json_ld).startswith("{") & (_depth(json_ld) <= MAX_DEPTH), F.try_parse_json(json_ld))
-
-
-def _depth(json_ld: Column) -> Column:
-    """Levels of brackets outside strings. Few texts have so many brackets that they need be counted."""
-    bare = F.regexp_replace(F.regexp_replace(json_ld, r'"(?:[^"\\\\]++|\\\\.)*+"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    deepest = F.aggregate(steps, start, lambda a, s: F.struct(
-        (a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")), lambda a: a["most"])
-    opened = F.length(F.translate(json_ld, "{[", "")) + MAX_DEPTH
-    return F.when(F.length(json_ld) > opened, deepest).otherwise(0)
+    return F.when(text.strip(json_ld).startswith("{"), F.try_parse_json(json_ld))
 
 
 def minimal_document() -> Column:
