@@ -8,7 +8,7 @@ from textgraph.operators import labels as lb, prompts, scoring as sc
 from textgraph.functions import templates
 from textgraph.plans import evaluate as ev
 from textgraph.operators import jsonld as jl
-from textgraph.session import run_folder
+from textgraph.session import run_folder, spread
 from textgraph.sources import sinks
 from textgraph.streaming import incremental as inc
 from workload.fixtures import view
@@ -258,7 +258,9 @@ read_rows AS (SELECT t.doc_id, pos, label, t.main_topic, r.signal_type FROM term
 
 
 def documents(spark, sf) -> DataFrame:
-    return jl.extract_documents(view(spark, sf, "fx_jsonld")).filter("json_ld IS NOT NULL").select("doc_id", "json_ld")
+    """Dealt out before they are parsed: the given files have one row group each."""
+    dealt = spread(view(spark, sf, "fx_jsonld"), spark.sparkContext.defaultParallelism, "doc_id")
+    return jl.extract_documents(dealt).filter("json_ld IS NOT NULL").select("doc_id", "json_ld")
 
 
 @query("read_terms", f"WITH {ABOUT} SELECT doc_id, pos, label, main_topic, signal_type FROM read_rows")
