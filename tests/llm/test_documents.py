@@ -1,9 +1,11 @@
 """Operators on documents against plain versions, on odd texts and a given table."""
 
+import random
 import re
 import zlib
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,28 @@ def test_repeated_strings(spark, given, odd, distinct, empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_a_line_in_very_many_texts(spark, monkeypatch):
+    """One line with other text beside it in each: its pieces are dealt out and sorted in parts."""
+    rng, line = random.Random(7), "A line that very many of the documents have in common."
+    beside = lambda: "".join(rng.choice("abcdefghij ") for _ in range(60))
+    ends = [beside() for _ in range(400)]
+    rows = [(n, f"{beside()}{rng.choice(ends)}{line}{rng.choice(ends)}{beside()}") for n in rng.sample(range(10**6), 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert removed(suffix_dedup.remove_repeats(df).collect()) == brute.without_repeats(rows)
+
+    into, calls, whole = 8, [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, *rest: calls.append(len(data)) or whole(data, *rest))
+    dealt = {}
+    for shard, pieces in suffix_dedup._dealt(*suffix_dedup._prepared(df), into).collect():
+        dealt.setdefault(shard, []).append(pieces)
+    sizes = [sum(len(suffix_dedup._unpacked(b, "u1", "i8")[1]) for b in dealt.get(s, [])) for s in range(into)]
+    assert max(sizes) < 2 * sum(sizes) / into
+    for shard, pieces in dealt.items():
+        table = pa.Table.from_pydict({"shard": [shard] * len(pieces), "pieces": [bytes(p) for p in pieces]}, suffix_dedup._PIECES)
+        suffix_dedup._spans_of(into)((pa.scalar(shard),), table)
+    assert calls and max(calls) <= 2 * suffix_dedup.SORTED_AT_ONCE
+
+
 def test_licences(odd, empty):
     got = {r["doc_id"]: r for r in licences.scan_licences(odd).filter("doc_id > 3").collect()}
     assert all(r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lowered(t))) for i, t in pairs(odd) if i and i > 3 for r in [got[i]])

@@ -17,7 +17,10 @@ bytes at most). So the work splits by name, without a global suffix array:
    sort (``suffix.py``) orders all their suffixes. Neighbours that share 50 bytes
    share a string; its smallest document keeps it. Pieces are halved before by
    the bytes beside the gram, so texts that share a gram only do not meet; a
-   piece that meets no other needs no sort.
+   piece that meets no other needs no sort. A name with more than HOT strings is
+   dealt by the pieces' bytes to all shards, and sorted there in parts of bounded
+   size; what a part does not decide goes on by string, and the smallest document
+   over all parts keeps it.
 5. Spans come back to their text and are cut out.
 
 What a block sends for a name does not grow with the copies in the block, texts
@@ -32,6 +35,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +52,15 @@ WINDOW = LENGTH - GRAM + 1
 PER_PARTITION = 2  # shards per shuffle partition, to even them out
 BLOCK = 16 << 20  # bytes of text
 SORTED_AT_ONCE = 1 << 17  # positions
+HOT = 1 << 16  # strings of one name, counted upwards, that one shard takes
 
 LOW_U = 0x7FFF  # of a text's second hash, beside the first, in what pieces carry
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(2).integers(0, 2**64, 256, dtype=np.uint64)
+_DIGESTS = [
+    (np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64), multiplier)
+    for seed, multiplier in ((3, 0xD1342543DE82EF95), (4, 0xAF251AF3B0F025B5))
+]
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -92,6 +101,24 @@ def _runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return h[heads], heads, sizes, at[heads] - heads
 
 
+def _digests(raw: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the string at each place."""
+    out, n = [], len(raw) - LENGTH + 1
+    for byte, multiplier in _DIGESTS:
+        h = byte[raw]
+        whole, done = np.zeros(n, np.uint64), 0
+        for m in (1, 2, 4, 8, 16, 32):
+            if LENGTH & m:  # 50 bytes are 2, 16 and 32
+                whole = whole * np.uint64(pow(multiplier, m, 2**64)) + h[done : done + n]
+                done += m
+            if m < 32:
+                h = h[: len(h) - m] * np.uint64(pow(multiplier, m, 2**64)) + h[m:]
+        whole ^= whole >> np.uint64(31)
+        whole *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(whole ^ (whole >> np.uint64(29)))
+    return out
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     body = b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
     return zstandard.compress(body, 3)
@@ -134,6 +161,11 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[li
         yield [list(c) for c in zip(*held)]
 
 
+def _meeting(into: int) -> tuple[int, int]:
+    """Shards of strings and of texts after the sort: there is less to meet than pieces, and each shard sends to each."""
+    return max(1, into // PER_PARTITION), max(1, into // (2 * PER_PARTITION))
+
+
 def _cut(values: np.ndarray, into: int) -> list[tuple[int, np.ndarray]]:
     """Places of the values by their shard."""
     shard = (values % np.uint64(into)).astype(np.int32)
@@ -142,8 +174,9 @@ def _cut(values: np.ndarray, into: int) -> list[tuple[int, np.ndarray]]:
     return [(int(shard[part[0]]), part) for part in np.split(order, heads[1:])] if len(order) else []
 
 
-_ENTRY = "shard int, names binary, texts binary"
-_ENTRIES = pa.schema([("shard", pa.int32()), ("names", pa.binary()), ("texts", pa.binary())])
+# more: to a name's shard, how many strings the first names have, others have WINDOW at most; to a text's, the hot names.
+_ENTRY = "shard int, names binary, texts binary, more binary"
+_ENTRIES = pa.schema([("shard", pa.int32()), ("names", pa.binary()), ("texts", pa.binary()), ("more", pa.binary())])
 
 
 def _entries(into: int):
@@ -151,16 +184,18 @@ def _entries(into: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in _in_blocks(batches, 1):
-            names, owners, seen = [], [], set()
+            names, owners, strings, seen = [], [], [], set()
             for t, x in zip(key, text):
                 if x is None or t in seen:
                     continue
                 seen.add(t)
                 found = _names(np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8))
                 if len(found):
-                    found = np.unique(found[np.r_[True, found[1:] != found[:-1]]])
-                    names.append(found)
-                    owners.append(np.full(len(found), t & int(_LOW), np.uint64))
+                    heads = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                    own, which = np.unique(found[heads], return_inverse=True)
+                    names.append(own)
+                    owners.append(np.full(len(own), t & int(_LOW), np.uint64))
+                    strings.append(np.bincount(which, np.diff(np.r_[heads, len(found)])).astype(np.int64))
             if not names:
                 continue
             name, owner = np.concatenate(names), np.concatenate(owners)
@@ -169,23 +204,25 @@ def _entries(into: int):
             heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
             times = np.diff(np.r_[heads, len(name)])
             single = np.where(times == 1, owner[heads], np.uint64(0))
-            rows = [
-                (s, _five(name[heads][at] // np.uint64(into)).tobytes(), _five(single[at]).tobytes())
-                for s, at in _cut(name[heads], into)
-            ]
+            count = np.add.reduceat(np.concatenate(strings)[order], heads)
+            rows = []
+            for s, at in _cut(name[heads], into):
+                at = np.r_[at[count[at] > WINDOW], at[count[at] <= WINDOW]]
+                rows.append((s, _five(name[heads][at] // np.uint64(into)).tobytes(), _five(single[at]).tobytes(),
+                             np.minimum(count[at[count[at] > WINDOW]], HOT + 1).astype(np.int32).tobytes()))
             many = np.repeat(times > 1, times)
-            rows += [(into + s, _five(name[many][at]).tobytes(), _five(owner[many][at]).tobytes()) for s, at in _cut(owner[many], into)]
+            rows += [(into + s, _five(name[many][at]).tobytes(), _five(owner[many][at]).tobytes(), b"") for s, at in _cut(owner[many], into)]
             yield pa.RecordBatch.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)))), _ENTRIES)
 
     return run
 
 
-_ANSWER = "text long, names binary"
-_ANSWERS = pa.schema([("text", pa.int64()), ("names", pa.binary())])
+_ANSWER = "text long, names binary, hot binary"
+_ANSWERS = pa.schema([("text", pa.int64()), ("names", pa.binary()), ("hot", pa.binary())])
 
 
 def _repeated(into: int):
-    """(text, name) of the names that stand in different texts, by shard of the text; known ones pass."""
+    """(text, name) of the names that stand in different texts, by shard of the text; known ones pass. All shards of texts get the hot names."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -193,6 +230,10 @@ def _repeated(into: int):
             return table
         texts = _of_five(b"".join(table["texts"].to_pylist()))
         names = _of_five(b"".join(table["names"].to_pylist()))
+        count, at = np.full(len(names), WINDOW), 0
+        for known, some in zip(table["names"].to_pylist(), table["more"].to_pylist()):
+            count[at : at + len(some) // 4] = np.frombuffer(some, np.int32)
+            at += len(known) // 5
         order = np.lexsort((texts, names))
         names, texts = names[order], texts[order]
         heads = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
@@ -201,24 +242,31 @@ def _repeated(into: int):
         repeated = (texts[heads] != texts[last]) | (texts[heads] == 0)
         keep = np.repeat(repeated, last + 1 - heads) & (texts > 0)
         keep &= np.r_[True, (names[1:] != names[:-1]) | (texts[1:] != texts[:-1])]
+        hot = names[heads[np.add.reduceat(count[order], heads) > HOT]] * np.uint64(into) + np.uint64(shard)
         names, texts = names[keep] * np.uint64(into) + np.uint64(shard), texts[keep]
-        rows = [(into + s, _five(names[at]).tobytes(), _five(texts[at]).tobytes()) for s, at in _cut(texts, into)]
-        return pa.Table.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)) if rows else [[]] * 3)), _ENTRIES)
+        rows = [(into + s, _five(names[at]).tobytes(), _five(texts[at]).tobytes(), b"") for s, at in _cut(texts, into)]
+        if len(hot):
+            rows += [(into + s, b"", b"", _five(hot).tobytes()) for s in range(into)]
+        return pa.Table.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)) if rows else [[]] * 4)), _ENTRIES)
 
     return run
 
 
 def _answers(key: tuple, table: pa.Table) -> pa.Table:
-    """Per text the low bytes of its repeated names."""
-    texts, names = (_of_five(b"".join(table[c].to_pylist())) for c in ("texts", "names"))
+    """Per text the low bytes of its repeated names, and of the hot ones among them."""
+    texts, names, often = (_of_five(b"".join(table[c].to_pylist())) for c in ("texts", "names", "more"))
+    if not len(texts):
+        return _ANSWERS.empty_table()
     order = np.lexsort((names, texts))
     texts, names = texts[order], names[order]
     new = np.r_[True, (texts[1:] != texts[:-1]) | (names[1:] != names[:-1])]
-    texts, raw = texts[new], _five(names[new]).tobytes()
+    texts, names = texts[new], names[new]
+    raw, hot = _five(names).tobytes(), np.isin(names, often)
     heads = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
     stops = np.r_[heads[1:], len(texts)]
     return pa.Table.from_pydict({
         "text": texts[heads].astype(np.int64), "names": [raw[5 * a : 5 * b] for a, b in zip(heads.tolist(), stops.tolist())],
+        "hot": [_five(names[a:b][hot[a:b]]).tobytes() for a, b in zip(heads.tolist(), stops.tolist())],
     }, _ANSWERS)
 
 
@@ -227,17 +275,17 @@ _PIECES = pa.schema([("shard", pa.int32()), ("pieces", pa.binary())])
 
 
 def _pieces(into: int):
-    """The pieces of repeated names of a block's texts, by shard of their name; decided spans to shards after ``into``."""
+    """The pieces of repeated names of a block's texts, by shard of their name, of hot names by that of their bytes; decided spans to shards after ``into``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, t, u, packed, known in _unzipped(batches):
+        for doc_id, t, u, packed, known, often in _unzipped(batches):
             parts, rows = [], []
-            for n, (text, own) in enumerate(zip(packed, known)):
+            for n, (text, own, frequent) in enumerate(zip(packed, known, often)):
                 found = _runs(np.frombuffer(text, np.uint8))
                 kept = np.flatnonzero(np.isin(found[0] & _LOW, _of_five(own)))
-                parts.append([f[kept] for f in found])
+                parts.append([*(f[kept] for f in found), np.isin(found[0][kept] & _LOW, _of_five(frequent))])
                 rows.append(np.full(len(kept), n))
-            name, start, size, gram = map(np.concatenate, zip(*parts))
+            name, start, size, gram, hot = map(np.concatenate, zip(*parts))
             row = np.concatenate(rows)
             if not len(name):
                 continue
@@ -250,15 +298,18 @@ def _pieces(into: int):
                     smallest[piece] = d
             keeps = np.fromiter(map(smallest.__getitem__, contents), np.int64, len(contents)) == ids[row]
             out = []
-            for s, at in _cut(name, into):
+            dealt = name.copy()
+            for k in np.flatnonzero(hot).tolist():
+                dealt[k] = zlib.crc32(contents[k])
+            for s, at in _cut(dealt, into):
                 at = at[keeps[at]]
                 if len(at):
                     out.append((s, _packed(
                         _five(name[at] // np.uint64(into)), ids[row[at]], first[row[at]], (second[row[at]] & LOW_U).astype(np.int16),
-                        start[at].astype(np.int32), size[at].astype(np.uint8), gram[at].astype(np.uint8),
+                        start[at].astype(np.int32), size[at].astype(np.uint8), gram[at].astype(np.uint8), hot[at].astype(np.uint8),
                         np.frombuffer(b"".join([contents[k] for k in at.tolist()]), np.uint8))))
             gone = np.flatnonzero(~keeps)
-            for s, at in _cut(first[row[gone]].view(np.uint64), into):
+            for s, at in _cut(first[row[gone]].view(np.uint64), _meeting(into)[1]):
                 at = gone[at]
                 out.append((into + s, _packed(
                     first[row[at]], (second[row[at]] & LOW_U).astype(np.int16), start[at].astype(np.int64), start[at] + size[at] + LENGTH - 1)))
@@ -272,7 +323,7 @@ def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             text = zstandard.decompress(row[3])
-            held.append((*row[:3], text, row[4]))
+            held.append((*row[:3], text, *row[4:]))
             size += len(text)
             if size >= BLOCK:
                 yield [list(c) for c in zip(*held)]
@@ -327,9 +378,11 @@ def _halves(name, size, gram, content, offsets):
     return parent, first, count, key
 
 
-def repeated_strings(name, doc, size, gram, content) -> np.ndarray:
+def repeated_strings(name, doc, size, gram, content, hot) -> np.ndarray:
     """For each string of the pieces, one piece after the other: whether a smaller document has it too.
 
+    Pieces of ``hot`` names are compared within parts of SORTED_AT_ONCE positions only.
+
     ``size``: strings per piece; ``gram``: where the naming gram stands in the
     piece; ``content``: the pieces' bytes. Halves that share what their strings
     must share are sorted as one small text.
@@ -338,9 +391,14 @@ def repeated_strings(name, doc, size, gram, content) -> np.ndarray:
     string_at = np.r_[0, np.cumsum(size)]
     flags = np.zeros(int(string_at[-1]), bool)
     parent, first, count, key = _halves(name, size, gram, content, offsets[:-1])
+    key = key * np.uint64(2) + hot[parent]
     order = np.argsort(key, kind="stable")
     parent, first, count, key = parent[order], first[order], count[order], key[order]
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    new = np.r_[True, key[1:] != key[:-1]]
+    before = np.cumsum(count + LENGTH) - (count + LENGTH)
+    part = (before - np.maximum.accumulate(np.where(new, before, 0))) // SORTED_AT_ONCE
+    new[1:] |= (part[1:] != part[:-1]) & hot[parent[1:]].astype(bool)
+    heads = np.flatnonzero(new)
     number = np.diff(np.r_[heads, len(key)])
     heads, number = heads[number > 1], number[number > 1]  # one piece alone shares nothing
     if not len(heads):
@@ -376,16 +434,25 @@ def repeated_strings(name, doc, size, gram, content) -> np.ndarray:
     return flags
 
 
+def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_pydict(dict(zip(_PIECES.names, map(list, zip(*rows)) if rows else [[]] * 2)), _PIECES)
+
+
 def _spans_of(into: int):
-    """The spans to remove that one shard decides."""
+    """The spans to remove that one shard decides, to shards of texts after ``into``; open strings of hot names to the string's shard."""
+
+    strings, texts = _meeting(into)
+
+    def spans(t, u, begin, end):
+        return [(into + s, _packed(t[at], u[at], begin[at].astype(np.int64), end[at].astype(np.int64))) for s, at in _cut(t.view(np.uint64), texts)]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= into:
             parts = [_unpacked(b, np.int64, np.int16, np.int64, np.int64) for b in table["pieces"].to_pylist()]
-            return _joined_spans(*(np.concatenate(c) for c in zip(*parts)))
-        kinds = (np.uint8, np.int64, np.int64, np.int16, np.int32, np.uint8, np.uint8, np.uint8)
+            return _table(spans(*(np.concatenate(c) for c in zip(*parts))))
+        kinds = (np.uint8, np.int64, np.int64, np.int16, np.int32, np.uint8, np.uint8, np.uint8, np.uint8)
         parts = [_unpacked(b, *kinds) for b in table["pieces"].to_pylist()]
-        name, doc, t, u, start, size, gram, raw = (np.concatenate(c) for c in zip(*parts))
+        name, doc, t, u, start, size, gram, hot, raw = (np.concatenate(c) for c in zip(*parts))
         name, start, size, gram = _of_five(name.tobytes()), *(a.astype(np.int64) for a in (start, size, gram))
         lengths = size + LENGTH - 1
         offsets = np.r_[0, np.cumsum(lengths)]
@@ -398,7 +465,7 @@ def _spans_of(into: int):
         np.minimum.at(least, which, doc)
         sample = np.empty(len(distinct), np.int64)
         sample[which] = np.arange(len(which))
-        flags = repeated_strings(name[sample], least, size[sample], gram[sample], np.frombuffer(b"".join(distinct), np.uint8))
+        flags = repeated_strings(name[sample], least, size[sample], gram[sample], np.frombuffer(b"".join(distinct), np.uint8), hot[sample])
         string_at = np.cumsum(size[sample]) - size[sample]
         repeated = doc > least[which]
         touched = np.flatnonzero(np.add.reduceat(flags, string_at, dtype=np.int64)[which].astype(bool) & ~repeated)
@@ -412,7 +479,45 @@ def _spans_of(into: int):
         k = np.r_[np.flatnonzero(repeated), touched[owner[begin]]]
         begins = np.r_[start[repeated], base[owner[begin]] + place[begin]]
         ends = np.r_[(start + lengths)[repeated], base[owner[end]] + place[end] + LENGTH]
-        return _joined_spans(t[k], u[k], begins, ends)
+        out = spans(t[k], u[k], begins, ends)
+        # Strings of hot names that no other piece here decides; bytes are hashed in slices.
+        open_ = []
+        still = np.flatnonzero(hot.astype(bool) & ~repeated)
+        for some in np.split(still, np.flatnonzero(np.diff(np.cumsum(lengths[still]) // SORTED_AT_ONCE)) + 1):
+            if not len(some):
+                continue
+            bytes_at, _ = ranges(offsets[some], lengths[some])
+            one, two = _digests(raw[bytes_at])
+            place, owner = ranges(np.cumsum(lengths[some]) - lengths[some], size[some])
+            in_piece = place - (np.cumsum(lengths[some]) - lengths[some])[owner]
+            free = np.flatnonzero(~flags[string_at[which[some]][owner] + in_piece])
+            one, two, k, begin = one[place[free]], two[place[free]], some[owner[free]], in_piece[free]
+            open_.append((one, two, doc[k], t[k], u[k], (start[k] + begin).astype(np.int32)))
+        if open_:
+            found = [np.concatenate(c) for c in zip(*open_)]
+            out += [(s, _packed(*(f[at] for f in found))) for s, at in _cut(found[0], strings)]
+        return _table(out)
+
+    return run
+
+
+def _merged(into: int):
+    """Spans by text: those that were decided, and open strings that a smaller document has in another part."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blobs = table["pieces"].to_pylist()
+        if key[0].as_py() >= into:
+            parts = [_unpacked(b, np.int64, np.int16, np.int64, np.int64) for b in blobs]
+            return _joined_spans(*(np.concatenate(c) for c in zip(*parts)))
+        parts = [_unpacked(b, np.uint64, np.uint64, np.int64, np.int64, np.int16, np.int32) for b in blobs]
+        one, two, doc, t, u, start = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((two, one))
+        one, two, doc = one[order], two[order], doc[order]
+        heads = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.r_[heads, len(doc)]))
+        gone = order[doc > least]
+        begin = start[gone].astype(np.int64)
+        return _joined_spans(t[gone], u[gone], begin, begin + LENGTH)
 
     return run
 
@@ -460,23 +565,32 @@ def _removed(with_texts: bool):
     return run
 
 
-def remove_repeats(documents: DataFrame, with_texts: bool = False) -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` with_texts (else null)."""
-    spark = documents.sparkSession
-    into = PER_PARTITION * shards(spark)
+def _dealt(rows: DataFrame, packed: DataFrame, classes: DataFrame, into: int) -> DataFrame:
+    """The pieces, by shard."""
+    entries = rows.filter("doc_id IS NOT NULL").select("t", "text").mapInArrow(_entries(into), _ENTRY)
+    answers = entries.groupBy("shard").applyInArrow(_repeated(into), _ENTRY).groupBy("shard").applyInArrow(_answers, _ANSWER)
+    low = F.col("t").bitwiseAND(F.lit(int(_LOW)))
+    asked = classes.withColumn("text", low).join(answers, "text").select("t", "u", "first", "names", "hot")
+    firsts = packed.join(asked, ["t", "u"]).filter("doc_id = first").select("doc_id", "t", "u", "packed", "names", "hot")
+    return firsts.mapInArrow(_pieces(into), _PIECE)
+
+
+def _prepared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with two hashes of their text, the same with packed texts, and the first document of each text."""
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.xxhash64(F.lit(1), "text").alias("t"), F.xxhash64(F.lit(2), "text").alias("u"))
-    entries = rows.filter("doc_id IS NOT NULL").select("t", "text").mapInArrow(_entries(into), _ENTRY)
-    answers = entries.groupBy("shard").applyInArrow(_repeated(into), _ENTRY).groupBy("shard").applyInArrow(_answers, _ANSWER)
     classes = rows.filter("doc_id IS NOT NULL").groupBy("t", "u").agg(F.min("doc_id").alias("first"))
     packed = rows.select("doc_id", "text", "t", "u").mapInArrow(_pack, "doc_id long, packed binary, t long, u long")
+    return rows, packed, classes
 
-    low = F.col("t").bitwiseAND(F.lit(int(_LOW)))
-    asked = classes.withColumn("text", low).join(answers, "text").select("t", "u", "first", "names")
-    firsts = packed.join(asked, ["t", "u"]).filter("doc_id = first").select("doc_id", "t", "u", "packed", "names")
-    pieces = firsts.mapInArrow(_pieces(into), _PIECE)
-    spans = pieces.groupBy("shard").applyInArrow(_spans_of(into), _SPAN)
+
+def remove_repeats(documents: DataFrame, with_texts: bool = False) -> DataFrame:
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` with_texts (else null)."""
+    into = PER_PARTITION * shards(documents.sparkSession)
+    rows, packed, classes = _prepared(documents)
+    pieces = _dealt(rows, packed, classes, into)
+    spans = pieces.groupBy("shard").applyInArrow(_spans_of(into), _PIECE).groupBy("shard").applyInArrow(_merged(into), _SPAN)
     spans = spans.groupBy("t", F.col("u").alias("low_u")).agg(F.collect_list("spans").alias("spans"))  # of one text
     judged = classes.withColumn("low_u", F.col("u").bitwiseAND(F.lit(LOW_U)).cast("short")).join(spans, ["t", "low_u"], "left").drop("low_u")
     whole = packed.join(judged, ["t", "u"], "left").select("doc_id", "packed", "first", "spans")
