@@ -95,6 +95,19 @@ def test_a_line_in_very_many_texts(spark, monkeypatch):
     assert calls and max(calls) <= 2 * suffix_dedup.SORTED_AT_ONCE
 
 
+def test_passages_in_scripts_without_spaces(spark):
+    items = [(1, "北京是中华人民共和国的首都"), (2, "日本の首都は東京であり人口は多い"), (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"), (4, "der erste Satz der Prüfung steht hier")]
+    texts = [
+        (1, "我们都知道，北京是中华人民共和国的首都。这里还有别的内容"), (2, "ご存じの通り、日本の首都は東京であり人口は多い。そうです"),
+        (3, "เราทราบว่ากรุงเทพมหานครเป็นเมืองหลวงของประเทศไทยและใหญ่มาก"), (4, "vorher\u2014der erste\u00a0Satz der Prüfung steht hier\u2026danach"),
+        (5, "我们都知道，上海是一座很大的城市。"),
+    ]
+    found = decontaminate.passages(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in found) == [(n, n, 0) for n in range(1, 5)]
+    assert decontaminate.words("Ein É-Wort, naïve 中文x") == [w.encode() for w in ("ein", "É", "wort", "naïve", "中", "文", "x")]
+
+
 def test_licences(odd, empty):
     got = {r["doc_id"]: r for r in licences.scan_licences(odd).filter("doc_id > 3").collect()}
     assert all(r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lowered(t))) for i, t in pairs(odd) if i and i > 3 for r in [got[i]])

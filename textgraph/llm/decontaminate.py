@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit sampling.
 
-Texts and benchmark items are sequences of words. The CGK walk embeds a sequence
+Texts and benchmark items are sequences of words: runs of letters, digits and
+marks of any script, and single characters of scripts without spaces. The CGK walk embeds a sequence
 of n symbols in 3n: at each step it writes the current symbol and moves on if a
 random bit of step and symbol says so, so walks over two sequences fall into step
 again after an edit and few places differ. Keys are samples of ``SAMPLED``
@@ -24,7 +25,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 from math import ceil, log
 
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textgraph.llm.licences import words
+from textgraph.llm import licences
 
 RATE = 0.15  # edits per word of an item
 SEED = 3
@@ -45,6 +48,46 @@ WINDOWS = 1 << 15  # embedded at once
 WORDS_AT_ONCE = 1 << 19
 
 
+# Scripts that are written without spaces between words.
+_UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007),
+    (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+
+
+_WORD, _MARK, _BETWEEN, _SINGLE = range(4)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Per code point what it is to words; ASCII is left to ``licences.words``."""
+    kinds = np.full(0x110000, _BETWEEN, np.uint8)
+    kinds[:0x80] = _WORD
+    for c in range(0x80, 0x110000):
+        major = unicodedata.category(chr(c))[0]
+        if major in "LN":
+            kinds[c] = _WORD
+        elif major == "M":
+            kinds[c] = _MARK
+    for a, b in _UNSPACED:
+        kinds[a : b + 1][kinds[a : b + 1] == _WORD] = _SINGLE
+    return kinds
+
+
+def words(text: str | None) -> list[bytes]:
+    """A-Z is lowered; other letters stay as they are. Marks go with the character before them."""
+    if text and not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _kinds()[points]
+        if (kinds >= _BETWEEN).any():
+            points = np.where(kinds == _BETWEEN, np.uint32(32), points)
+            own = np.flatnonzero(kinds != _MARK)
+            single = kinds[own] == _SINGLE
+            text = np.insert(points, own[single | np.r_[False, single[:-1]]], 32).tobytes().decode("utf-32-le", "surrogatepass")
+    return licences.words(text)
+
+
 def allowed(n: int) -> int:
     """Edits allowed for an item of n words."""
     return int(RATE * n)
