@@ -108,6 +108,17 @@ def test_passages_in_scripts_without_spaces(spark):
     assert decontaminate.words("Ein É-Wort, naïve 中文x") == [w.encode() for w in ("ein", "É", "wort", "naïve", "中", "文", "x")]
 
 
+def test_long_items_take_bounded_memory():
+    rng = random.Random(3)
+    items = [(n, " ".join(f"w{rng.randrange(40_000)}" for _ in range(1000))) for n in range(40)]
+    finder = decontaminate.Finder(items)
+    assert sum(a.nbytes for a in vars(finder).values() if hasattr(a, "nbytes")) < 8 << 20
+    assert all(n * decontaminate.at_once(n) <= decontaminate.WINDOW_WORDS for n in (1, 59, 1000, 100_000))
+    changed = items[7][1].split()
+    changed[100:110] = ["other"] * 10
+    assert [(i, e) for _, i, e, *_ in finder.find(["before " + " ".join(changed) + " after"])] == [(7, 10)]
+
+
 def test_licences(odd, empty):
     got = {r["doc_id"]: r for r in licences.scan_licences(odd).filter("doc_id > 3").collect()}
     assert all(r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lowered(t))) for i, t in pairs(odd) if i and i > 3 for r in [got[i]])

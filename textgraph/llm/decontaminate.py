@@ -44,7 +44,7 @@ FAR, RECALL = 0.4, 0.99
 KEYS = ceil(log(1 - RECALL) / log(1 - (1 - FAR) ** SAMPLED))
 WALKS = 5  # keys are spread over so many walks
 BLOCK_BYTES = 16 << 20  # of item texts per pass
-WINDOWS = 1 << 15  # embedded at once
+WINDOWS, WINDOW_WORDS = 1 << 15, 1 << 21  # embedded at once, at most
 WORDS_AT_ONCE = 1 << 19
 
 
@@ -93,6 +93,11 @@ def allowed(n: int) -> int:
     return int(RATE * n)
 
 
+def at_once(n: int) -> int:
+    """Windows of n words that are embedded or compared at once."""
+    return max(1, min(WINDOWS, WINDOW_WORDS // n))
+
+
 class Finder:
     """The embedded items and their keys."""
 
@@ -103,7 +108,9 @@ class Finder:
         self.coded, self.longest = coded, max((len(c) for c in coded), default=0)
         random = np.random.default_rng(seed)
         steps = 3 * self.longest
-        self.moves = random.integers(0, 2, (WALKS, steps, len(self.vocabulary) + 1), dtype=np.int8)
+        # The walk's bit of step and word is hashed from one number for each.
+        self.steps = random.integers(0, 2**64, (WALKS, steps), dtype=np.uint64)
+        self.marks = random.integers(0, 2**64, len(self.vocabulary) + 1, dtype=np.uint64)
         self.weights = random.integers(1, 2**62, SAMPLED, dtype=np.int64) | 1
         self.samples = random.random((KEYS, SAMPLED))  # as shares of an embedding's length
         # Items by their seeds, and by size and key.
@@ -133,6 +140,10 @@ class Finder:
             total = total * base + c
         return total
 
+    def _moves(self, walk: int, step: int, symbol: np.ndarray) -> np.ndarray:
+        h = (self.marks[symbol] ^ self.steps[walk, step]) * np.uint64(0xBF58476D1CE4E5B9)
+        return (((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(63)).astype(np.int64)
+
     def embed(self, windows: np.ndarray) -> np.ndarray:
         """Keys of windows (rows of word codes): windows x KEYS."""
         count, size = windows.shape
@@ -150,7 +161,7 @@ class Finder:
                 symbol = padded[rows, at]
                 for key, place in wanted.get(step, ()):
                     keys[:, key] += (symbol + 1) * self.weights[place]
-                at = np.minimum(at + self.moves[walk, step][symbol], size)
+                at = np.minimum(at + self._moves(walk, step, symbol), size)
         return keys
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -207,15 +218,15 @@ class Finder:
         met: list[np.ndarray] = []  # item, start, doc
         for n in np.unique(windows[0]).tolist():
             of_size = windows[1:, windows[0] == n]
-            for at in range(0, of_size.shape[1], WINDOWS):
-                start, doc = of_size[:, at : at + WINDOWS]
+            for at in range(0, of_size.shape[1], at_once(n)):
+                start, doc = of_size[:, at : at + at_once(n)]
                 met.append(self._meet(n, codes, start, doc))
         met_all = np.concatenate(met, axis=1)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n in np.unique(sizes[met_all[0]]).tolist():
             item, start, doc = met_all[:, sizes[met_all[0]] == n]
-            for at in range(0, len(item), WINDOWS):
-                part = slice(at, at + WINDOWS)
+            for at in range(0, len(item), at_once(n)):
+                part = slice(at, at + at_once(n))
                 edits, first, stop = self._distances(n, codes, item[part], start[part], begins[doc[part]], ends[doc[part]])
                 for k in np.flatnonzero(edits <= allowed(n)).tolist():
                     key = (int(doc[part][k]), int(item[part][k]))
