@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgraph.llm import chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
+from textgraph.llm import centroids, chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
 from textgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,44 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM drawn
 """
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
+def _lloyd_sql(rounds: int = centroids.ROUNDS) -> str:
+    """Rounds as chained common table expressions; a centroid is a list."""
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, embedding
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(n - 1 AS INTEGER) AS c, e FROM (
+    SELECT e, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, embedding) AS n FROM v) WHERE n <= 8
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, min_by(c, d * 8 + c) AS c, min(d) AS d FROM (
+    SELECT v.r, c{n}.c, CAST(list_sum(list_transform(list_zip(v.e, c{n}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{n})
+  GROUP BY r
+)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS MATERIALIZED (
+  SELECT c, i, CAST(sum(x) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM (
+    SELECT a{n}.c, unnest(range(1, 65)) AS i, unnest(v.e) AS x FROM a{n} JOIN v USING (r)) GROUP BY c, i
+), c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.c, coalesce(m.e, c{n}.e) AS e FROM c{n} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{n} GROUP BY c) m USING (c)
+)""")
+    chain = ",\n".join(steps)
+    return f"""WITH {chain}
+SELECT v.vec_id, a{rounds}.c AS cluster, a{rounds}.d AS distance,
+       CAST(sum(a{rounds}.d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(a{rounds}.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _lloyd_sql()
