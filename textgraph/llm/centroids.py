@@ -82,7 +82,7 @@ def _rows(kind: str, data: bytes, n: int) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
-def _blocks(scale: int):
+def _blocks(scale: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         vectors: list[list[float]] = []
@@ -97,7 +97,7 @@ def _blocks(scale: int):
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(vec_id)
                 vectors.append(vector)
-                if len(ids) == BLOCK:
+                if len(ids) == size:
                     yield block()
                     made, ids, vectors = made + 1, [], []
         if ids:
@@ -292,7 +292,7 @@ def cluster(
     folder = run_folder(spark, "centroids")
     if not centroids:
         return Clusters([], spark.createDataFrame([], _OUT), [])
-    written = stage(usable.mapInArrow(_blocks(scale), _BLOCK), f"{folder}/blocks")
+    written = stage(usable.mapInArrow(_blocks(scale, BLOCK), _BLOCK), f"{folder}/blocks")
     blocks = written.repartition(shards(spark), "block").persist(StorageLevel.MEMORY_AND_DISK)
     looked = blocks.select("block", "n", "kind", "vectors")
     k = len(centroids)

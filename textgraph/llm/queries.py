@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgraph.llm import centroids, chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
+from textgraph.llm import alignment, centroids, chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
 from textgraph.llm.common import table
 
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -180,3 +188,9 @@ FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)
 
 
 ORACLES["op11_centroid_clustering"] = _lloyd_sql()
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.Alignment(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).scores().drop("groups")
