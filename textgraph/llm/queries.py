@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgraph.llm import alignment, centroids, chat, decontaminate, language, licences, minhash, mixing, pii, secret_scan, suffix_dedup, topk
+from textgraph.llm import alignment, centroids, chat, decontaminate, language, licences, minhash, mixing, packing, pii, secret_scan, suffix_dedup, topk
 from textgraph.llm.common import table
 
 
@@ -194,3 +194,9 @@ ORACLES["op11_centroid_clustering"] = _lloyd_sql()
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return alignment.Alignment(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).scores().drop("groups")
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
