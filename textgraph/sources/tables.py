@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textgraph.functions import fixed
+from textgraph.sources.csv_records import RANGE_BYTES, read_csv
 
 TAXONOMY_SCHEMA = "main_topic string, sub_topic string, pos long"
 RESULT_SCHEMA = "id long, text string, gold_labels array<string>, generated_labels array<string>"
@@ -13,8 +14,9 @@ SCORE_SCHEMA = "signal_type string, label string, tp long, fp long, fn long, tn
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """Files of a format; a CSV file is one task, since its cells may hold line breaks."""
     if fmt == "csv":
-        options = {"header": "true", "escape": '"', **options}  # multiLine on request: it makes a file one task
+        options = {"header": "true", "escape": '"', "multiLine": "true", **options}
     return spark.read.format(fmt).options(**options).load(path)
 
 
@@ -35,10 +37,19 @@ def read_labelled(
     labels_column: str = fixed.LABELS_COLUMN,
     fmt: str = "parquet",
     keep: list[str] = (),
+    range_bytes: int = RANGE_BYTES,
     **options: str,
 ) -> DataFrame:
-    """A labelled dataset; only the named columns are read from the files."""
-    return pick_labelled(read_files(spark, path, fmt, **options), text_column, labels_column, keep)
+    """A labelled dataset; only the named columns are read from the files.
+
+    CSV files are read in ranges, unless an option of their form (other escapes,
+    another encoding, line ends or comments) leaves them to Spark's reader.
+    """
+    if fmt == "csv" and not {"multiLine", "escape", "encoding", "charset", "lineSep", "comment", "schema"} & set(options):
+        files = read_csv(spark, path, range_bytes, **options)
+    else:
+        files = read_files(spark, path, fmt, **options)
+    return pick_labelled(files, text_column, labels_column, keep)
 
 
 def resume_slice(source: DataFrame, results: DataFrame, limit: int | None, source_id: str = "id") -> DataFrame:

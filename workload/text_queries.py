@@ -70,6 +70,19 @@ def read_labelled(spark, sf):
     return tables.read_labelled(spark, f"{sf}/documents.parquet", "text", "source", keep=["doc_id"])
 
 
+CSV_RANGE = 1 << 18
+
+
+@query("read_labelled_csv", "SELECT doc_id, text, source AS gold_labels FROM documents")
+def read_labelled_csv(spark, sf):
+    """CSV with line breaks, quotes and separators in its cells, each file in several ranges."""
+    path = f"{run_folder(spark, 'csv')}/documents"
+    rows = view(spark, sf, "documents").select("doc_id", "text", "source")
+    rows.write.options(header="true", escape='"', quoteAll="true").csv(path)
+    read = tables.read_labelled(spark, path, "text", "source", "csv", keep=["doc_id"], range_bytes=CSV_RANGE)
+    return read.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 @query("resume_slice", """
 SELECT o_orderkey AS id, o_orderpriority AS text FROM orders
 WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer) ORDER BY o_orderkey LIMIT 100
