@@ -1,5 +1,7 @@
 """Taxonomy, labels, counts and scores, batch and incremental."""
 
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -193,6 +195,50 @@ def test_stream_equals_batch_and_restarts(spark, taxonomy, signals, folder):
     assert rows(score().select("signal_type", "label", *sc.COUNTS)) == got
 
 
+VERSIONED = f"{BATCH}, version int"
+
+
+def test_the_last_version_of_a_text_counts_once(spark, taxonomy, signals, folder):
+    first = [(i, "onderwerp", ["x"], ["z"], 1) for i in range(12)]
+    files = [
+        first[:4], first[4:8], first[8:],
+        [(i, "onderwerp", ["x"], ["x"], 3) for i in range(2, 6)] + [(2, "onderwerp", ["y"], [], 2)],  # corrected, with an older one beside it
+        [(i, "onderwerp", ["y"], ["y"], 2) for i in range(4, 8)],  # too late for 4 and 5
+        [first[9], first[9], (None, "onderwerp", ["x"], ["x"], 9), (30, "beleving", [], ["x"], 0), (10, "beleving", None, None, 7)],
+    ]
+
+    def run(some):
+        for rows_ in some:
+            spark.createDataFrame(rows_, VERSIONED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = inc.text_files(spark, f"{folder}/in", VERSIONED, files_per_batch=1)
+        return inc.evaluate_incremental(stream, labelled, taxonomy, signals, f"{folder}/out", F.col("version"), buckets=3)
+
+    def expected(rows_):
+        last = {}
+        for r in rows_:
+            if r[0] is not None and (r[0] not in last or last[r[0]][4] <= r[4]):
+                last[r[0]] = r
+        texts = spark.createDataFrame(list(last.values()), VERSIONED)
+        return rows(sc.confusion_counts(*labelled(texts), texts, taxonomy, signals))
+
+    counts = lambda df: rows(df.select("signal_type", "label", *sc.COUNTS))
+    assert counts(run(files[:2])) == expected(sum(files[:2], []))
+    got = counts(run(files[2:]))  # a restart, with four batches
+    assert got == expected(sum(files, []))
+    assert counts(run([])) == got
+    assert spark.conf.get(inc.STORE) != inc.STORE_CLASS
+
+
+def test_without_a_version_the_later_file_wins(spark, taxonomy, signals, folder):
+    for n, label in enumerate(["x", "y", "z"]):
+        spark.createDataFrame([(1, "onderwerp", [label], [label]), (n + 2, "onderwerp", [], [])], BATCH).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # file times have whole seconds on some systems
+    stream = inc.text_files(spark, f"{folder}/in", BATCH)
+    scores = inc.evaluate_incremental(stream, labelled, taxonomy, signals, f"{folder}/out")
+    found = {r["label"]: (r["tp"], r["tn"]) for r in scores.filter("signal_type = 'onderwerp'").collect()}
+    assert found["z"] == (1, 3) and found["x"] == found["y"] == (0, 4)
+
+
 def test_a_failed_batch_runs_again_and_counts_once(spark, taxonomy, signals, folder):
     texts = [(i, "onderwerp", ["x"], ["x"]) for i in range(4)]
     spark.createDataFrame(texts, BATCH).coalesce(1).write.parquet(f"{folder}/in")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from textgraph.operators import labels as lb, prompts, scoring as sc
@@ -224,23 +227,62 @@ def invalid_label_summary(spark, sf):
     )
 
 
-STREAM_FILES = 6
+LISTED = "array<struct<signal_type:string,label:string>>"
+
+
+def arriving(spark, sf, folder) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """All texts with their gold and proposed labels, and a run over the files that came into a folder since the last."""
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("signal_type", "label")))
+    rows = [
+        df.select("doc_id", F.lit(kind).alias("kind"), signal, label) for kind, df, signal, label in (
+            ("gold", gold(spark, sf), "signal_type", "label"), ("proposed", allowed(spark, sf), "signal_type", "label"),
+            ("text", view(spark, sf, "fx_text"), F.lit(None).cast("string").alias("signal_type"), F.lit(None).cast("string").alias("label")))
+    ]
+    texts = reduce(DataFrame.unionByName, rows).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").groupBy("doc_id").agg(
+        listed("gold").alias("gold"), listed("proposed").alias("proposed"), F.max((F.col("kind") == "text").cast("int")).alias("given"),
+    ).filter("given = 1").drop("given")
+    side = lambda batch, name: batch.select("doc_id", F.inline(name))
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # two batches of what one job writes
+
+    def run() -> DataFrame:
+        stream = inc.text_files(
+            spark, f"{folder}/in", f"doc_id long, version int, gold {LISTED}, proposed {LISTED}", files_per_batch=files)
+        return inc.evaluate_incremental(
+            stream, lambda batch: (side(batch, "gold"), side(batch, "proposed")), taxonomy(spark, sf), signals(spark, sf),
+            f"{folder}/out", F.col("version"))
+
+    return texts, run
+
+
+def write_files(rows: DataFrame, folder: str, version: int) -> None:
+    """Files by the shuffle partitions, which the texts are dealt to by id."""
+    rows.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{folder}/in")
 
 
 @query("evaluate_incremental", f"WITH {SCORED} SELECT * FROM scores")
 def evaluate_incremental(spark, sf):
     """Texts arrive in several files, with their gold and proposed labels."""
-    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.collect_list(F.struct("signal_type", "label")).alias(name))
-    texts = view(spark, sf, "fx_text").select("doc_id")
-    labels = listed(gold(spark, sf), "gold"), listed(allowed(spark, sf), "proposed")
     folder = run_folder(spark, "stream")
-    texts.join(labels[0], "doc_id", "left").join(labels[1], "doc_id", "left").repartition(STREAM_FILES, "doc_id").write.parquet(f"{folder}/in")
-    row = "array<struct<signal_type:string,label:string>>"
-    stream = inc.text_files(spark, f"{folder}/in", f"doc_id long, gold {row}, proposed {row}", files_per_batch=2)
-    side = lambda batch, name: batch.select("doc_id", F.inline(name))
-    return rounded(inc.evaluate_incremental(
-        stream, lambda batch: (side(batch, "gold"), side(batch, "proposed")), taxonomy(spark, sf), signals(spark, sf), f"{folder}/out"
-    ))
+    texts, run = arriving(spark, sf, folder)
+    write_files(texts, folder, 1)
+    return rounded(run())
+
+
+@query("evaluate_corrected", f"WITH {SCORED} SELECT * FROM scores")
+def evaluate_corrected(spark, sf):
+    """Texts come again, in other files and after a restart: the last version of each counts, once.
+
+    First come those with gold labels, which stand as proposals there; then, in the
+    run after that, all texts as they are, with an old version once more among them.
+    """
+    folder = run_folder(spark, "stream")
+    texts, run = arriving(spark, sf, folder)
+    drafts = texts.filter("size(gold) > 0").withColumn("proposed", F.col("gold"))
+    write_files(drafts, folder, 1)
+    run()
+    write_files(texts, folder, 2)
+    write_files(drafts.withColumn("gold", F.lit(None).cast(LISTED)), folder, 0)
+    return rounded(run())
 
 
 # --- evaluation of stored documents -----------------------------------------
