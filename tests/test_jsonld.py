@@ -1,6 +1,7 @@
 """Documents: terms, facts, validation, routing, repair."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textgraph.functions import fixed
 from textgraph.operators import jsonld as jl, labels as lb, validation as va
+from textgraph.operators.hierarchy import covered, hierarchy
 from textgraph.plans.repair import final_documents, repair_loop
 
 CLASSES = [("Thing", None), ("Person", "Thing"), ("Place", "Thing"), ("Country", "Place"), ("Robot", "Thing")]
@@ -168,25 +170,63 @@ def test_validation_with_large_vocabulary_tables(spark, vocabulary):
     assert checked._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
 
 
-def test_closure_of_many_classes(spark, folder):
-    rows = spark.range(1, 200_001).select(
-        F.concat(F.lit("C"), "id").alias("label"), F.when(F.col("id") > 1, F.concat(F.lit("C"), F.floor((F.col("id") + 6) / 8))).alias("parent")
-    )
-    above = va.ancestors(rows, folder)
-    assert above.count() == sum(_levels(n) for n in range(1, 200_001))
-
-
-def _levels(n):
-    """Classes from n up to the root, itself included."""
-    levels = 1
-    while n > 1:
-        n, levels = (n + 6) // 8, levels + 1
-    return levels
-
-
-def test_cycles_are_an_error(spark, folder):
+def plain_below(edges, labels):
+    """{label: classes at or below it} by a search upwards from each class."""
+    parents, out = {}, {}
+    for label, parent in edges:
+        if parent is not None:
+            parents.setdefault(label, set()).add(parent)
+    for label in labels:
+        seen, todo = {label}, [label]
+        while todo:
+            for p in parents.get(todo.pop(), ()):
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        for p in seen:
+            out.setdefault(p, set()).add(label)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hierarchy_with_several_parents(spark, folder, seed):
+    rng = random.Random(seed)
+    names = [f"c{n}" for n in range(60)]
+    edges = [(n, None) for n in names[:3]] + [("c7", "unlisted"), ("c9", "unlisted")]
+    for n in range(3, 60):
+        edges += [(names[n], names[rng.randrange(n)]) for _ in range(rng.choice([1, 1, 1, 2, 4]))]
+    index = hierarchy(spark.createDataFrame(edges + edges[:5], "label string, parent string"), folder)
+    places = {r["label"]: r["lo"] for r in index.classes.filter("known").collect()}
+    assert set(places) == set(names) and index.classes.count() == 61
+    keyed = index.classes.select(F.col("label").alias("key"), "label")
+    got = {
+        r["key"]: {n for n, lo in places.items() if any(i["lo"] <= lo <= i["hi"] for i in r["intervals"])}
+        for r in covered(index, keyed, "key").collect()
+    }
+    assert got == plain_below(edges, names)
+
+
+def test_a_deep_chain_has_tables_of_its_own_size(spark, folder):
+    n = 20_000
+    classes = spark.range(n).select(
+        F.concat(F.lit("C"), "id").alias("label"), F.when(F.col("id") > 0, F.concat(F.lit("C"), F.col("id") - 1)).alias("parent"))
+    properties = spark.range(n).select(
+        F.concat(F.lit("C"), "id").alias("class_label"), F.concat(F.lit("p"), F.col("id") % 1000).alias("property"), F.concat(F.lit("C"), "id").alias("range"))
+    vocabulary = va.prepare_vocabulary(classes, properties, folder)
+    assert vocabulary.known.count() == n and vocabulary.properties.count() == 1000
+    assert sum(vocabulary.sizes.values()) < 100 * n
+    docs = ['{"@type":"C19999","p0":{"@type":"C5"}}', '{"@type":"C5","p6":"x","p5":"x"}', '{"@type":"C1000","p7":{"@type":"C6"}}']
+    assert [r["output"] for r in va.jsonld_validate(documents(spark, docs), vocabulary).orderBy("doc_id").collect()] == [
+        "", "$ domain p6", "$ range p7"]
+
+
+@pytest.mark.parametrize("edges", [
+    [("A", "B"), ("B", "C"), ("C", "A")], [("A", "A")], [("A", None), ("B", "A"), ("B", "Z"), ("Z", "B")],
+    [("A", None), ("B", "A"), ("C", "B"), ("C", "Z"), ("Y", "A"), ("Z", "Y"), ("Z", "X"), ("X", "A"), ("Y", "X"), ("X", "W"), ("W", "C"), ("W", "A")],
+])
+def test_cycles_are_an_error(spark, folder, edges):
     with pytest.raises(ValueError, match="cycle"):
-        va.ancestors(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A")], "label string, parent string"), folder)
+        hierarchy(spark.createDataFrame(edges, "label string, parent string"), folder)
 
 
 def test_deep_documents(spark):

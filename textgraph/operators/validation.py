@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed
-from textgraph.functions.joins import lookup_join
+from textgraph.functions.joins import lookup_join, table_bytes
+from textgraph.operators.hierarchy import covered, hierarchy
 from textgraph.operators.jsonld import facts, minimal_document
 from textgraph.session import run_folder, stage
 
@@ -19,68 +19,36 @@ ROOT_TYPE = "Thing"
 class Vocabulary:
     """Staged lookup tables of one job.
 
-    known (label); ranges (property, ranges); allowed (label, property), with
-    what a class inherits; accepted (property, label), with the classes below a
-    range; sizes, the bytes of each.
+    known (label, lo), the place of a class in its hierarchy; properties
+    (property, ranges, domain, accepted), with the places of the classes that
+    have a property and of those that it accepts as disjoint intervals; sizes, the
+    bytes of each. Both are as large as what they come from, whatever the depth
+    of the hierarchy.
     """
 
     known: DataFrame
-    ranges: DataFrame
-    allowed: DataFrame
-    accepted: DataFrame
+    properties: DataFrame
     sizes: dict[str, int]
     usable: bool
 
 
-def ancestors(classes: DataFrame, folder: str) -> DataFrame:
-    """Every class with itself and all classes above it. A cycle is an error.
-
-    Rounds of distinct pairs, each written before the next. A round joins the
-    pairs it has with each other, so the length of the paths doubles; it ends
-    when no pair is new.
-    """
-    edges = classes.filter("parent IS NOT NULL").select("label", F.col("parent").alias("ancestor")).distinct()
-    pairs, known, number = stage(edges, f"{folder}/0"), None, 0
-    while (n := pairs.count()) != known:
-        known, number = n, number + 1
-        further = pairs.select("label", F.col("ancestor").alias("via")).join(
-            pairs.select(F.col("label").alias("via"), "ancestor"), "via"
-        ).select("label", "ancestor")
-        pairs = stage(pairs.unionByName(further).distinct(), f"{folder}/{number}")
-        if not pairs.filter("label = ancestor").isEmpty():
-            raise ValueError("the class hierarchy has a cycle")
-    return pairs.unionByName(classes.select("label", F.col("label").alias("ancestor"))).distinct()
-
-
 def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str | None = None) -> Vocabulary:
-    """Compute the closure of the class hierarchy once and stage its tables.
+    """Index the class hierarchy once and stage the tables.
 
     ``classes`` is (label, parent), one row per parent; ``properties`` is
     (class_label, property, range).
     """
     folder = folder or run_folder(classes.sparkSession, "vocabulary")
     properties = stage(properties.select("class_label", "property", "range").distinct(), f"{folder}/properties")
-    above = stage(ancestors(classes.select("label", "parent").distinct(), f"{folder}/closure"), f"{folder}/above")
-    none = F.lit(None).cast("string")
-    parts = {
-        "known": above.filter("label = ancestor").select("label", none.alias("property"), none.alias("range")),
-        "range": properties.select(none.alias("label"), "property", "range"),
-        "allowed": above.join(properties, F.col("ancestor") == F.col("class_label")).select("label", "property", none.alias("range")),
-        "accepted": above.join(properties, F.col("ancestor") == F.col("range")).select("label", "property", none.alias("range")),
-    }
-    rows = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in parts.items()]).distinct()
-    table = stage(rows, f"{folder}/tables")
-    part = lambda kind, *columns: table.filter(F.col("kind") == kind).select(*columns)
-    row = F.octet_length(F.to_json(F.struct(*table.columns)))
-    sizes = {r["kind"]: r["b"] for r in table.groupBy("kind").agg(F.sum(row).alias("b")).collect()}  # a row per kind
+    index = hierarchy(classes, f"{folder}/hierarchy")
+    known = stage(index.classes.filter("known").select("label", "lo"), f"{folder}/known")
+    below = lambda column: covered(index, properties.select("property", F.col(column).alias("label")).distinct(), "property")
+    ranges = properties.groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges"))
+    table = ranges.join(below("class_label").withColumnRenamed("intervals", "domain"), "property", "left")
+    table = stage(table.join(below("range").withColumnRenamed("intervals", "accepted"), "property", "left"), f"{folder}/tables")
     return Vocabulary(
-        known=part("known", "label"),
-        ranges=part("range", "property", "range").groupBy("property").agg(F.array_sort(F.collect_set("range")).alias("ranges")),
-        allowed=part("allowed", "label", "property"),
-        accepted=part("accepted", "property", "label"),
-        sizes={kind: sizes.get(kind, 0) for kind in parts},
-        usable="known" in sizes and "range" in sizes,
-    )
+        known, table, {"known": table_bytes(known), "properties": table_bytes(table)},
+        usable=not known.isEmpty() and not table.isEmpty())
 
 
 def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
@@ -95,23 +63,26 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
     def look(rows: DataFrame, kind: str, table: DataFrame, on: list[str], flag: str) -> DataFrame:
         return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left", size=vocabulary.sizes[kind])
 
-    via_ranges = vocabulary.ranges.select(F.col("property").alias("via"), F.col("ranges").alias("via_ranges"))
+    via_ranges = vocabulary.properties.select(F.col("property").alias("via"), F.col("ranges").alias("via_ranges"))
     inferred = F.when(F.size("types") > 0, F.col("types")).when(F.col("via").isNull(), F.array(F.lit(ROOT_TYPE)))
-    child = vocabulary.known.withColumnRenamed("label", "child")
+    child = vocabulary.known.select(F.col("label").alias("child"), F.col("lo").alias("child_lo"))
+    own = vocabulary.properties.select("property", "domain", F.col("accepted").alias("accepts"))
+    inside = lambda place, intervals: F.when(
+        F.exists(intervals, lambda i: F.col(place).between(i["lo"], i["hi"])), F.lit(True))  # null if not
 
-    rows = look(found, "range", via_ranges, ["via"], "_via")
+    rows = look(found, "properties", via_ranges, ["via"], "_via")
     rows = rows.withColumn("types", F.coalesce(inferred, "via_ranges", F.array().cast("array<string>")))
+    rows = look(rows, "properties", own, ["property"], "declared")
     rows = rows.select(
-        *keys, "path", "property", "kind", "value", "child_types",
+        *keys, "path", "property", "kind", "value", "child_types", "declared", "domain", "accepts",
         F.size("types").alias("n_types"), F.size("child_types").alias("n_children"),
         F.explode_outer("types").alias("label"),
     )
     rows = look(rows, "known", vocabulary.known, ["label"], "type_known")
-    rows = look(rows, "range", vocabulary.ranges.select("property"), ["property"], "declared")
-    rows = look(rows, "allowed", vocabulary.allowed, ["label", "property"], "fits")
+    rows = rows.withColumn("fits", inside("lo", "domain")).drop("domain", "lo")
     rows = rows.select("*", F.explode_outer("child_types").alias("child"))
     rows = look(rows, "known", child, ["child"], "child_known")
-    rows = look(rows, "accepted", vocabulary.accepted.withColumnRenamed("label", "child"), ["property", "child"], "accepted")
+    rows = rows.withColumn("accepted", inside("child_lo", "accepts")).drop("accepts", "child_lo")
 
     known = F.col("declared").isNotNull() & ~F.col("property").startswith("@")
     flags = {
