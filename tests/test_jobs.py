@@ -188,6 +188,83 @@ def test_embedder_fails_by_text(spark):
     assert got == {"a": (False, None), "b": (False, None), "limit": (False, None), "bad": (True, "ValueError: no vector for this")}
 
 
+def test_a_bad_text_costs_few_calls(spark):
+    def counting():
+        calls = []
+
+        def embed(texts):
+            calls.append(len(texts))
+            if "bad" in texts:
+                raise ValueError("no vector for this")
+            return [[float(len(calls))]] * len(texts)
+
+        return embed
+
+    texts = spark.createDataFrame([(f"t{n}",) for n in range(1999)] + [("bad",)], "embed_text string").coalesce(1)
+    rows = mc.embed_map(texts, shipped(counting), wait=0.0).collect()
+    assert [r["embed_text"] for r in rows if r["embedding"] is None] == ["bad"]
+    assert len(rows) == 2000 and max(r["embedding"][0] for r in rows if r["embedding"]) <= 2 * 11 + 1
+
+
+def test_a_limit_makes_batches_smaller(spark):
+    def small_only():
+        calls = []
+
+        def embed(texts):
+            calls.append(1)
+            if sum(map(len, texts)) > 600:
+                raise ValueError("Error 429")
+            return [[float(len(calls))]] * len(texts)
+
+        return embed
+
+    texts = spark.createDataFrame([(f"{n:010d}",) for n in range(2000)], "embed_text string").coalesce(1)
+    rows = mc.embed_map(texts, shipped(small_only), wait=0.0, batch_bytes=1000).collect()
+    assert len(rows) == 2000
+    assert all(r["error"] is None for r in rows)
+    assert max(r["embedding"][0] for r in rows if r["embedding"]) < 200
+
+
+def test_a_service_that_stays_limited_is_not_asked_text_by_text(spark):
+    def limited():
+        calls = []
+
+        def embed(texts):
+            calls.append(1)
+            raise ValueError(f"429 after {len(calls)}")
+
+        return embed
+
+    texts = spark.createDataFrame([(f"t{n}",) for n in range(500)], "embed_text string").coalesce(1)
+    rows = mc.embed_map(texts, shipped(limited), wait=0.0).collect()
+    assert len(rows) == 500 and max(int(r["error"].rsplit(" ", 1)[1]) for r in rows) <= 7
+
+
+def timed():
+    import time
+
+    def call(system, human):
+        if human == "slow":
+            time.sleep(3)
+        return str(time.time())
+
+    return call
+
+
+def test_all_tasks_together_keep_the_rate(spark):
+    rows = mc.model_map(asked(spark, [f"h{n}" for n in range(96)]), shipped(timed), partitions=8, threads=4, rate=40.0).collect()
+    at = sorted(float(r["response"]) for r in rows)
+    assert len(at) == 96
+    assert all(b - a > 0.9 for a, b in zip(at, at[41:]))  # at most 40 in a second, and one at its edge
+
+
+def test_a_slow_call_holds_up_no_other(spark):
+    rows = mc.model_map(asked(spark, ["slow"] + [f"h{n}" for n in range(400)]).coalesce(1), shipped(timed), threads=4, partitions=0).collect()
+    at = {r["human_prompt"]: float(r["response"]) for r in rows}
+    others = [t for h, t in at.items() if h != "slow"]
+    assert len(at) == 401 and max(others) < at["slow"] - 1
+
+
 def test_a_class_without_a_vector_is_reported(spark):
     made = job(spark, embedder=shipped(failing_embedder))
     done = run(spark, made)

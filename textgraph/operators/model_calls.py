@@ -21,44 +21,115 @@ CHOICE = "reasoning string, selected_class string, selected_number int"
 LABEL_LISTS = "onderwerp_labels array<string>, beleving_labels array<string>"
 
 
-def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: int):
-    """The batch function; it carries no name of this package, so executors
-    need nothing but the factory."""
+def _tools():
+    """Pace and errors of calls, as functions that travel by value."""
+
+    def pace(rate: float | None, tasks: int, wait: float):
+        """When a task may call: makes a function that waits for its turn, and one that hears how a call went.
+
+        Calls of all tasks stand on one grid of 1/rate seconds of the clock; every ``tasks``-th place of it belongs to
+        a task, so the tasks together keep the rate without talking to each other. A rate limit doubles the places
+        that a task lets pass, each answer brings them back by a tenth. Without a rate the same is done with pauses.
+        """
+        import threading
+        import time
+
+        lock = threading.Lock()
+        state = {"last": 0.0, "slower": 1.0}
+
+        def turn(task: int) -> None:
+            with lock:
+                now = time.time()
+                if rate:
+                    own = tasks / rate  # seconds between the places of a task
+                    first = task / rate
+                    earliest = max(now, state["last"] + own * round(state["slower"]) - own / 2)
+                    at = first + own * -(-(earliest - first) // own)
+                else:
+                    at = max(now, state["last"] + (state["slower"] - 1.0) * wait / 10)
+                state["last"] = at
+            time.sleep(max(0.0, at - time.time()))
+
+        def told(limited: bool) -> None:
+            with lock:
+                state["slower"] = min(state["slower"] * 2, 64.0) if limited else max(1.0, state["slower"] * 0.9)
+
+        return turn, told
+
+    def is_limit(error: Exception) -> bool:
+        told = str(error)
+        return "429" in told or "rate limit" in told.lower()
+
+    return pace, is_limit
+
+
+def _caller(make_model: Callable[[], Model], tries: int, wait: float, threads: int, rate: float | None, tasks: int, ready: int):
+    """The batch function, over a sliding window of open calls; finished rows leave as they come.
+
+    It carries no name of this package, so executors need nothing but the factory.
+    """
+    pace, is_limit = _tools()
 
     def run(batches):
         import time
+        from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor
+        from concurrent.futures import wait as some_done
         from datetime import datetime, timezone
-        from concurrent.futures import ThreadPoolExecutor
 
         import pandas as pd
+        from pyspark import TaskContext
 
-        model = make_model()
+        model, task = make_model(), TaskContext.get().partitionId()
+        turn, told = pace(rate, tasks, wait)
 
         def once(row):
-            system, human, stored = row
-            if stored is not None:
-                return stored, (None if stored else "no response"), 0, None
             for attempt in range(1, tries + 1):
+                turn(task)
                 asked_at = datetime.now(timezone.utc)
                 try:
-                    answer = model(system, human)
-                    return answer, (None if answer else "no response"), attempt, asked_at
+                    answer = model(row["system_prompt"], row["human_prompt"])
+                    told(False)
+                    return {**row, "response": answer, "error": None if answer else "no response", "attempts": attempt, "asked_at": asked_at}
                 except Exception as error:  # the row keeps it
-                    told = str(error)
-                    refused = "RefusalError" in type(error).__name__
-                    limited = "429" in told or "rate limit" in told.lower()
+                    refused, limited = "RefusalError" in type(error).__name__, is_limit(error)
+                    told(limited)
                     if attempt == tries or not (refused or limited):
-                        return None, f"{type(error).__name__}: {told}", attempt, asked_at
+                        error = f"{type(error).__name__}: {error}"
+                        return {**row, "response": None, "error": error, "attempts": attempt, "asked_at": asked_at}
                     time.sleep(wait if refused else wait * 2 ** (attempt - 1))
 
-        with ThreadPoolExecutor(threads) as pool:
+        def rows():
             for batch in batches:
-                done = list(pool.map(once, zip(batch["system_prompt"], batch["human_prompt"], batch["response"])))
-                batch["response"] = [d[0] for d in done]
-                batch["error"] = [d[1] for d in done]
-                batch["attempts"] = [d[2] for d in done]
-                batch["asked_at"] = pd.to_datetime([d[3] for d in done], utc=True)
-                yield batch
+                names = list(batch.columns)
+                for values in zip(*(batch[n] for n in names)):
+                    yield dict(zip(names, values))
+
+        def frame(done):
+            out = pd.DataFrame(done)
+            out["asked_at"] = pd.to_datetime(out["asked_at"], utc=True)
+            return out
+
+        done, open_ = [], set()
+        with ThreadPoolExecutor(threads) as pool:
+            for row in rows():
+                if row["response"] is not None:  # stored
+                    done.append({**row, "error": None if row["response"] else "no response", "attempts": 0, "asked_at": None})
+                else:
+                    open_.add(pool.submit(once, row))
+                if len(open_) >= 2 * threads:  # one waits for each that runs
+                    ended, open_ = some_done(open_, return_when=FIRST_COMPLETED)
+                    done += [f.result() for f in ended]
+                if len(done) >= ready:
+                    yield frame(done)
+                    done = []
+            while open_:
+                ended, open_ = some_done(open_, return_when=FIRST_COMPLETED)
+                done += [f.result() for f in ended]
+                if len(done) >= ready:
+                    yield frame(done)
+                    done = []
+        if done:
+            yield frame(done)
 
     return run
 
@@ -71,13 +142,18 @@ def model_map(
     threads: int = 1,
     partitions: int | None = None,
     by: list[str] = ("human_prompt",),
+    rate: float | None = None,
+    ready: int = 200,
 ) -> DataFrame:
     """Call a model once per row of system_prompt and human_prompt.
 
     Adds response, error, attempts and the time of the last call; a row that comes with a response keeps
     it and is not asked. With ``tries`` above 1 a refusal waits one unit, a rate
     limit one unit and then twice that; any other error ends the tries at once.
-    ``threads`` calls run at a time in a task; ``partitions`` sets the number of
+    ``threads`` calls run at a time in a task, a slow one holds up no other, and
+    rows leave the task by ``ready``, as they are answered. ``rate`` bounds the
+    calls per second of all tasks together (by the clocks of their machines); a
+    task that meets a rate limit slows down and recovers. ``partitions`` sets the number of
     tasks over which rows are spread by the columns ``by`` (None: the cores of
     the cluster, 0: the rows stay where they are).
     """
@@ -90,7 +166,8 @@ def model_map(
         *prompts.schema.fields, T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
         T.StructField("asked_at", T.TimestampType()),
     ])
-    return prompts.mapInPandas(_caller(make_model, tries, wait, threads), schema)
+    tasks = (partitions or prompts.rdd.getNumPartitions()) if rate else 1
+    return prompts.mapInPandas(_caller(make_model, tries, wait, threads, rate, tasks, ready), schema)
 
 
 def answered(
@@ -187,39 +264,81 @@ def embed_map(
     column: str = "embed_text",
     tries: int = fixed.MAX_TRIES,
     wait: float = 1.0,
+    batch_bytes: int = 1 << 18,
+    rate: float | None = None,
 ) -> DataFrame:
     """A vector for each distinct text, or NULL and the error.
 
-    A rate limit is waited for as in ``model_map``. A batch that fails for good
-    is asked again text by text, so one bad text costs its own vector only.
+    A call takes texts up to ``batch_bytes`` together (a longer text goes alone).
+    A batch that fails is halved and asked again, so one bad text among n costs
+    its own vector and about 2 log2 n calls. A rate limit is waited for as in
+    ``model_map`` and halves what goes into a call, the batch that met it too; each call that succeeds adds
+    an eighth again, up to ``batch_bytes``. What stays limited after all tries, each with half as much, is given
+    up together, not asked text by text. ``rate`` bounds the calls per second of all tasks.
     """
+    distinct = texts.select(column).distinct()
+    tasks = distinct.rdd.getNumPartitions() if rate else 1
+    pace, is_limit = _tools()
+
     def run(batches):
         import time
 
-        embed = make_embedder()
+        import pandas as pd
+        from pyspark import TaskContext
 
-        def asked(some):
-            for attempt in range(1, tries + 1):
-                try:
-                    return embed(some), None
-                except Exception as error:  # the row keeps it
-                    told = str(error)
-                    if attempt == tries or not ("429" in told or "rate limit" in told.lower()):
-                        return None, f"{type(error).__name__}: {told}"
-                    time.sleep(wait * 2 ** (attempt - 1))
+        embed, task = make_embedder(), TaskContext.get().partitionId()
+        turn, told = pace(rate, tasks, wait)
+        room = batch_bytes
 
+        def asked(some):
+            """Vectors, or the error and whether it was a limit."""
+            nonlocal room
+            turn(task)
+            try:
+                vectors = embed(some)
+                told(False)
+                room = min(batch_bytes, room + batch_bytes // 8)
+                return vectors, None, False
+            except Exception as error:  # the row keeps it
+                limited = is_limit(error)
+                told(limited)
+                if limited:
+                    room = max(1, room // 2)
+                return None, f"{type(error).__name__}: {error}", limited
+
+        def halved(some):
+            """(text, vector, error) of each; halves of a failed batch are asked until the bad texts stand alone."""
+            todo = [(some, 1)]
+            while todo:
+                part, attempt = todo.pop()
+                vectors, error, limited = asked(part)
+                if error is None:
+                    yield from ((t, v, None) for t, v in zip(part, vectors))
+                elif limited and attempt == tries or not limited and len(part) == 1:
+                    yield from ((t, None, error) for t in part)
+                else:
+                    if limited:
+                        time.sleep(wait * 2 ** (attempt - 1))
+                        attempt += 1
+                    middle = -(-len(part) // 2)
+                    todo += [(p, attempt) for p in (part[middle:], part[:middle]) if p]
+
+        def frame(some):
+            return pd.DataFrame(list(halved(some)), columns=[column, "embedding", "error"])
+
+        held, size = [], 0
         for batch in batches:
-            some = list(batch[column])
-            vectors, error = asked(some)
-            if error is None:
-                errors = [None] * len(some)
-            else:
-                single = [asked([text]) for text in some] if len(some) > 1 else [(None, error)]
-                vectors, errors = [v[0] if v else None for v, _ in single], [e for _, e in single]
-            batch["embedding"], batch["error"] = list(vectors), errors
-            yield batch
-
-    return texts.select(column).distinct().mapInPandas(run, f"{column} string, embedding array<float>, error string")
+            for text in batch[column]:
+                n = len((text or "").encode())
+                if held and size + n > room:
+                    yield frame(held)
+                    held, size = [], 0
+                held.append(text)
+                size += n
+        if held:
+            yield frame(held)
+
+    return distinct.mapInPandas(run, f"{column} string, embedding array<float>, error string")
 
 
 def call_log_rows(calls: DataFrame, worker_id: Column, model_name: Column) -> DataFrame:
