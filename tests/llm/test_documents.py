@@ -1,7 +1,9 @@
 """Operators on documents against plain versions, on odd texts and a given table."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textgraph.llm import decontaminate, language, licences, minhash, mixing, pii, queries, secret_scan, suffix_dedup
+from textgraph.llm import decontaminate, language, licences, minhash, mixing, pii, queries, secret_scan, spans, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,6 +233,49 @@ def test_secrets_of_the_method(spark):
     assert kinds == ["github", "private_key", "slack", "jwt", "stripe", "google"]
 
 
+def random_text(seed, n):
+    rng = random.Random(seed)
+    parts = ["me@example.org", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "word", "é", "\U0001f600", "mail to", "x" * 50, "\n", "ssn 123-45-6789", "999.1.1.1"]
+    return " ".join(rng.choice(parts) for _ in range(n))
+
+
+def plain_mask(text):
+    at, out = 0, []
+    for start, _, end, kind in sorted(brute.pii_base(text)):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+            at = end
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_texts_with_many_matches(spark, monkeypatch):
+    """Chunks of matches and pieces of text, some of each, against plain versions."""
+    monkeypatch.setattr(spans, "CHUNK", 7)
+    monkeypatch.setattr(spans, "PIECE", 5)
+    texts = [random_text(n, size) for n, size in enumerate([0, 1, 5, 6, 7, 8, 30, 300, 900])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = [k for k in pii.KINDS if k.base]
+    for r in pii.summary(pii.find_pii(df, base), base).collect():
+        assert r["spans"] == brute.spans_joined(brute.pii_base(texts[r["doc_id"]]))
+    for r in pii.masked(df, base).collect():
+        assert r["text"] == plain_mask(texts[r["doc_id"]])
+    # What is near a match may hold other matches: both numbers have their word before them.
+    near = spark.createDataFrame([(1, "ssn 123-45-6789, 123-45-6788 and 123-45-6787" + " " * 40 + "123-45-6786")], "doc_id long, text string")
+    assert pii.summary(pii.find_pii(near)).first()["spans"].count("ssn:") == 3
+
+
+def test_time_follows_the_matches(spark):
+    """400,000 matches in one text."""
+    n = 400_000
+    one = lambda part: spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(part), n).alias("text"))
+    start = time.time()
+    assert pii.summary(pii.find_pii(one("ab@cd.ef "))).first()["n_email"] == n
+    assert pii.masked(one("ab@cd.ef ")).select(F.md5("text")).first()[0] == hashlib.md5(b"[EMAIL] " * n).hexdigest()
+    assert secret_scan.summary(secret_scan.find_secrets(one("0123456789abcdef0123\n"))).first()["n_hex"] == n
+    assert time.time() - start < 300  # the squares of these took hours
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") == []
     assert secret_scan.trigram_query("abcd|xyz") == [[["abc", "bcd"], ["xyz"]]]

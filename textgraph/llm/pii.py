@@ -99,21 +99,19 @@ def find_pii(documents: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     for n, kind in enumerate(kinds):
         rows = rows.withColumn(f"_m{n}", S.matches(text, kind.pattern, F.contains(text, F.lit(kind.needs)) if kind.needs else None))
     for n, kind in enumerate(kinds):
-        found.append(_confirmed(text, S.places(text, kind.pattern, F.col(f"_m{n}")), kind, n))
+        found.append(_confirmed(S.places(text, kind.pattern, F.col(f"_m{n}"), NEAR), kind, n))
     return rows.withColumn("spans", S.in_order(found)).drop(*(f"_m{n}" for n in range(len(kinds))))
 
 
-def _confirmed(text: Column, places: Column, kind: Kind, rank: int) -> Column:
+def _confirmed(places: Column, kind: Kind, rank: int) -> Column:
     if kind.check is not None:
         places = F.filter(places, lambda p: kind.check(p["text"]))
-    spans = S.as_spans(places, kind.name, rank, lambda p: _score(text, p, kind))
+    spans = S.as_spans(places, kind.name, rank, lambda p: _score(p, kind))
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
 
-def _score(text: Column, place: Column, kind: Kind) -> Column:
-    begin = F.greatest(place["start"] - NEAR, F.lit(0))
-    before = F.substring(text, (begin + 1).cast("int"), (place["start"] - begin).cast("int"))
-    raised = F.lower(before).rlike(rf"(?:^|[^a-z])(?:{kind.context})")
+def _score(place: Column, kind: Kind) -> Column:
+    raised = F.lower(place["before"]).rlike(rf"(?:^|[^a-z])(?:{kind.context})")
     return F.least(F.lit(1.0), F.lit(kind.confidence) + F.when(raised, RAISED).otherwise(0.0))
 
 

@@ -114,8 +114,8 @@ def candidates(documents: DataFrame, queries: dict[str, list]) -> DataFrame:
         for s, string in enumerate(clause) for trigram in string
     ]
     wanted = spark.createDataFrame(terms, "kind string, clause int, string int, trigram string, need int, clauses int")
-    low = F.lower(F.col("text"))
-    present = F.filter(F.array(*map(F.lit, sorted({t[3] for t in terms}))), lambda t: F.contains(low, t))
+    trigrams = F.array(*map(F.lit, sorted({t[3] for t in terms})))
+    present = S.bound(F.lower(F.col("text")), lambda low: F.filter(trigrams, lambda t: F.contains(low, t)))
     postings = documents.select("doc_id", F.explode(present).alias("trigram"))
     met = (
         postings.join(F.broadcast(wanted), "trigram")  # a row per rule and trigram, fixed by the rules

@@ -4,17 +4,22 @@
 their lengths in code points add up to the places. Both find matches from left to
 right without overlap. Patterns are Java's.
 
-The places of one text are added up inside its row, so memory goes with the
-matches of one text; the patterns used admit few spans that then fail.
+The places of one text are added up inside its row: in chunks of ``CHUNK`` matches,
+whose sums are added up in turn, since an array that grows by one is copied each
+time. Text at a place is cut from pieces of ``PIECE`` characters, since a place is
+counted from the start of a text. So time follows the text and its matches. What
+is used more than once inside a lambda is bound to a variable by ``bound``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-PLACE = "array<struct<start:long,end:long,text:string>>"
+CHUNK, PIECE = 1024, 1024
+PLACE = "array<struct<start:long,end:long,text:string,before:string>>"
 SPAN = "array<struct<start:long,rank:int,end:long,kind:string,score:double>>"
 
 
@@ -29,21 +34,48 @@ def matches(text: Column, pattern: str, where: Column | None = None) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def places(text: Column, pattern: str, found: Column) -> Column:
-    """The places of matches that ``matches`` has found in the text."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunks(z: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the first index of each chunk of an array that is not empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda j: use(j * CHUNK))
+
+
+def places(text: Column, pattern: str, found: Column, near: int = 0) -> Column:
+    """The places of matches that ``matches`` has found in the text, each with the ``near`` characters before it."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(PLACE).alias("done"))
+    items = F.zip_with(gaps, found, lambda g, m: F.struct(
+        F.length(g).cast("long").alias("gap"), _last(g, near).alias("tail"), m.alias("text")))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["text"])
+        end, before = begin + F.length(x["text"]), _last(F.concat(acc["before"], x["tail"]), near)
+        place = F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"), before.alias("before"))
         return F.struct(
-            end.alias("at"),
-            F.array_append(acc["done"], F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("done"),
-        )
+            end.alias("at"), _last(F.concat(before, x["text"]), near).alias("before"), F.array_append(acc["done"], place).alias("done"))
+
+    def chunk(z: Column, first: Column) -> Column:
+        # A match has a character at least, so so many matches before hold what is near.
+        back = F.greatest(first - near, F.lit(0))
+        lead = F.aggregate(F.slice(z, back + 1, first - back), F.lit(""), lambda t, x: _last(F.concat(t, x["tail"], x["text"]), near))
+        start = F.struct(F.lit(0).cast("long").alias("at"), lead.alias("before"), F.array().cast(PLACE).alias("done"))
+        return F.aggregate(F.slice(z, first + 1, CHUNK), start, step, lambda acc: F.struct(acc["at"].alias("size"), acc["done"].alias("done")))
+
+    def moved(acc: Column, c: Column) -> Column:
+        done = F.transform(c["done"], lambda p: F.struct(
+            (p["start"] + acc["at"]).alias("start"), (p["end"] + acc["at"]).alias("end"), p["text"].alias("text"), p["before"].alias("before")))
+        return F.struct((acc["at"] + c["size"]).alias("at"), F.array_append(acc["done"], done).alias("done"))
 
-    zipped = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("text")))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["done"])).otherwise(F.array().cast(PLACE))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{PLACE}>").alias("done"))
+    whole = bound(items, lambda z: F.flatten(F.aggregate(chunks(z, lambda first: chunk(z, first)), none, moved, lambda acc: acc["done"])))
+    return F.when(F.size(found) > 0, whole).otherwise(F.array().cast(PLACE))
+
+
+def _last(text: Column, n: int) -> Column:
+    return F.substring(text, -n, n) if n else F.lit("")
 
 
 def as_spans(found: Column, kind: str, rank: int, score=lambda place: F.lit(1.0)) -> Column:
@@ -72,19 +104,37 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def covered_before(spans: Column) -> Column:
+    """For each span by start the largest end of those before it, 0 for the first; and that of all behind them."""
+    def chunk(first: Column) -> Column:
+        start = F.array(F.lit(0).cast("long"))
+        return F.aggregate(
+            F.slice(spans, first + 1, CHUNK), start, lambda acc, s: F.array_append(acc, F.greatest(F.element_at(acc, -1), s["end"])))
+
+    def joined(acc: Column, ends: Column) -> Column:
+        so_far = F.element_at(F.element_at(acc, -1), -1)
+        return F.array_append(acc, F.transform(F.slice(ends, 2, CHUNK), lambda e: F.greatest(e, so_far)))
+
+    return F.flatten(F.aggregate(chunks(spans, chunk), F.array(F.array(F.lit(0).cast("long"))), joined))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; what overlaps becomes one mask."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["done"].alias("done"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["done"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("done")))
+    def cut(v: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        several = F.array_join(F.slice(v["pieces"], first + 1, last - first + 1), "")
+        near = F.when(first == last, F.get(v["pieces"], first)).otherwise(several)
+        return F.when(b > a, F.substring(near, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def done(v: Column) -> Column:
+        parts = F.zip_with(v["spans"], F.slice(v["before"], 1, F.size(v["spans"])), lambda s, at: F.when(
+            s["start"] >= at, F.concat(cut(v, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut(v, F.element_at(v["before"], -1), F.length(text).cast("long")))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    held = bound(spans, lambda z: F.struct(pieces.alias("pieces"), z.alias("spans"), covered_before(z).alias("before")))
+    return F.when(F.size(spans) > 0, bound(held, done)).otherwise(text)
 
 
 def any_of(conditions: list[Column]) -> Column:
