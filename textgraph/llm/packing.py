@@ -35,6 +35,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -45,6 +46,8 @@ from textgraph.session import run_folder, stage
 TOKENS, END, LEAST = 4096, 2, 32
 WIDTH = 4  # bytes of an id
 SPACE = re.compile("[ \t\n\r]")
+MARK = "\0"
+MARKED = f" {MARK} "
 SLICE = 1 << 20  # characters of a text read at once
 WORDS, WORD_BYTES = 1 << 19, 1 << 26  # words a task remembers, and their ids
 BATCH = 1 << 24  # bytes of ids written at once
@@ -217,6 +220,10 @@ def places(groups: Iterable[Group]) -> tuple[list[tuple], int]:
     return out, sequence
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, f"<u{WIDTH}").tobytes()
+
+
 @lru_cache(maxsize=1)
 def _loaded(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -230,6 +237,8 @@ class Words:
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known, self.size = _loaded(path), {"": b""}, 0
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
 
     def ids(self, text: str) -> bytes:
         out, at = [], 0
@@ -246,13 +255,27 @@ class Words:
             self.known, self.size = {"": b""}, 0
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids = b"".join(i.to_bytes(WIDTH, "little") for i in found.ids)
-                self.known[word] = ids
-                self.size += len(ids) + len(word)
+            self._learn([w for w in new if MARK not in w])
+            for word in new:
+                if word not in self.known:
+                    self._keep(word, _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids))
         return b"".join(map(self.known.__getitem__, words))
 
 
+    def _learn(self, words: list[str]) -> None:
+        """Many words as one text, with a mark between them that is one token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([MARKED.join(words)], add_special_tokens=False)[0].ids, f"<u{WIDTH}")
+        ends = np.flatnonzero(ids == self.mark).tolist()
+        if len(ends) == len(words) - 1:  # else they are encoded one by one
+            raw = ids.tobytes()
+            for word, a, b in zip(words, [-1, *ends], [*ends, len(ids)]):
+                self._keep(word, raw[WIDTH * (a + 1) : WIDTH * b])
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += len(ids) + len(word)
+
+
 def _tokens(path: str, tokens: int, end: int):
     """Ids of each document, its full pieces and remainder, and how many of the same the task met before."""
 
