@@ -39,7 +39,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
-from itertools import accumulate
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -88,74 +88,124 @@ def _byte_of_letter() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + n): b for n, b in enumerate(other)}}
 
 
+class _Loaded:
+    """Both tokenizers, the bytes of their tokens, and ids as text with what may follow them."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.encode_special_tokens = True
+        letters = _byte_of_letter()
+        self.bytes_a = {
+            n: bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry, n in self.a.get_vocab().items()}
+        pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{path_b}: a piece with a space behind another character; units cannot be cut at spaces")
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
+        most = max(max(self.bytes_a) + 1, len(pieces))
+        self.size_a = np.array([len(self.bytes_a.get(n, b"")) for n in range(most)], np.int64)
+        self.size_b = np.array([len(p) for p in self.bytes_b], np.int64)
+        self.text_comma, self.text_bar, self.text_end = (np.array([f"{n}{c}" for n in range(most)], object) for c in ",|;")
+
+
 @lru_cache(maxsize=1)
-def _loaded(path_a: str, path_b: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-    a.encode_special_tokens = True
-    letters = _byte_of_letter()
-    bytes_a = {n: bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry, n in a.get_vocab().items()}
-    pieces = [b.id_to_piece(n) for n in range(b.get_piece_size())]
-    if any("▁" in p.lstrip("▁") for p in pieces):
-        raise ValueError(f"{path_b}: a piece with a space behind another character; units cannot be cut at spaces")
-    bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
-    return a, b, bytes_a, bytes_b
-
-
-def aligned(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[list[str], list[int]]:
-    """Groups as text, and linked pairs as ``a * 2^32 + b``, of tokens that cover the same bytes."""
-    groups, pairs, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    while i < len(a):
-        pairs.append(a[i] << 32 | b[j])
-        end_a, end_b = ends_a[i], ends_b[j]
-        if end_a < end_b:
-            i += 1
-        elif end_b < end_a:
-            j += 1
-        else:
-            if i == from_i and j == from_j:
-                groups.append(f"{a[i]}|{b[j]}")
-            else:
-                groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-            from_i = i = i + 1
-            from_j = j = j + 1
-    return groups, pairs
+def _loaded(path_a: str, path_b: str) -> _Loaded:
+    return _Loaded(path_a, path_b)
+
+
+def aligned(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What two tokenizations of the same bytes have in common.
+
+    For each token of A how many of B overlap it, and these pairs as ``a * 2^32 + b``; for each token of both whether a
+    group ends with it; the place of each token where A's tokens of a group come before B's.
+    """
+    until = np.searchsorted(ends_b, ends_a)  # the token of B that holds A's last byte
+    begin = np.searchsorted(ends_b, np.r_[0, ends_a[:-1]], "right")
+    n = until - begin + 1
+    pairs = np.repeat(a, n) << 32 | b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)]
+    cut_a, cut_b = ends_b[until] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    before_b = np.r_[0, np.cumsum(np.bincount(group_b))]
+    upto_a = np.cumsum(np.bincount(group_a))
+    return n, pairs, cut_a, cut_b, np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + upto_a[group_b]
 
 
 class Units:
     """The units a task remembers, by number: tokens of both kinds, groups, links; whether both give the bytes back."""
 
     def __init__(self, path_a: str, path_b: str, limits: Limits = LIMITS) -> None:
-        self.limits = limits
-        self.a, self.b, self.bytes_a, self.bytes_b = _loaded(path_a, path_b)
+        self.limits, self.known = limits, _loaded(path_a, path_b)
+        self.a, self.b = self.known.a, self.known.b
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.groups, self.good, self.pairs = [], [], [], [], [], [], array("q")
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.pairs = (array("q") for _ in range(5))
+        self.groups: list[str] = []
+        self.good: list[bool] = []
 
     def full(self) -> bool:
         return len(self.number) > self.limits.units or len(self.pairs) > self.limits.unit_links
 
     def learn(self, units: list[str]) -> None:
+        # Units without white space at their ends, one after another, are a text that is cut into just these.
+        clean = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
+        if clean and not self._learn_joined(clean):
+            clean = []
+        if len(clean) < len(units):
+            known = set(clean)
+            self._learn_each([u for u in units if u not in known])
+
+    def _learn_joined(self, units: list[str]) -> bool:
+        """Units by one call; not if the tokenizers do not give the bytes back, since it is open then for which unit."""
+        text = " ".join(units)
+        raw = (" " + text).encode()
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join(map(self.known.bytes_b.__getitem__, b)) != raw or b"".join(map(self.known.bytes_a.__getitem__, a)) != raw:
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        ends_a, ends_b = np.cumsum(self.known.size_a[a]), np.cumsum(self.known.size_b[b])
+        self._add(units, a, ends_a, np.diff(np.searchsorted(ends_a, ends) + 1, prepend=0), b, ends_b, np.diff(np.searchsorted(ends_b, ends) + 1, prepend=0))
+        return True
+
+    def _learn_each(self, units: list[str]) -> None:
         spaced = [" " + u for u in units]
-        bytes_a, bytes_b = self.bytes_a, self.bytes_b
-        for unit, whole, a, b in zip(units, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(units, num_threads=1)):
-            a = a.ids
-            parts_a, parts_b, raw = [bytes_a[t] for t in a], [bytes_b[t] for t in b], whole.encode()
-            good = b"".join(parts_a) == raw and b"".join(parts_b) == raw
-            groups, pairs = aligned(a, list(accumulate(map(len, parts_a))), b, list(accumulate(map(len, parts_b)))) if good else ([], [])
-            self.number[unit] = len(self.good)
-            self.good.append(good)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(len(groups))
-            self.n_links.append(len(pairs))
-            self.groups.append(";".join(groups))
-            self.pairs.extend(pairs)
+        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_b = self.b.encode(units, num_threads=1)
+        bytes_a, bytes_b, good = self.known.bytes_a, self.known.bytes_b, []
+        for whole, a, b in zip(spaced, ids_a, ids_b):
+            raw = whole.encode()
+            good.append(b"".join([bytes_b[t] for t in b]) == raw and b"".join([bytes_a[t] for t in a]) == raw)
+        if any(good):
+            a, b = (np.array(list(chain.from_iterable(compress(ids, good))), np.int64) for ids in (ids_a, ids_b))
+            n_a, n_b = (np.array(list(map(len, compress(ids, good)))) for ids in (ids_a, ids_b))
+            self._add(list(compress(units, good)), a, np.cumsum(self.known.size_a[a]), n_a, b, np.cumsum(self.known.size_b[b]), n_b)
+        bad = [u for u, g in zip(units, good) if not g]
+        if bad:
+            self._named(bad, False, np.zeros((4, len(bad)), np.int64), [""] * len(bad))
+
+    def _add(self, units: list[str], a: np.ndarray, ends_a: np.ndarray, n_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, n_b: np.ndarray) -> None:
+        """Both tokenizations of units one after another: they cover the same bytes and end together with each unit."""
+        n, pairs, cut_a, cut_b, place_a, place_b = aligned(a, ends_a, b, ends_b)
+        first = np.cumsum(n_a) - n_a
+        sizes = np.stack([n_a, n_b, np.add.reduceat(cut_a.astype(np.int64), first), np.add.reduceat(n, first)])
+        text = np.empty(len(a) + len(b), object)
+        text[place_a] = np.where(cut_a, self.known.text_bar[a], self.known.text_comma[a])
+        text[place_b] = np.where(cut_b, self.known.text_end[b], self.known.text_comma[b])
+        text, end = text.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.pairs.frombytes(pairs.tobytes())
+        self._named(units, True, sizes, ["".join(text[x:y])[:-1] for x, y in zip([0, *end], end)])
+
+    def _named(self, units: list[str], good: bool, sizes: np.ndarray, groups: list[str]) -> None:
+        self.number.update(zip(units, range(len(self.good), len(self.good) + len(units))))
+        self.good += [good] * len(units)
+        self.groups += groups
+        for column, values in zip((self.n_a, self.n_b, self.n_groups, self.n_links), sizes):
+            column.frombytes(values.astype(np.int64).tobytes())
 
     def numbers(self, text: str) -> list[int]:
         units = CUT.split(text)
@@ -241,15 +291,15 @@ class _Segments:
         for n, numbers in enumerate((yield from self._pieces(text)) if text else ()):
             if callable(numbers):
                 numbers = numbers()
-            for k, column in enumerate((known.n_a, known.n_b, known.n_groups, known.n_links)):
-                sums[k] += sum(map(column.__getitem__, numbers))
+            own, times = np.unique(np.array(numbers, np.int64), return_counts=True)
+            counts = [int((np.frombuffer(column, np.int64)[own] * times).sum()) for column in (known.n_a, known.n_b, known.n_groups, known.n_links)]
+            sums = [x + y for x, y in zip(sums, counts)]
             groups = (";" if n else "") + ";".join(map(known.groups.__getitem__, numbers))
             digest.update(groups.encode())
             if self.keep:
                 parts.append(groups)
-            own, times = np.unique(np.array(numbers, np.int64), return_counts=True)
             self.held.append((self.slot, own, times))
-            self.links += sum(map(known.n_links.__getitem__, own.tolist()))
+            self.links += int(np.frombuffer(known.n_links, np.int64)[own].sum())
             if self.links > self.limits.held or known.full():
                 yield from self.postings()
         self.segment_links += sums[3]
@@ -275,7 +325,7 @@ class _Segments:
             units = np.concatenate([own for _, own, _ in self.held])
             times = np.concatenate([t for _, _, t in self.held])
             slot = np.repeat([s for s, _, _ in self.held], [len(own) for _, own, _ in self.held])
-            sizes = np.array(self.units.n_links, np.int64)
+            sizes = np.array(self.units.n_links)
             pairs, place = np.unique(np.array(self.units.pairs), return_inverse=True)
             n = sizes[units]
             at = np.repeat((np.cumsum(sizes) - sizes)[units] - (np.cumsum(n) - n), n) + np.arange(n.sum())
