@@ -167,6 +167,8 @@ def test_language(spark, odd, empty):
     assert len(rows) == odd.count() and {r["lang_pred"] for r in rows} == {"en", "de", "und"}
     assert {r["text"] for r in rows if r["lang_pred"] == "und"} == {None, "", "  \n", "12345 !!"} and all(0 <= r["score"] <= 1 for r in rows)
     assert language.known(odd, model).schema == odd.schema and language.known(odd, model).count() == sum(r["lang_pred"] != "und" for r in rows)
+    filled = sorted(((r["doc_id"], r["text"], r["lang"]) for r in language.known(odd, model).collect()), key=repr)
+    assert filled == sorted(((r["doc_id"], r["text"], r["lang"] or r["lang_pred"]) for r in rows if r["lang_pred"] != "und"), key=repr)
     nothing = language.fit(empty)
     assert nothing.langs == [] and language.known(odd, nothing).count() == language.known(odd, model).count()
     assert {r["lang_pred"] for r in language.predict(odd, nothing).collect()} == {"und"}

@@ -177,17 +177,26 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def known(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows whose text has a language; with no language learned, those with a letter."""
+    """The rows whose text has a language, a null ``lang`` filled with the predicted one.
+
+    A ``lang`` that is given stays. With no language learned, rows with a letter
+    are kept as they are. The columns are those of the input.
+    """
     sent, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+    given = documents.columns.index("lang") if "lang" in documents.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = _tables()[1]
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            if sent.value.langs:
-                keep = [lang != UNDECIDED for lang in sent.value.predict(texts)[0]]
-            else:
-                keep = [bool(letter[_points(t or "")].any()) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not sent.value.langs:
+                yield batch.filter(pa.array([bool(letter[_points(t or "")].any()) for t in texts], pa.bool_()))
+                continue
+            found = sent.value.predict(texts)[0]
+            if given is not None:
+                own = batch.column(given)
+                filled = pa.array([f if g is None else g for f, g in zip(found, own.to_pylist())], own.type)
+                batch = batch.set_column(given, batch.schema.field(given), filled)
+            yield batch.filter(pa.array([lang != UNDECIDED for lang in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
