@@ -11,7 +11,9 @@ the automaton walks runs of known words. Work per file is linear in its words;
 the automaton is built from the fixed texts below and travels with the function.
 
 Defined results: a null or empty text has no words, no labels and score 0; the
-score is the largest share of a template's words that one chain covers (0 to 1).
+score is the largest share of a template's words that one chain covers (0 to 1),
+words of the file that stand between its matches counted like missing ones. Of
+spans at one place the one that covers most words tells the label.
 Repeated rows and repeated ids are judged row by row; extra columns are ignored.
 """
 
@@ -30,27 +32,60 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+# Names of licence families.
+GNU = {
+    "gnu general public license": "gpl", "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl", "gnu affero general public license": "agpl",
+}
+CREATIVE_COMMONS = {
+    "attribution": "cc-by", "attribution noncommercial": "cc-by-nc", "attribution sharealike": "cc-by-sa",
+    "attribution noderivatives": "cc-by-nd", "attribution noncommercial sharealike": "cc-by-nc-sa",
+    "attribution noncommercial noderivatives": "cc-by-nc-nd",
+}
 # Notices and opening words of well-known public licences.
-TEMPLATES = [
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-            "public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
+NOTICES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in "
                "compliance with the license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
             "documentation files the software to deal in the software without restriction"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
             "the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the "
+            "following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+            "following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+
+
+def _templates() -> list[tuple[str, str]]:
+    """The notices, and those that the names of a family make."""
+    made = list(NOTICES)
+    for name, label in GNU.items():
+        made += [(label, name)] if label != "gpl" else []  # that name is a phrase
+        made += [
+            (label, f"this work is licensed under the {name} version 3"),
+            (label, f"this program is free software you can redistribute it and or modify it under the terms of the {name} as "
+                    "published by the free software foundation"),
+        ]
+    for name, label in CREATIVE_COMMONS.items():
+        apart = name.replace("noncommercial", "non commercial").replace("sharealike", "share alike").replace("noderivatives", "no derivatives")
+        for written in sorted({name, apart}):
+            whole = f"creative commons {written} 4 0 international license"
+            made += [(label, whole), (label, f"this work is licensed under a {whole}")]
+        if label != "cc-by":  # that one is a phrase
+            made.append((label, f"licensed under {label.replace('-', ' ')} 4 0"))
+    return made
+
+
+TEMPLATES = _templates()
 MIN_MATCH = 3  # words of a match that counts for a chain
 MIN_COVER = 0.75  # share of a template's words for its label
 MAX_GAP = 8  # words of the file that may stand between two matches of a chain
@@ -122,6 +157,7 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]]):
         self.phrases = [(words(p), label) for p, label in phrases.items()]
         self.templates = [(label, words(t)) for label, t in templates]
+        self.least = min([2, *(len(p) for p, _ in self.phrases)])  # known words in a row that can matter
         self.automaton = SuffixAutomaton([t for _, t in self.templates] + [p for p, _ in self.phrases])
         at = {self.automaton.state_of(p): n for n, (p, _) in enumerate(self.phrases)}
         # Per state: the phrases whose state lies on its suffix path.
@@ -142,11 +178,11 @@ class Scanner:
         known = np.flatnonzero(ids)
         base: list[tuple[int, int, int]] = []
         matches: list[tuple[int, int, int]] = []  # last word, words, state
-        if len(known) < 2:
+        if len(known) < self.least:
             return len(found), base, []
         cuts = np.flatnonzero(np.diff(known) != 1) + 1
         starts, stops = known[np.r_[0, cuts]], known[np.r_[cuts - 1, len(known) - 1]] + 1
-        long = stops - starts >= 2
+        long = stops - starts >= self.least
         following, link, length, path = a.next, a.link, a.length, self.path
         for start, stop in zip(starts[long].tolist(), stops[long].tolist()):
             state = size = 0
@@ -164,10 +200,13 @@ class Scanner:
                         base.append((at - len(self.phrases[n][0]) + 1, at, n))
             if size >= MIN_MATCH:
                 matches.append((stop - 1, size, state))
-        return len(found), base, self._chains(matches)
+        return len(found), base, settled(self._chains(matches))
+
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float, int]]:
+        """Chains of matches in order of file and template: label, first and last word, share, covered words.
 
-    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches in order of file and template, best share per template and place."""
+        A word of the file between the matches of a chain counts like a word of the template that is missing.
+        """
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for last, size, state in matches:
             for n, end in self.automaton.ends[state]:
@@ -188,10 +227,27 @@ class Scanner:
                 done += [c for c in open_ if c[1] + MAX_GAP < start]
                 open_ = [c for c in open_ if c[1] + MAX_GAP >= start] + [best]
             for first, stop, _, covered in done + open_:
-                spans.append((label, first, stop - 1, min(1.0, covered / len(template))))
+                between = stop - first - covered
+                spans.append((label, first, stop - 1, min(1.0, covered / (len(template) + between)), covered))
         return spans
 
 
+def settled(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+    """Spans without those inside one of another label that covers more words, or as many of a shorter template.
+
+    So the word that tells two licences apart decides, and a notice gets its own label. Spans reach no
+    farther than a template and its gaps, so few are open at a word.
+    """
+    out, open_ = [], []
+    for span in sorted(spans, key=lambda s: (s[1], -s[2], -s[4], -s[3])):
+        label, first, last, share, covered = span
+        open_ = [s for s in open_ if s[2] >= first]
+        if not any(s[0] != label and s[2] >= last and s[3] >= MIN_COVER and (s[4], s[3]) > (covered, share) for s in open_):
+            out.append(span[:4])
+        open_.append(span)
+    return out
+
+
 RESULT = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<label:string,first:long,last:long,share:double>>"
