@@ -80,7 +80,8 @@ def definition_short(definitions: DataFrame) -> DataFrame:
             lambda p: F.struct(p["name"], F.struct(p["comments"].alias("comments"), p["ranges"].alias("ranges"))),
         )
     )
-    short = F.to_json(F.struct("label", F.col("parents").alias("subClassOf"), "comments", kept.alias("properties")))
+    some = F.when(F.size(short_properties()) > 0, kept)  # left out where none is left
+    short = F.to_json(F.struct("label", F.col("parents").alias("subClassOf"), "comments", some.alias("properties")))
     return definitions.withColumn("short", short)
 
 

@@ -30,8 +30,8 @@ def repair_loop(
     ``docs`` has doc_id and whatever a prompt needs. ``answer(open, round)``
     gives one row (doc_id, response) per open document, where the response may
     be NULL; ``open`` has the columns of ``docs``, runs, previous_json_ld and
-    previous_output. Answers are read twice, so those of a model are to be a
-    stage table. ``validate(docs)`` gives (doc_id, code, output).
+    previous_output; answers are asked for once. ``validate(docs)`` gives
+    (doc_id, code, output).
 
     Every round is a written table. A round writes the inputs of the documents
     it leaves open, so the next one reads these only and not all inputs again.
@@ -43,9 +43,9 @@ def repair_loop(
     open_docs = docs.withColumns({"runs": F.lit(0), "previous_json_ld": none, "previous_output": none})
     rounds = None
     for number in range(max_runs):
-        answers = extract_documents(answer(open_docs, number)).select(
+        answers = stage(extract_documents(answer(open_docs, number)).select(
             "doc_id", F.lit(number).alias("runs"), "json_ld", "reject_reason"
-        )
+        ), f"{folder}/answers/round={number}")
         checked = validate(answers.filter("json_ld IS NOT NULL").select("doc_id", "json_ld"))
         judged = attempt_state(answers.join(checked, "doc_id", "left"), max_runs)
         route = F.when(F.col("json_ld").isNull(), "reject").otherwise(route_outcome())

@@ -276,7 +276,7 @@ short_props AS (SELECT label, string_agg('"' || property || '":{{' || concat_ws(
 raw_props AS (SELECT label, string_agg('{{' || concat_ws(',', '"label":"' || property || '"', ctext, rtext) || '}}', ',' ORDER BY pos) AS l FROM texts GROUP BY label),
 rendered AS (
   SELECT c.label, '{{"label":"' || c.label || '","subClassOf":["' || array_to_string(parents, '","') || '"]' || coalesce(',"comments":["' || array_to_string(k.l, '","') || '"]', '')
-           || ',"properties":{{' || coalesce(s.l, '') || '}}}}' AS short,
+           || coalesce(',"properties":{{' || s.l || '}}', '') || '}}' AS short,
          '{{"label":"' || c.label || '","uri":"https://schema.org/' || c.label || '","subClassOf":["' || array_to_string(parents, '","') || '"]'
            || coalesce(',"comments":["' || array_to_string(k.l, '","') || '"]', '') || ',"properties":[' || coalesce(r.l, '') || ']}}' AS raw
   FROM class c LEFT JOIN class_comment k ON k.label = c.label LEFT JOIN short_props s ON s.label = c.label LEFT JOIN raw_props r ON r.label = c.label)
