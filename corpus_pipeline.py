@@ -5,6 +5,10 @@ DataFrame. Documents go if they have no language (no letter), if they are not th
 one that stays of their near-duplicates, or if they hold a benchmark passage;
 personal data is masked in the text; the mix repeats and leaves out documents by
 their source's rate. All but the last return the columns of documents.
+
+In every stage a null or empty text counts as one without words, rows repeated with
+one id are judged as the stage's operator says, other columns go along unread, and
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from textgraph.session import run_folder, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; a missing ``lang`` stays missing."""
+    """Documents whose text has a language; a null ``lang`` becomes the predicted one, another stays. Null and empty texts go."""
     return language.known(docs, language.fit(docs.select("doc_id", "text", "lang")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; texts without words and rows without an id stay."""
     return minhash.deduplicated(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark; with an empty benchmark all."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
