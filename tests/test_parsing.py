@@ -1,5 +1,7 @@
 """Edge rows of the text functions, with results written by hand."""
 
+import random
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -100,6 +102,28 @@ def test_json_object(spark):
     assert column(spark, values, text.json_object) == [None, None, None, '{"a": 1}', "{a}{b}", None, "{\n}"]
 
 
+def plain_labels(cell):
+    import ast
+
+    try:
+        found = ast.literal_eval(cell.strip())
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError, AttributeError):
+        return None
+    return [v if v is None else str(v) for v in found] if isinstance(found, list) else None
+
+
+def test_lists_are_read_as_python_reads_them(spark):
+    rng = random.Random(11)
+    items = ["'a'", '"b c"', "''", '""', "None", "'it''s'", r"'a\'b'", r"'\n'", "'é, ]'", '"[x"', "1", "1.5", "True", "['n']", "b'x'", "u'x'", "'a' 'b'", "'''t'''", "None ", "'N\tone'", "'a\nb'"]
+    seps = [",", ", ", " ,\n", ", ,", " "]
+    cells = ["[" + rng.choice(seps).join(rng.choice(items) for _ in range(rng.randrange(5))) + rng.choice(["]", ",]", " ]", "] ", ""]) for _ in range(600)]
+    cells += [None, "", "[]", "[ ]", "[,]", " [ 'a' ] ", "\n['a']\n", " ['a']", "('a',)", "x", "['a'", "['a']]", "[" + "'ab', " * 3000 + "]", "['\x00']", "[None]", "[Nonesuch]"]
+    df = spark.createDataFrame([(n, c) for n, c in enumerate(cells)], "n long, c string")
+    got = {r["n"]: r["labels"] for r in df.select("n", text.read_literal(F.col("c")).alias("labels")).collect()}
+    assert got == {n: plain_labels(c) for n, c in enumerate(cells)}
+    assert df.filter(text.plain_list(F.col("c"))).count() > 50
+
+
 def test_label_literals(spark):
     values = ["['a', 'it\\'s']", '["it\'s"]', "[]", "no list", "'x'", "", None, "['a'"]
     values += ["['a', 'b',]", "['a', None]", "['caf\\xe9']", "['a'] x", " ['a']"]

@@ -60,12 +60,24 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+# A list of quoted texts without escapes, or None: what nearly all cells are.
+_WS, _ITEM = r"[ \t\r\n]*+", r"""(?:'[^'\\\r\n\x00]*+'|"[^"\\\r\n\x00]*+"|None)"""
+PLAIN_LIST = rf"\A{_WS}\[{_WS}(?:{_ITEM}{_WS}(?:,{_WS}{_ITEM}{_WS})*+(?:,{_WS})?)?\]{_WS}\z"
+PLAIN_CHARS = 4000  # longer lists go to Python, since the expression descends per item
+
+
+def plain_list(c: Column) -> Column:
+    """Whether a cell is such a list, of moderate length."""
+    return F.coalesce((F.length(c) <= PLAIN_CHARS) & c.rlike(PLAIN_LIST), F.lit(False))
+
+
 def read_literal(c: Column) -> Column:
     """A list written as a Python literal: ``labels``, NULL where the text is no list.
 
     Quotes, escapes, trailing commas and None are read as Python writes them,
-    which no JSON reader does; one Arrow batch at a time. Other plain values
-    among the labels become text.
+    which no JSON reader does. Plain lists are read by built-in functions, only
+    the others are handed to Python. Other plain values among the labels become
+    text.
     """
     def run(cells: pd.Series) -> pd.Series:
         import ast
@@ -79,9 +91,11 @@ def read_literal(c: Column) -> Column:
                 return None
             return [v if v is None else str(v) for v in found] if isinstance(found, list) else None
 
-        return pandas.Series([labels(cell) for cell in cells], dtype=object)
+        return pandas.Series([None if cell is None else labels(cell) for cell in cells], dtype=object)
 
-    return F.pandas_udf(run, LABELS)(c)
+    items = F.transform(
+        F.regexp_extract_all(c, F.lit(_ITEM), F.lit(0)), lambda x: F.when(x != "None", F.substring(x, F.lit(2), F.length(x) - 2)))
+    return F.when(plain_list(c), items).otherwise(F.pandas_udf(run, LABELS)(F.when(~plain_list(c), c)))
 
 
 def label_literal(c: Column) -> Column:
