@@ -11,7 +11,7 @@ from textgraph.operators import labels as lb, prompts, scoring as sc
 from textgraph.functions import templates
 from textgraph.plans import evaluate as ev
 from textgraph.operators import jsonld as jl
-from textgraph.session import run_folder, spread
+from textgraph.session import run_folder, spread, stage
 from textgraph.sources import sinks
 from textgraph.streaming import incremental as inc
 from workload.fixtures import view
@@ -277,6 +277,9 @@ def evaluate_corrected(spark, sf):
     """
     folder = run_folder(spark, "stream")
     texts, run = arriving(spark, sf, folder)
+    # Joined and grouped once, and dealt to the files as before.
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = stage(texts, f"{folder}/texts").repartition(files, "doc_id")
     drafts = texts.filter("size(gold) > 0").withColumn("proposed", F.col("gold"))
     write_files(drafts, folder, 1)
     run()
