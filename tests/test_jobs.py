@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textgraph.functions import fixed, templates
 from textgraph.operators import model_calls as mc
 from textgraph.plans.text_to_graph import TextToGraph
-from textgraph.session import run_folder
+from textgraph.session import run_folder, stage
 from workload.fixtures import view
 from workload.graph_queries import scripted_model, stores
 from workload.text_queries import shipped, vowel_embedder
@@ -368,3 +368,22 @@ def test_scored_run_in_slices(spark, folder):
     assert spark.read.json(f"{folder}/report/texts_and_labels").count() == 4
     with pytest.raises(ValueError, match="outside the taxonomy"):
         scored_run(data, run, made.taxonomy.limit(1), made.signals, f"{folder}/other", limit=5)
+
+
+def test_tables_that_grow_with_the_texts_are_not_broadcast(spark, monkeypatch):
+    """Tables of repeated texts are small as files only; one of 7 MB did not fit a driver of 1 GB."""
+    from textgraph.plans import repair, schema_mapping, text_to_graph
+
+    plans = []
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, path)
+
+    for module in (repair, schema_mapping, text_to_graph):
+        monkeypatch.setattr(module, "stage", noted)
+    done = run(spark, job(spark))
+    assert len(done) == len(TEXTS)
+    assert any("SortMergeJoin [doc_id" in p for p in plans)
+    met = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin [doc_id" in line]
+    assert all(", LeftSemi, " in line and "class_name" not in line for line in met)  # ids to be repaired, counted before

@@ -16,6 +16,15 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 1024
 
 
+def row_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Rows of two tables that both grow with the texts: a merge join, never a broadcast.
+
+    Left to itself Spark broadcasts by the size of files, and a stage table whose texts
+    repeat is a hundred times that in memory.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a table as JSON text, summed on the executors."""
     if not df.columns:
@@ -40,7 +49,7 @@ def lookup_join(
         return left.join(F.broadcast(lookup), on, how)
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     if how in ("inner", "left_semi"):
-        return left.filter(whole).join(lookup, on, how)
+        return row_join(left.filter(whole), lookup, on, how)
     # The salt is a hash of the row and not a random number, so a lost task that
     # runs again puts its rows where it put them before.
     plain = [
@@ -48,4 +57,4 @@ def lookup_join(
         if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
     ]
     salted = left.withColumn("_salt", F.when(whole, 0).otherwise(F.pmod(F.xxhash64(*plain), F.lit(SALTS))).cast("int"))
-    return salted.join(lookup.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
+    return row_join(salted, lookup.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed, text
+from textgraph.functions.joins import row_join
 from textgraph.session import spread
 
 ENTITY = "array<struct<pos:bigint,name:string,class_name:string,description:string>>"
@@ -96,4 +97,4 @@ def entities_per_class(parsed: DataFrame) -> DataFrame:
 def entities_with_schema(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entities whose class got a definition, grouped per class."""
     mapped = mapping.select("doc_id", "class_name").distinct()
-    return entities_per_class(parsed).join(mapped, ["doc_id", "class_name"], "left_semi")
+    return row_join(entities_per_class(parsed), mapped, ["doc_id", "class_name"], "left_semi")

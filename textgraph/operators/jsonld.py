@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textgraph.functions import text
-from textgraph.functions.joins import lookup_join
+from textgraph.functions.joins import lookup_join, row_join
 from textgraph.operators.labels import reading_signal
 from textgraph.session import spread
 
@@ -54,7 +54,7 @@ def add_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label comes to it. Text that is no JSON object (or repeats a key) gets a
     reject_reason and stays as it is.
     """
-    joined = docs.join(term_lists(labels), "doc_id", "left")
+    joined = row_join(docs, term_lists(labels), "doc_id", "left")
     parsed = joined.withColumn("_v", parsed_object(F.col("json_ld")))
     parsed = parsed.withColumn("_about", F.try_variant_get("_v", "$.about", "variant"))
     # The map read from the text keeps the order of its keys.

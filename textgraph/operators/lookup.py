@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from textgraph.functions import fixed
-from textgraph.functions.joins import lookup_join
+from textgraph.functions.joins import lookup_join, row_join
 from textgraph.session import run_folder, stage
 
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -62,7 +62,7 @@ def _over_blocks(mentions: DataFrame, classes: DataFrame, k: int, blocks: int) -
     best = best.join(classes.select("class_id", "class_label", "comments"), "class_id")
     item = F.struct("rank", "class_id", "class_label", "comments", "score")
     lists = best.groupBy("_row").agg(F.sort_array(F.collect_list(item)).cast(CANDIDATES).alias("candidates"))  # k per mention
-    whole = numbered.join(lists, "_row", "left").drop("_row")
+    whole = row_join(numbered, lists, "_row", "left").drop("_row")
     return whole.withColumn("candidates", F.coalesce("candidates", F.array().cast(CANDIDATES)))
 
 
@@ -206,7 +206,7 @@ def choice_check(topk: DataFrame, choices: DataFrame, keys: list[str]) -> DataFr
     """
     at = F.get("candidates", F.col("selected_number") - 1)["class_label"]
     valid = F.col("selected_number").between(1, fixed.TOP_K)
-    return topk.join(choices, keys, "inner").select(
+    return row_join(topk, choices, keys).select(
         *keys,
         "selected_number",
         F.col("selected_class").alias("chosen"),

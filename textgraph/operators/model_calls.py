@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textgraph.functions import fixed
+from textgraph.functions.joins import row_join
 from textgraph.session import spread
 
 Model = Callable[[str, str], str]
@@ -188,7 +189,7 @@ def answered(
     if stored is not None:
         latest = F.max_by("assistant_response", "created_at") if "created_at" in stored.columns else F.max("assistant_response")
         known = stored.groupBy(*keys).agg(latest.alias("response"))
-        prompts = prompts.join(known, keys, "left")
+        prompts = row_join(prompts, known, keys, "left")
     if make_model is not None:
         return model_map(prompts, make_model, by=keys, **options)
     return prompts.withColumns({
@@ -250,7 +251,7 @@ def choice_or_first(topk: DataFrame, choices: DataFrame, keys: list[str]) -> Dat
     )
     first = F.get("candidates", F.lit(0))["class_label"]
     return (
-        topk.join(chosen, keys, "left")
+        row_join(topk, chosen, keys, "left")
         .withColumn("chosen", F.when(F.col("_number") <= F.size("candidates"), F.col("_name")))
         .withColumn("schema_label", F.coalesce("chosen", first))
         .withColumn("fell_back", F.col("chosen").isNull())

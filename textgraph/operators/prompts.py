@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgraph.functions import fixed, templates, text
-from textgraph.functions.joins import lookup_join
+from textgraph.functions.joins import lookup_join, row_join
 
 
 def embed_text(class_name: Column, description: Column) -> Column:
@@ -81,7 +81,7 @@ def schema_blocks(mapping: DataFrame, entities: DataFrame, definitions: DataFram
     output of ``entities_per_class`` and ``definitions`` holds (label, compact,
     raw). The compact text is made once per class and joined here.
     """
-    used = mapping.join(entities.select("doc_id", "class_name", "names"), ["doc_id", "class_name"], "left")
+    used = row_join(mapping, entities.select("doc_id", "class_name", "names"), ["doc_id", "class_name"], "left")
     defined = definitions.select(F.col("label").alias("schema_label"), "compact", "raw")
     rendered = F.col("compact").isNotNull()
     block = schema_block(

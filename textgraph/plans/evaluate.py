@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from textgraph.functions import fixed
+from textgraph.functions.joins import row_join
 from textgraph.operators.jsonld import document_terms, term_signals
 from textgraph.operators.labels import split_gold_by_signal
 from textgraph.operators.scoring import (
@@ -60,7 +61,7 @@ def evaluate(
         document_terms(own).select("doc_id", "terms", F.coalesce("given", "reject_reason").alias("reject_reason")), f"{folder}/terms"
     )
     met = stage(
-        gold.join(read, "doc_id", "left").withColumn(
+        row_join(gold, read, "doc_id", "left").withColumn(
             "reject_reason", F.when(F.col("terms").isNull(), F.coalesce("reject_reason", F.lit(NO_DOCUMENT))).otherwise(F.col("reject_reason"))
         ), f"{folder}/scored",
     )
@@ -76,7 +77,8 @@ def evaluate(
     first = F.when(F.col("signal_type") == fixed.BELEVING, 0).otherwise(1)
     ordered = F.sort_array(F.collect_list(F.struct(first.alias("o"), "pos", "label")))
     lists = wanted.groupBy("doc_id").agg(F.transform(ordered, lambda l: l["label"]).alias("generated_labels"))
-    results = scored.select(F.col("doc_id").alias("source_id"), "text", "gold_labels").join(
-        lists.withColumnRenamed("doc_id", "source_id"), "source_id", "left"
+    results = row_join(
+        scored.select(F.col("doc_id").alias("source_id"), "text", "gold_labels"),
+        lists.withColumnRenamed("doc_id", "source_id"), "source_id", "left",
     ).withColumn("generated_labels", F.coalesce("generated_labels", F.array().cast("array<string>")))
     return Evaluation(results, rejects, counts, quality_scores(counts))

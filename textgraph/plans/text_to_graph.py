@@ -11,6 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, functions as F
 
 from textgraph.functions import fixed, templates
+from textgraph.functions.joins import row_join
 from textgraph.operators import extraction as ex, jsonld, labels as lb, model_calls as mc, prompts, validation as va
 from textgraph.operators.vocabulary import definition_compact, raw_definition
 from textgraph.plans.repair import final_documents, repair_loop
@@ -172,16 +173,16 @@ class TextToGraph:
         if vectors is None:
             vectors = mc.embed_map(mentions, self.embedder, tries=self.tries, wait=self.wait)
         vectors = stage(
-            vectors.join(mentions.select("embed_text").distinct(), "embed_text", "left_semi"), f"{self.folder}/vectors"
+            row_join(vectors, mentions.select("embed_text").distinct(), "embed_text", "left_semi"), f"{self.folder}/vectors"
         )
         if "error" in vectors.columns:
             failed = vectors.filter("embedding IS NULL").select("embed_text", "error")
             self.dropped_classes = stage(
-                mentions.join(failed, "embed_text").select("doc_id", "class_name", "error"), f"{self.folder}/dropped"
+                row_join(mentions, failed, "embed_text").select("doc_id", "class_name", "error"), f"{self.folder}/dropped"
             )
             vectors = vectors.filter("embedding IS NOT NULL").drop("error")
         topk = stage(with_candidates(mentions, vectors, self.stores.classes, self.folder), f"{self.folder}/topk")
-        asked = prompts.select_prompt(topk.join(texts, "doc_id")).withColumn(
+        asked = prompts.select_prompt(row_join(topk, texts, "doc_id")).withColumn(
             "call_name", F.concat(F.lit(fixed.CALL_SELECT), "class_name")
         )
         calls = self._call("n2", asked, templates.SELECT_SYSTEM, "n2")
@@ -195,7 +196,7 @@ class TextToGraph:
         )
         blocks = prompts.schema_blocks(mapping, ex.entities_with_schema(usable, mapping), defined)
         inputs = stage(
-            texts.join(usable.select("doc_id", "relations"), "doc_id").join(blocks, "doc_id", "left"),
+            row_join(row_join(texts, usable.select("doc_id", "relations"), "doc_id"), blocks, "doc_id", "left"),
             f"{self.folder}/inputs",
         )
         vocabulary = va.prepare_vocabulary(
@@ -212,7 +213,7 @@ class TextToGraph:
 
     def _label(self, texts: DataFrame, done: DataFrame) -> DataFrame:
         offered = lb.offered_labels(self.stores.taxonomy, self.stores.signals)
-        asked = prompts.label_prompt(texts.join(done.select("doc_id"), "doc_id"), offered).withColumn(
+        asked = prompts.label_prompt(row_join(texts, done.select("doc_id"), "doc_id"), offered).withColumn(
             "call_name", F.lit(fixed.CALL_LABELS)
         )
         calls = self._call("n5", asked, templates.LABEL_SYSTEM, "n5")
@@ -224,7 +225,7 @@ class TextToGraph:
         lists = ordered.groupBy("doc_id").agg(F.transform(names, lambda n: n["label"]).alias("labels"))
         unread = answers.filter("answer IS NULL").select("doc_id", F.col("reject_reason").alias("label_reason"))
         return (
-            termed.join(lists, "doc_id", "left").join(unread, "doc_id", "left")
+            row_join(row_join(termed, lists, "doc_id", "left"), unread, "doc_id", "left")
             .withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
             .withColumn("reject_reason", F.coalesce("reject_reason", "label_reason")).drop("label_reason")
         )
@@ -236,9 +237,9 @@ def result_summary(parsed: DataFrame, mapping: DataFrame, final: DataFrame, max_
     classes = mapping.groupBy("doc_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["text"]), "; ").alias("classes")
     )
+    counts = parsed.select("doc_id", "summary", F.size("entities").alias("entities"), F.size("relations").alias("relations"))
     return (
-        parsed.select("doc_id", "summary", F.size("entities").alias("entities"), F.size("relations").alias("relations"))
-        .join(classes, "doc_id", "left").join(final.select("doc_id", "code", "output", "runs"), "doc_id", "left")
+        row_join(row_join(counts, classes, "doc_id", "left"), final.select("doc_id", "code", "output", "runs"), "doc_id", "left")
         .select(
             "doc_id", "summary", "entities", "relations", F.coalesce("classes", F.lit("")).alias("classes"),
             F.when(F.col("code") == 0, "PASSED").otherwise("FAILED").alias("status"),
