@@ -50,6 +50,24 @@ def test_facts(spark):
     }
 
 
+def test_an_object_is_one_row_for_validation(spark):
+    """Types are looked up once per object: a row each, not one per value."""
+    text = json.dumps({
+        "@context": "x", "@type": ["Person", "Robot"], "@id": "#p", "name": ["a", "b"], "age": 1.5, "@odd": 1, "empty": [],
+        "knows": [{"@id": "#q"}, {"@type": "Person", "name": "r"}, {"@type": ["Person"], "@id": "#s"}], "maker": [[{"name": 1}]], "none": {},
+    })
+    rows = jl.nodes(documents(spark, [text, "x"]), ["doc_id"]).collect()
+    got = {(r["doc_id"], r["path"]): (r["types"], r["via"], sorted((e["property"] or "", *e["child_types"]) for e in r["entries"])) for r in rows}
+    assert len(got) == len(rows) and got == {
+        (0, "$"): (["Person", "Robot"], None, [
+            ("",), ("@type",), ("age",), ("knows",), ("knows", "Person"), ("knows", "Person"), ("maker",), ("name",), ("none",)]),
+        (0, "$.knows[1]"): (["Person"], "knows", [("@type",), ("name",)]),
+        (0, "$.knows[2]"): (["Person"], "knows", [("@type",)]),
+        (0, "$.maker[0][0]"): ([], "maker", [("name",)]),
+        (1, None): ([], None, [(jl.INVALID,)]),
+    }
+
+
 def test_deep_documents_are_whole(spark):
     text = '{"a":' * 200 + "1" + "}" * 200
     assert jl.jsonld_triples(documents(spark, [text]), ["doc_id"]).count() == 200

@@ -162,17 +162,13 @@ def facts(docs: DataFrame, keys: list[str], partitions: int | None = None) -> Da
     return spread(docs.select(*keys, "json_ld"), partitions, *keys).mapInArrow(_flatten(list(keys), schema.fieldNames()), schema)
 
 
-def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
-    """The Arrow function; it imports what it needs, so it travels alone."""
+def _parser(deepest: int = MAX_DEPTH):
+    """Makes the reader of documents; as an inner function it travels by value, too."""
 
-    def run(batches):
+    def parser(number: type):
+        """Reads a text as an object, its numbers as ``number`` of their text; None where it is none."""
         import json
 
-        import pyarrow as pa
-
-        class Number(str):
-            """The text of a number, told apart from a string."""
-
         def members(pairs):
             found = dict(pairs)
             if len(found) < len(pairs):
@@ -183,7 +179,7 @@ def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
             raise ValueError(f"{name} is not JSON")
 
         decoder = json.JSONDecoder(
-            object_pairs_hook=members, parse_int=Number, parse_float=Number, parse_constant=no_constant
+            object_pairs_hook=members, parse_int=number, parse_float=number, parse_constant=no_constant
         )
 
         def parse(text):
@@ -191,7 +187,10 @@ def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
                 found = decoder.decode(text or "")
             except (ValueError, RecursionError):
                 return None
-            return found if isinstance(found, dict) and shallow(found) else None
+            if not isinstance(found, dict):
+                return None
+            # No deeper than it has brackets.
+            return found if text.count("{") + text.count("[") <= deepest or shallow(found) else None
 
         def shallow(found):
             level = [found]
@@ -201,6 +200,23 @@ def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
                 level = [v for x in level for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, (dict, list))]
             return not level
 
+        return parse
+
+    return parser
+
+
+def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
+    """The Arrow function; it imports what it needs, so it travels alone."""
+    parser = _parser(deepest)
+
+    def run(batches):
+        import pyarrow as pa
+
+        class Number(str):
+            """The text of a number, told apart from a string."""
+
+        parse = parser(Number)
+
         def plain(value):
             if value is None:
                 return "null", None
@@ -267,6 +283,117 @@ def _flatten(keys: list[str], names: list[str], deepest: int = MAX_DEPTH):
     return run
 
 
+NODE = (
+    "path string, types array<string>, via string, "
+    "entries array<struct<property:string,child_types:array<string>>>"
+)
+INVALID = "@invalid"
+
+
+def nodes(docs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """One row per object of a document with what the rules of validation look at, in one pass.
+
+    Columns: keys, path, types, via, entries. An entry is a property the object
+    has: once for all values without a type, and for each object with types that it
+    leads to, with these as child_types. An object with types has an entry ``@type``;
+    other properties with an @ are left out. The first entry of the root has no property.
+    Text that is no document is one row with the entry ``INVALID``. Objects without
+    entries have no row. What counts as what is as in ``facts``.
+    """
+    schema = T.StructType([*docs.select(*keys).schema.fields, *T.DataType.fromDDL(NODE).fields])
+    return spread(docs.select(*keys, "json_ld"), partitions, *keys).mapInArrow(_nodes(list(keys), schema.fieldNames(), INVALID), schema)
+
+
+def _nodes(keys: list[str], names: list[str], invalid: str):
+    """The Arrow function; it imports what it needs, so it travels alone."""
+    parser = _parser()
+
+    def run(batches):
+        import pyarrow as pa
+
+        parse = parser(str)
+
+        def sound(value):
+            if isinstance(value, list):
+                return [sound(v) for v in value]
+            return value if value is None else value.encode("utf-8", "replace").decode()
+
+        def kinds_of(value):
+            kinds = value.get("@type")
+            if type(kinds) is str:
+                return [kinds] if kinds else []
+            kinds = kinds or []
+            kinds = kinds if isinstance(kinds, list) else [kinds]
+            return list(dict.fromkeys(str(k) for k in kinds if not isinstance(k, (dict, list))))
+
+        def is_ref(value):
+            own = value.get("@id")
+            return own is not None and not isinstance(own, (dict, list))
+
+        strings, lists = pa.string(), pa.list_(pa.string())
+        for batch in (b.slice(start, 500) for b in batches for start in range(0, b.num_rows, 500)):
+            sources, paths, types, vias, ends = [], [], [], [], [0]
+            properties, children = [], []
+            for n, text in enumerate(batch.column("json_ld").to_pylist()):
+                root = parse(text)
+                left = [("$", root, None, [] if root is None else kinds_of(root))]
+                while left:
+                    place, value, via, kinds = left.pop()
+                    before = len(properties)
+                    if via is None:
+                        properties.append(invalid if value is None else None)
+                        children.append([])
+                    if kinds:
+                        properties.append("@type")
+                        children.append([])
+                    for key, item in () if value is None else value.items():
+                        shown = not key.startswith("@")
+                        if not isinstance(item, (dict, list)):
+                            if shown:
+                                properties.append(key)
+                                children.append([])
+                            continue
+                        if key in ("@id", "@type", "@context"):
+                            continue
+                        items, plain = [(f"{place}.{key}", item)], False
+                        while items:
+                            at, one = items.pop()
+                            if isinstance(one, list):
+                                items.extend((f"{at}[{k}]", v) for k, v in enumerate(one))
+                            elif isinstance(one, dict):
+                                if len(one) == 1 and is_ref(one):
+                                    plain = True
+                                    continue
+                                found = kinds_of(one)
+                                left.append((at, one, key, found))
+                                if found and shown:
+                                    properties.append(key)
+                                    children.append(found)
+                                plain = plain or not found
+                            else:
+                                plain = True
+                        if plain and shown:
+                            properties.append(key)
+                            children.append([])
+                    if len(properties) > before:
+                        sources.append(n)
+                        paths.append(None if value is None else place)
+                        types.append(kinds)
+                        vias.append(via)
+                        ends.append(len(properties))
+            repeated = batch.select(keys).take(pa.array(sources, pa.int32()))
+            columns, kinds = [paths, types, vias, properties, children], [strings, lists, strings, strings, lists]
+            try:
+                columns = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            except UnicodeEncodeError:  # half of a surrogate pair in an escape
+                columns = [pa.array([sound(v) for v in c], t) for c, t in zip(columns, kinds)]
+            entries = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns[3:], ["property", "child_types"]))
+            yield pa.RecordBatch.from_arrays([*repeated.columns, *columns[:3], entries], names)
+
+    return run
+
+
 def jsonld_triples(docs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Facts as rows: node path, @id, type, property, value, value_type."""
     return facts(docs, keys, partitions).filter("kind NOT IN ('root', 'invalid')").select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textgraph.functions import fixed
 from textgraph.functions.joins import lookup_join, table_bytes
 from textgraph.operators.hierarchy import covered, hierarchy
-from textgraph.operators.jsonld import facts, minimal_document
+from textgraph.operators.jsonld import INVALID, minimal_document, nodes
 from textgraph.session import run_folder, stage
 
 ROOT_TYPE = "Thing"
@@ -54,11 +54,12 @@ def prepare_vocabulary(classes: DataFrame, properties: DataFrame, folder: str |
 def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
     """One row per document with its errors: keys, errors.
 
-    One pass over the facts. A node may have several types and needs one that
-    fits, so a fact fails where all its types fail. Lookups in tables within the
-    bound of a broadcast do not move the facts; beyond it each is one shuffle
-    join. Only suspects and one root row per document are shuffled, once, by
-    document.
+    ``found`` is the output of ``jsonld.nodes``. One pass over the objects and their
+    entries: types are looked up once per object, not once per value. An object may
+    have several types and needs one that fits, so an entry fails where all its
+    types fail. Lookups in tables within the bound of a broadcast do not move the
+    rows; beyond it each is one shuffle join. Only suspects and one root row per
+    document are shuffled, once, by document.
     """
     def look(rows: DataFrame, kind: str, table: DataFrame, on: list[str], flag: str) -> DataFrame:
         return lookup_join(rows, table.withColumn(flag, F.lit(True)), on, "left", size=vocabulary.sizes[kind])
@@ -72,13 +73,10 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
 
     rows = look(found, "properties", via_ranges, ["via"], "_via")
     rows = rows.withColumn("types", F.coalesce(inferred, "via_ranges", F.array().cast("array<string>")))
-    rows = look(rows, "properties", own, ["property"], "declared")
-    rows = rows.select(
-        *keys, "path", "property", "kind", "value", "child_types", "declared", "domain", "accepts",
-        F.size("types").alias("n_types"), F.size("child_types").alias("n_children"),
-        F.explode_outer("types").alias("label"),
-    )
+    rows = rows.select(*keys, "path", "entries", "types", F.explode_outer("types").alias("label"))
     rows = look(rows, "known", vocabulary.known, ["label"], "type_known")
+    rows = rows.select(*keys, "path", "types", "label", "lo", "type_known", F.inline("entries"))
+    rows = look(rows, "properties", own, ["property"], "declared")
     rows = rows.withColumn("fits", inside("lo", "domain")).drop("domain", "lo")
     rows = rows.select("*", F.explode_outer("child_types").alias("child"))
     rows = look(rows, "known", child, ["child"], "child_known")
@@ -86,50 +84,52 @@ def errors_per_document(found: DataFrame, vocabulary: Vocabulary, keys: list[str
 
     known = F.col("declared").isNotNull() & ~F.col("property").startswith("@")
     flags = {
-        "bad_type": (F.col("kind") == "type") & (F.col("label") == F.col("value")) & F.col("type_known").isNull(),
+        "bad_type": (F.col("property") == "@type") & F.col("label").isNotNull() & F.col("type_known").isNull(),
         "bad_property": ~F.col("property").startswith("@") & F.col("declared").isNull(),
-        "bad_domain": known & (F.col("n_types") > 0) & F.col("fits").isNull(),
+        "bad_domain": known & F.col("label").isNotNull() & F.col("fits").isNull(),
         "bad_range": known & F.col("child").isNotNull() & F.col("accepted").isNull(),
     }
-    document = F.col("kind").isin("root", "invalid")
+    document = F.col("property").isNull() | (F.col("property") == INVALID)
     suspect = document
     for flag in flags.values():
         suspect = suspect | F.coalesce(flag, F.lit(False))
     suspects = rows.filter(suspect).withColumns({n: F.coalesce(f, F.lit(False)) for n, f in flags.items()})
-
-    # Where all types of a fact fail, all of them are among the suspects, so
-    # whether each is known can be seen here.
-    failing = lambda flag, name: F.size(F.collect_set(F.when(F.col(flag), F.col(name))))
-    per_fact = suspects.repartition(*keys).groupBy(
-        *keys, "path", "property", "kind", "value", "n_types", "n_children"
-    ).agg(
-        F.bool_or("bad_type").alias("bad_type"),
+    suspects = suspects.withColumn("bad", F.when(F.col("bad_type"), F.col("label")))
+
+    # Where all types of an entry fail, all of them are among the suspects, each with
+    # every child, so they can be counted, and whether each is known can be seen here.
+    # Sums over distinct rows are hashed; sets would be sorted.
+    entry = [*keys, "path", "property", "bad", "types", "child_types"]
+    seen = suspects.repartition(*keys).select(
+        *entry, "label", "child", "bad_property", "bad_domain", "bad_range",
+        F.col("type_known").isNotNull().alias("type_known"), F.col("child_known").isNotNull().alias("child_known"),
+    ).distinct()
+    fails = lambda flag: F.sum(F.col(flag).cast("int"))
+    per_entry = seen.groupBy(*entry).agg(
         F.bool_or("bad_property").alias("bad_property"),
-        failing("bad_domain", "label").alias("domain_fails"),
-        failing("bad_range", "child").alias("range_fails"),
-        F.bool_and(F.col("type_known").isNotNull()).alias("types_known"),
-        F.bool_and(F.col("child_known").isNotNull()).alias("children_known"),
+        fails("bad_domain").alias("domain_fails"),
+        fails("bad_range").alias("range_fails"),
+        F.bool_and("type_known").alias("types_known"),
+        F.bool_and("child_known").alias("children_known"),
     )
     error = lambda order, rule, value: F.struct(
         F.coalesce("path", F.lit("$")).alias("path"), F.lit(order).alias("n"),
         F.lit(rule).alias("rule"), value.alias("value"),
     )
     prop = F.col("property")
-    all_types = F.col("types_known") & (F.col("domain_fails") == F.col("n_types")) & (F.col("domain_fails") > 0)
-    all_children = (
-        F.col("types_known") & F.col("children_known")
-        & (F.col("range_fails") == F.col("n_children")) & (F.col("range_fails") > 0)
-    )
+    pairs = F.greatest(F.size("types"), F.lit(1)) * F.greatest(F.size("child_types"), F.lit(1))
+    all_types = F.col("types_known") & (F.col("domain_fails") == pairs)
+    all_children = F.col("types_known") & F.col("children_known") & (F.col("range_fails") == pairs)
     errors = F.array_compact(
         F.array(
-            F.when(F.col("kind") == "invalid", error(1, "json", F.lit("invalid"))),
-            F.when(F.col("bad_type"), error(2, "type", F.col("value"))),
+            F.when(prop == INVALID, error(1, "json", F.lit("invalid"))),
+            F.when(F.col("bad").isNotNull(), error(2, "type", F.col("bad"))),
             F.when(F.col("bad_property"), error(3, "property", prop)),
             F.when(all_types, error(4, "domain", prop)),
             F.when(all_children, error(5, "range", prop)),
         )
     )
-    return per_fact.groupBy(*keys).agg(
+    return per_entry.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(errors)))).alias("errors")
     )
 
@@ -145,7 +145,7 @@ def jsonld_validate(
     keys = list(keys)
     if not vocabulary.usable:
         return docs.select(*keys, F.lit(2).alias("code"), F.lit("no vocabulary").alias("output"))
-    found = errors_per_document(facts(docs, keys, partitions), vocabulary, keys)
+    found = errors_per_document(nodes(docs, keys, partitions), vocabulary, keys)
     line = lambda e: F.concat_ws(" ", e["path"], e["rule"], e["value"])
     return found.select(
         *keys,
