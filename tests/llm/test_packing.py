@@ -146,3 +146,38 @@ def test_long_texts_are_cut_at_white_space(tokenizer, monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice(["ab", "é", " ", "\n", "Cd", "'s", "  ", "\r\n", "　", "x" * 30]) for _ in range(500))
     assert np.frombuffer(packing.Words(PATH).ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzAZéÉßÿØ÷×ªµİe\u0301.,;!'-1<|>"), max_size=12), max_size=8))
+def test_plain_words_by_the_model_alone(tokenizer, words):
+    made = packing.Words(PATH)
+    assert made.plain
+    text = " ".join(words)
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    others = made._learn_plain(words)
+    assert others == [w for w in words if not packing.PLAIN.fullmatch(w)]
+
+
+def test_a_stem_is_asked_for_once():
+    made, asked = packing.Words(PATH), []
+    model, raw, letters = made.plain
+
+    class Noted:
+        def tokenize(self, part):
+            asked.append(part)
+            return model.tokenize(part)
+
+    made.plain = Noted(), raw, letters
+    made.ids("Straße straße, STRAßE. straße! une une, Une.")
+    assert asked == ["stra" + "Ã" + "Ł" + "e", ",", ".", "!", "une"]
+
+
+def test_other_steps_before_the_model_take_the_whole_tokenizer(tmp_path):
+    import json
+
+    given = json.load(open(PATH, encoding="utf-8"))
+    given["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(given), encoding="utf-8")
+    assert packing._plain(str(path)) is None

@@ -28,6 +28,7 @@ gives no rows. Columns beside doc_id and text are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 from collections import defaultdict
@@ -49,6 +50,18 @@ SPACE = re.compile("[ \t\n\r]")
 MARK = "\0"
 MARKED = f" {MARK} "
 SLICE = 1 << 20  # characters of a text read at once
+# A word of Latin letters without combining marks, with punctuation behind it or none. With these steps before its
+# model a tokenizer makes two parts of it, the letters in lower case, as UTF-8 in signs for bytes, and the punctuation.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None,
+}
 WORDS, WORD_BYTES = 1 << 19, 1 << 26  # words a task remembers, and their ids
 BATCH = 1 << 24  # bytes of ids written at once
 
@@ -232,11 +245,26 @@ def _loaded(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def _plain(path: str):
+    """The model, the bytes of each id and the signs of each letter, for words of ``PLAIN``; None if other steps come before the model."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    if any(given.get(name) != step for name, step in STEPS.items()) or given["model"].get("type") != "BPE":
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that are their own sign
+    signs = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+    letters = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+    tokenizer = _loaded(path)
+    return tokenizer.model, [_bytes([i]) for i in range(tokenizer.get_vocab_size())], letters
+
+
 class Words:
     """Ids of words between white space, as bytes; no token holds white space, so a text's ids are those of its words."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known, self.size = _loaded(path), {"": b""}, 0
+        self.plain = _plain(path)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
 
@@ -254,6 +282,8 @@ class Words:
         if len(self.known) > WORDS or self.size > WORD_BYTES:
             self.known, self.size = {"": b""}, 0
         new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new and self.plain:
+            new = self._learn_plain(new)
         if new:
             self._learn([w for w in new if MARK not in w])
             for word in new:
@@ -261,6 +291,31 @@ class Words:
                     self._keep(word, _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids))
         return b"".join(map(self.known.__getitem__, words))
 
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Words of ``PLAIN`` by the model alone, each stem in lower case once; returns the others."""
+        known, others, match = self.known, [], PLAIN.fullmatch
+        for word in words:
+            found = match(word)
+            if found is None:
+                others.append(word)
+                continue
+            stem, mark = found.groups()
+            stem = stem.lower()
+            ids = known.get(stem)
+            if ids is None:
+                ids = self._part(stem)
+            if mark:
+                held = known.get(mark)
+                ids += self._part(mark) if held is None else held
+            if word != stem:
+                self._keep(word, ids)
+        return others
+
+    def _part(self, part: str) -> bytes:
+        model, raw, letters = self.plain
+        ids = b"".join([raw[t.id] for t in model.tokenize(part if part.isascii() else part.translate(letters))])
+        self._keep(part, ids)
+        return ids
 
     def _learn(self, words: list[str]) -> None:
         """Many words as one text, with a mark between them that is one token."""
