@@ -62,7 +62,7 @@ STEPS = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     "post_processor": None, "truncation": None,
 }
-WORDS, WORD_BYTES = 1 << 19, 1 << 26  # words a task remembers, and their ids
+WORDS, WORD_BYTES = 1 << 19, 1 << 26  # words a worker remembers, and their ids
 BATCH = 1 << 24  # bytes of ids written at once
 
 _ROW = "part long, doc_id long, tokens long, bin int, place long, full long, full_place long, ids binary"
@@ -281,7 +281,7 @@ class Words:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if len(self.known) > WORDS or self.size > WORD_BYTES:
             self.known, self.size = {"": b""}, 0
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = list(set(words).difference(self.known))
         if new and self.plain:
             new = self._learn_plain(new)
         if new:
@@ -293,7 +293,7 @@ class Words:
 
     def _learn_plain(self, words: list[str]) -> list[str]:
         """Words of ``PLAIN`` by the model alone, each stem in lower case once; returns the others."""
-        known, others, match = self.known, [], PLAIN.fullmatch
+        known, others, match, size = self.known, [], PLAIN.fullmatch, 0
         for word in words:
             found = match(word)
             if found is None:
@@ -308,7 +308,9 @@ class Words:
                 held = known.get(mark)
                 ids += self._part(mark) if held is None else held
             if word != stem:
-                self._keep(word, ids)
+                known[word] = ids
+                size += len(ids) + len(word)
+        self.size += size
         return others
 
     def _part(self, part: str) -> bytes:
@@ -331,11 +333,17 @@ class Words:
         self.size += len(ids) + len(word)
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """The words a Python worker remembers, from one of its tasks to the next."""
+    return Words(path)
+
+
 def _tokens(path: str, tokens: int, end: int):
     """Ids of each document, its full pieces and remainder, and how many of the same the task met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, last = Words(path), TaskContext.get().partitionId(), end.to_bytes(WIDTH, "little")
+        words, part, last = _words(path), TaskContext.get().partitionId(), end.to_bytes(WIDTH, "little")
         met, full_met, rows, size = defaultdict(int), 0, [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
